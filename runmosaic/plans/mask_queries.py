@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 from runmosaic.operators import masks as M
 from runmosaic.operators import tiles as T
 from runmosaic.plans import views as V
+from runmosaic.plans.registry import registry
 from runmosaic.plans.views import H, PIXELS, W, sql
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLE[name] = oracle
-        return fn
-    return register
+QUERIES, ORACLE, query = registry()
 
 
 def decoded(spark, sf_dir, *keys):

@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -25,36 +24,26 @@ def connect(sf_dir: str):
     return con
 
 
-def _plain(v):
-    if hasattr(v, "asDict"):
-        v = v.asDict()
-    if isinstance(v, dict):
-        return tuple((k, _plain(x)) for k, x in v.items())
-    if isinstance(v, (list, tuple)):
-        return tuple(_plain(x) for x in v)
-    if isinstance(v, bool):
-        return v
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else v + 0.0
-    return v
-
-
 def difference(spark, con, query, text: str, sf_dir: str) -> str | None:
-    """None when rows, columns and values agree, else a short account."""
+    """None when columns, row counts and all values agree, else a short account."""
     df = query(spark, sf_dir)
     names = sorted(df.columns)
-    got = sorted((tuple(_plain(r[n]) for n in names) for r in df.collect()), key=repr)
-    cur = con.execute(text)
-    cols = [d[0] for d in cur.description]
-    if sorted(cols) != names:
-        return f"columns {names} vs {sorted(cols)}"
-    at = [cols.index(n) for n in names]
-    want = sorted((tuple(_plain(r[i]) for i in at) for r in cur.fetchall()), key=repr)
-    if len(got) != len(want):
-        return f"rows {len(got)} vs {len(want)}"
-    for g, w in zip(got, want):
-        if repr(g) != repr(w):
-            return f"{names}: {g} vs {w}"
+    got = df.toArrow()
+    con.register("spark_result", got)
+    want = [d[0] for d in con.execute(f"DESCRIBE {text}").fetchall()]
+    if sorted(want) != names:
+        return f"columns {names} vs {sorted(want)}"
+    cols = ", ".join(f'"{n}"' for n in names)
+    con.execute(f"CREATE OR REPLACE TEMP TABLE want AS SELECT {cols} FROM ({text})")
+    n = con.execute("SELECT count(*) FROM want").fetchall()[0][0]
+    if n != got.num_rows:
+        return f"rows {got.num_rows} vs {n}"
+    if n == 0:
+        return "no rows"
+    for a, b in (("spark_result", "want"), ("want", "spark_result")):
+        left = con.execute(f"SELECT {cols} FROM {a} EXCEPT ALL SELECT {cols} FROM {b} ORDER BY ALL LIMIT 2").fetchall()
+        if left:
+            return f"only in {a}: {names} {left}"
     return None
 
 
