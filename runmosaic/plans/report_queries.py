@@ -45,9 +45,9 @@ def image_metrics(spark, sf_dir):
 RATES = ("iou", "dice", "pixel_acc", "precision", "recall", "f1")
 
 
-@query("segmentation_metrics", metrics_sql(" SELECT image_id, tp, fp, fn, tn, " + ", ".join(f"round({c}, 9) AS {c}" for c in RATES) + " FROM m"))
+@query("segmentation_metrics", metrics_sql(" SELECT image_id, tp, fp, fn, tn, " + ", ".join(RATES) + " FROM m"))
 def segmentation_metrics(spark, sf_dir):
-    return r9(image_metrics(spark, sf_dir), *RATES)
+    return image_metrics(spark, sf_dir)
 
 
 @query("segmentation_batch_means", metrics_sql(" SELECT round(avg(iou), 9) AS mean_iou, round(avg(dice), 9) AS mean_dice, "
