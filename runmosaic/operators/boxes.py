@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from runmosaic.functions import expr as X
 from runmosaic.operators import masks as M
+from runmosaic.operators.graph import greedy_drop
 from runmosaic.session import cut_lineage
 
 # fixed values
@@ -51,16 +52,7 @@ def nms(boxes: DataFrame, threshold: float, ident: str = "box_id", keys: Sequenc
     best = best.select(*keys, F.col("_b._id").alias(ident), "x1", "y1", "x2", "y2", (-F.col("_b._o")).alias("score"))
     pairs = overlapping(best, best, ident, ident, keys, extra_a=["score"], extra_b=["score"])
     better = (F.col("score_a") > F.col("score_b")) | ((F.col("score_a") == F.col("score_b")) & (F.col("id_a") < F.col("id_b")))
-    edges = cut_lineage(pairs.filter((F.col("iou") > threshold) & better).select(*keys, "id_a", "id_b"))
-    dropped = None
-    while not edges.isEmpty():
-        # kept in this round: beats someone and is beaten by nobody still open
-        beaten = edges.select(*keys, F.col("id_b").alias("id_a")).distinct()
-        keep = edges.join(beaten, [*keys, "id_a"], "left_anti").select(*keys, "id_a").distinct()
-        gone = cut_lineage(edges.join(keep, [*keys, "id_a"]).select(*keys, "id_b").distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        edges = cut_lineage(edges.join(gone.withColumnRenamed("id_b", "id_a"), [*keys, "id_a"], "left_anti")
-                            .join(gone, [*keys, "id_b"], "left_anti"))
+    dropped = greedy_drop(pairs.filter((F.col("iou") > threshold) & better), keys)
     if dropped is None:
         return best
     return best.join(dropped.withColumnRenamed("id_b", ident), [*keys, ident], "left_anti")
