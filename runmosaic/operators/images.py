@@ -1,22 +1,208 @@
-"""Pixel payload operators: decoding, tiles, resizing, preprocessing, flips, crops.
+"""Pixel payload operators: channels, tiles, resizing, preprocessing, flips, jitter, crops.
 
-Images travel as ``image_id, height, width, channels, data BINARY`` with RGB bytes. Each function
-here handles one image or tile; Spark decides where it runs.
+Images travel as ``image_id, height, width, channels, data BINARY`` with RGB bytes row by row. The
+functions here treat one image or tile; Spark decides where each runs. Use small Arrow batches for
+large images (``spark.sql.execution.arrow.maxBytesPerBatch`` bounds them in bytes).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-IMAGE = "image_id string, height int, width int, channels int, data binary"
+PIXELS = "height int, width int, channels int, data binary"
 
 
-def as_array(data: bytes, h: int, w: int, c: int) -> np.ndarray:
+def as_array(data: bytes, h: int, w: int, c: int = 3) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(h, w, c)
 
 
+def to_rgb(a: np.ndarray) -> np.ndarray:
+    """Grey, BGR or BGRA (as the image source delivers them) to RGB."""
+    if a.shape[2] == 1:
+        return np.repeat(a, 3, axis=2)
+    return a[:, :, 2::-1]
+
+
+def to_byte(a: np.ndarray) -> np.ndarray:
+    """Round half to even and saturate."""
+    return np.clip(np.rint(a), 0, 255).astype(np.uint8)
+
+
+def per_image(images: DataFrame, fn: Callable[[np.ndarray, dict], np.ndarray], key: str = "image_id") -> DataFrame:
+    """Apply ``fn(array, row)`` to each image; a raising image becomes ``status`` error with its text
+    and does not stop the query."""
+    kind = dict(images.dtypes)[key]
+    passed = [(n, t) for n, t in images.dtypes if n not in ("height", "width", "channels", "data", "status", "error")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                base = {n: r[n] for n, _ in passed}
+                try:
+                    a = np.ascontiguousarray(fn(as_array(r["data"], r["height"], r["width"], r["channels"]), r))
+                    rows.append({**base, "height": a.shape[0], "width": a.shape[1], "channels": a.shape[2], "data": a.tobytes(),
+                                 "status": "success", "error": None})
+                except Exception as e:  # isolation of single images is the purpose
+                    rows.append({**base, "height": None, "width": None, "channels": None, "data": None, "status": "error", "error": str(e)})
+            out = pd.DataFrame(rows, columns=[n for n, _ in passed] + ["height", "width", "channels", "data", "status", "error"])
+            for n in ("height", "width", "channels"):
+                out[n] = out[n].astype("Int32")
+            yield out
+
+    schema = ", ".join(f"{n} {t}" for n, t in passed) + f", {PIXELS}, status string, error string"
+    assert kind
+    return images.mapInPandas(run, schema)
+
+
+# --- tiles ---------------------------------------------------------------------------------
+
+def axis_starts(size: int, patch: int, stride: int) -> list[int]:
+    return list(range(0, size - patch + 1, stride))
+
+
+def tile_origins(h: int, w: int, patch: int, overlap: int, edge: str) -> list[tuple[int, int, int]]:
+    """(pass, row, col) as in the tile grid operator."""
+    stride = patch - overlap
+    rows, cols = axis_starts(h, patch, stride), axis_starts(w, patch, stride)
+    if edge == "cover":
+        rows = sorted({*rows, h - patch}) if h >= patch else []
+        cols = sorted({*cols, w - patch}) if w >= patch else []
+    out = [(0, r, c) for r in rows for c in cols]
+    if edge == "reference":
+        right, below = w % stride != 0 and w > patch, h % stride != 0 and h > patch
+        out += [(1, r, w - patch) for r in rows if right] + [(2, h - patch, c) for c in cols if below]
+        out += [(3, h - patch, w - patch)] if right and below else []
+    return out
+
+
+def extract_tiles(images: DataFrame, patch: int = 224, overlap: int = 32, edge: str = "cover", min_std: float = 1.0,
+                  key: str = "image_id") -> DataFrame:
+    """Tiles of each image with population std over all channels; tiles under ``min_std`` are left
+    out and ``patch_id`` counts the others. Sparse background never leaves the task."""
+    kind = dict(images.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a = as_array(r.data, r.height, r.width, r.channels)
+                rows = []
+                for _, y, x in tile_origins(r.height, r.width, patch, overlap, edge):
+                    t = a[y:y + patch, x:x + patch]
+                    std = float(t.std())
+                    if std >= min_std:
+                        rows.append((getattr(r, key), len(rows), y, x, patch, patch, r.channels, std, np.ascontiguousarray(t).tobytes()))
+                yield pd.DataFrame(rows, columns=[key, "patch_id", "row", "col", "height", "width", "channels", "std", "data"])
+
+    return images.select(key, "height", "width", "channels", "data").mapInPandas(
+        run, f"{key} {kind}, patch_id bigint, row bigint, col bigint, height int, width int, channels int, std double, data binary")
+
+
+# --- resizing and preprocessing ------------------------------------------------------------
+
+def area_weights(src: int, dst: int) -> np.ndarray:
+    """Row i holds the share of each source cell in target cell i."""
+    edge = np.arange(dst + 1) * (src / dst)
+    lo, hi = edge[:-1, None], edge[1:, None]
+    cell = np.arange(src)
+    part = np.clip(np.minimum(hi, cell + 1) - np.maximum(lo, cell), 0, None)
+    return part / part.sum(axis=1, keepdims=True)
+
+
+def area_resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Box-filter resize; exact means for whole ratios."""
+    rows, cols = area_weights(a.shape[0], h), area_weights(a.shape[1], w)
+    return to_byte(np.einsum("ir,rcb,jc->ijb", rows, a.astype(np.float64), cols, optimize=True))
+
+
+def sharpen(a: np.ndarray, centre: float) -> np.ndarray:
+    """3 x 3 kernel of -0.1 around ``centre``; the border mirrors without repeating the edge."""
+    p = np.pad(a.astype(np.float64), ((1, 1), (1, 1), (0, 0)), mode="reflect")
+    h, w = a.shape[:2]
+    near = sum(p[i:i + h, j:j + w] for i in range(3) for j in range(3)) - a
+    return to_byte(centre * a - 0.1 * near)
+
+
+def adaptive(a: np.ndarray, size: int = 224, strength: float | None = None) -> np.ndarray:
+    """Resize, sharpen and mix: centre 1.8 and mix 0.3, or 1 + 0.8 s and mix s for strength s."""
+    small = area_resize(a, size, size)
+    centre, mix = (1.8, 0.3) if strength is None else (1 + 0.8 * strength, strength)
+    return to_byte(small * (1 - mix) + sharpen(small, centre).astype(np.float64) * mix)
+
+
+def multiscale(a: np.ndarray, wide_bottom: bool = False, crop: int = 384, half: int = 112) -> np.ndarray:
+    """Whole view and centre crop side by side; below them the same two swapped, or one wide view."""
+    h = a.shape[0]
+    side = min(crop, h)
+    start = max(0, h // 2 - side // 2)
+    end = min(h, start + side)
+    start = max(0, end - side)
+    full, centre = area_resize(a, half, half), area_resize(a[start:end, start:end], half, half)
+    top = np.hstack([full, centre])
+    below = area_resize(a, half, 2 * half) if wide_bottom else np.hstack([centre, full])
+    return np.vstack([top, below])
+
+
+def resize_images(images: DataFrame, h: int, w: int, key: str = "image_id") -> DataFrame:
+    return per_image(images, lambda a, _: area_resize(a, h, w), key)
+
+
+def windows_to_patches(images: DataFrame, window: int = 384, stride: int = 192, size: int = 224, key: str = "image_id") -> DataFrame:
+    """Sliding windows resized to one patch size, for ensembles of window scores."""
+    return resize_images(extract_tiles(images, window, window - stride, "none", 0.0, key), size, size, key)
+
+
+def augment(a: np.ndarray, hflip: bool, vflip: bool, turns: int) -> np.ndarray:
+    a = a[:, ::-1] if hflip else a
+    a = a[::-1] if vflip else a
+    return np.rot90(a, turns)
+
+
+def augment_images(images: DataFrame, plan: DataFrame, key: str = "image_id") -> DataFrame:
+    """Bytes turned by the same plan as the masks."""
+    return per_image(images.join(plan, key), lambda a, r: augment(a, r["hflip"], r["vflip"], int(r["turns"])), key).drop("hflip", "vflip", "turns")
+
+
+def jitter_images(images: DataFrame, seed: int, brightness: float = 0.2, contrast: float = 0.2, key: str = "image_id") -> DataFrame:
+    """Contrast factor and brightness shift per image from a hash of (seed, key)."""
+    from runmosaic.operators.sampling import draw, uniform
+    u = lambda tag: uniform(F.md5(F.concat(draw(seed, key), F.lit(tag)))) * 2 - 1
+    drawn = images.withColumn("_a", 1 + u(":c") * contrast).withColumn("_s", u(":b") * brightness)
+    return per_image(drawn, lambda a, r: to_byte(a * r["_a"] + 255 * r["_s"]), key).drop("_a", "_s")
+
+
+def crop_images(images: DataFrame, boxes: DataFrame, key: str = "image_id") -> DataFrame:
+    """Pixels of each padded box. Boxes go to their image, grouped by image before the join."""
+    per = boxes.groupBy(key).agg(F.collect_list(F.struct("id", "x1", "y1", "x2", "y2")).alias("boxes"))  # components of one image
+    kind = dict(images.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                a = as_array(r.data, r.height, r.width, r.channels)
+                for b in r.boxes:
+                    t = np.ascontiguousarray(a[b["y1"]:b["y2"], b["x1"]:b["x2"]])
+                    rows.append((getattr(r, key), b["id"], t.shape[0], t.shape[1], t.shape[2], t.tobytes()))
+            yield pd.DataFrame(rows, columns=[key, "id", "height", "width", "channels", "data"])
+
+    return images.select(key, "height", "width", "channels", "data").join(per, key).mapInPandas(run, f"{key} {kind}, id int, {PIXELS}")
+
+
+def byte_sums(images: DataFrame, key: str = "image_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sum and position-weighted sum of the bytes, to compare images without moving them."""
+    kinds = dict(images.dtypes)
+    cols = [key, *keep, "height", "width"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            arrays = [np.frombuffer(d, np.uint8).astype(np.int64) for d in pdf["data"]]
+            yield pdf[cols].assign(total=[int(a.sum()) for a in arrays], weighted=[int((a * np.arange(len(a))).sum()) for a in arrays])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", total bigint, weighted bigint"
+    return images.select(*cols, "data").mapInPandas(run, schema)
