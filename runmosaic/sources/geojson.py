@@ -10,7 +10,7 @@ from runmosaic.operators.geo import parse
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``file, geojson``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("geojson"))
 
 
