@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIXELS = "height int, width int, channels int, data binary"
+OUT_BYTES = 16 << 20  # tiles are handed back to Spark in batches of about this size
 
 
 def as_array(data: bytes, h: int, w: int, c: int = 3) -> np.ndarray:
@@ -87,17 +88,26 @@ def extract_tiles(images: DataFrame, patch: int = 224, overlap: int = 32, edge:
     out and ``patch_id`` counts the others. Sparse background never leaves the task."""
     kind = dict(images.dtypes)[key]
 
+    names = [key, "patch_id", "row", "col", "height", "width", "channels", "std", "data"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 a = as_array(r.data, r.height, r.width, r.channels)
-                rows = []
+                n = 0
                 for _, y, x in tile_origins(r.height, r.width, patch, overlap, edge):
-                    t = a[y:y + patch, x:x + patch]
+                    t = np.ascontiguousarray(a[y:y + patch, x:x + patch])
                     std = float(t.std())
                     if std >= min_std:
-                        rows.append((getattr(r, key), len(rows), y, x, patch, patch, r.channels, std, np.ascontiguousarray(t).tobytes()))
-                yield pd.DataFrame(rows, columns=[key, "patch_id", "row", "col", "height", "width", "channels", "std", "data"])
+                        rows.append((getattr(r, key), n, y, x, patch, patch, r.channels, std, t.tobytes()))
+                        n += 1
+                        held += t.nbytes
+                if held > OUT_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return images.select(key, "height", "width", "channels", "data").mapInPandas(
         run, f"{key} {kind}, patch_id bigint, row bigint, col bigint, height int, width int, channels int, std double, data binary")

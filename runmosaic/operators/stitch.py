@@ -24,19 +24,30 @@ from runmosaic.operators import tiles as T
 UNIT = 10 ** 9  # probabilities are summed as whole billionths, so sums do not depend on order
 
 
-def cells(patches: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """Disjoint rectangles with the patches over them: n, mean and maximal confidence, list."""
+def cells(patches: DataFrame, keys: Sequence[str] = M.KEYS, lists: bool = True) -> DataFrame:
+    """Disjoint rectangles with the patches over them: n, mean and maximal confidence, and with
+    ``lists`` the patches themselves (as few as overlap in one point).
+
+    The cuts of an image are its distinct tile borders, reduced map-side. The join leaves rows
+    placed by image, so the grouping after it needs no further shuffle.
+    """
     p = patches.select(*keys, F.col("row").alias("r0"), (F.col("row") + F.col("height")).alias("r1"), F.col("col").alias("c0"),
                        (F.col("col") + F.col("width")).alias("c1"), "confidence")
-    cuts = (p.select(*keys, F.explode(F.array(F.struct(F.lit("x").alias("a"), F.col("c0").alias("v")), F.struct(F.lit("x").alias("a"), F.col("c1").alias("v")),
-                                              F.struct(F.lit("y").alias("a"), F.col("r0").alias("v")), F.struct(F.lit("y").alias("a"), F.col("r1").alias("v")))).alias("_e"))
-            .groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("_e.a") == a, F.col("_e.v")))).alias("_" + a) for a in "xy"]))
-    piece = lambda arr, lo, hi: F.explode(F.expr(f"filter(transform({arr}, (v, i) -> struct(v as a, get({arr}, i + 1) as b)), t -> t.a >= {lo} and t.b <= {hi})"))
-    s = p.join(cuts, list(keys)).select("*", piece("_x", "c0", "c1").alias("_px")).select("*", piece("_y", "r0", "r1").alias("_py"))
+    both = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.collect_set(a), F.collect_set(b))))
+    cuts = p.groupBy(*keys).agg(both("c0", "c1").alias("_x"), both("r0", "r1").alias("_y"))
+    piece = lambda arr, lo, hi: F.explode(F.expr(f"arrays_zip(filter({arr}, v -> v >= {lo} and v < {hi}), filter({arr}, v -> v > {lo} and v <= {hi}))"))
+    s = (p.join(cuts, list(keys)).select(*keys, "r0", "r1", "c0", "_y", "confidence", piece("_x", "c0", "c1").alias("_px"))
+         .select(*keys, "r0", "c0", "confidence", "_px", piece("_y", "r0", "r1").alias("_py")))
     patch = F.struct(F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("confidence"))
-    return (s.groupBy(*keys, F.col("_px.a").alias("c0"), F.col("_px.b").alias("c1"), F.col("_py.a").alias("r0"), F.col("_py.b").alias("r1"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"),
-                 F.array_sort(F.collect_list(patch)).alias("patches")))
+    out = [F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence")]
+    s = s.select(*keys, "r0", "c0", "confidence", F.col("_px")["0"].alias("_c0"), F.col("_px")["1"].alias("_c1"),
+                 F.col("_py")["0"].alias("_r0"), F.col("_py")["1"].alias("_r1"))
+    if lists:
+        out.append(F.array_sort(F.collect_list(patch)).alias("patches"))
+    g = s.groupBy(*keys, "_c0", "_c1", "_r0", "_r1").agg(*out)
+    for n in ("c0", "c1", "r0", "r1"):
+        g = g.withColumnRenamed("_" + n, n)
+    return g
 
 
 def over_cells(segments: DataFrame, cell_table: DataFrame, keep: Sequence[str], carry: Sequence[str], keys: Sequence[str] = M.KEYS,
@@ -56,7 +67,7 @@ def _per_patch(patch_segments: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _rule(patches: DataFrame, patch_segments: DataFrame, keep: Column, keys: Sequence[str]) -> DataFrame:
     """Intervals where the number of positive patches ``votes`` and covering patches ``n`` satisfy a rule."""
     state = M.sweep(M.edges(_per_patch(patch_segments, keys), {"votes": F.lit(1)}, keys), ["votes"], keys).filter("votes > 0")
-    cut = over_cells(state, cells(patches, keys), ["votes"], ["n"], keys)
+    cut = over_cells(state, cells(patches, keys, False), ["votes"], ["n"], keys)
     return M.join_touching(cut.filter(keep), keys)
 
 
@@ -78,7 +89,7 @@ def average_blend(patches: DataFrame, patch_segments: DataFrame, threshold: floa
     """Mean probability over covering patches above the threshold. Segments of one patch are disjoint."""
     events = M.edges(patch_segments, {"total": F.round(F.col("p") * UNIT).cast("bigint")}, keys)
     state = M.sweep(events, ["total"], keys).filter("total > 0")
-    cut = over_cells(state, cells(patches, keys), ["total"], ["n"], keys)
+    cut = over_cells(state, cells(patches, keys, False), ["total"], ["n"], keys)
     return M.join_touching(cut.filter(F.col("total") > F.lit(int(threshold * UNIT)) * F.col("n")), keys)
 
 
@@ -143,7 +154,7 @@ def feather_blend(patches: DataFrame, patch_segments: DataFrame, size: int, over
 
 def quality_map(patches: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Mean and maximal confidence of the covering patches, as rectangles."""
-    return cells(patches, keys).drop("patches")
+    return cells(patches, keys, False)
 
 
 def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFrame, h: int, w: int, tolerance: float = 0.1,
@@ -151,7 +162,7 @@ def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFra
     """Per image: patches, mask over covered pixels, 1 - mean disagreement of overlapping patches above
     the tolerance, and pixels whose mask gradient passes ``gradient``."""
     total = patches.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_patches"))
-    covered = cells(patches, keys).groupBy(*keys).agg(F.expr("sum((c1 - c0) * (r1 - r0))").alias("covered"))
+    covered = cells(patches, keys, False).groupBy(*keys).agg(F.expr("sum((c1 - c0) * (r1 - r0))").alias("covered"))
     mask = M.area(stitched, keys)
     pairs = T.overlapping_pairs(patches, keys)
     segs = _per_patch(patch_segments, keys)

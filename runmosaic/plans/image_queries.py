@@ -39,7 +39,7 @@ def rendered(spark, sf_dir):
                 out.append(a.astype(np.uint8).tobytes())
             yield pdf.assign(height=SIDE, width=SIDE, channels=3, data=out)
 
-    src = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"))
+    src = V.spread(V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id")), "image_id")
     return src.mapInPandas(run, "image_id bigint, height int, width int, channels int, data binary")
 
 
