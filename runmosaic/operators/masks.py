@@ -41,7 +41,8 @@ def decode(manifest: DataFrame, rle: str = "rle", keys: Sequence[str] = KEYS,
         "case when size(_t) >= 2 then transform(sequence(0, size(_t) div 2 - 1), "
         "i -> struct(get(_t, 2*i) - 1 as s, get(_t, 2*i) - 1 + get(_t, 2*i + 1) as e)) "
         "else cast(array() as array<struct<s:bigint,e:bigint>>) end")
-    runs = df.select(*keys, F.inline(pairs))
+    # the outer form: else the optimizer adds a filter on the array that parses each text once per token
+    runs = df.select(*keys, F.inline_outer(pairs))
     if pixels is not None:
         limit = F.lit(pixels) if isinstance(pixels, int) else pixels
         runs = runs.withColumn("e", F.least("e", limit))

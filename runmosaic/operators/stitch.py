@@ -1,25 +1,26 @@
 """Putting overlapping patch masks together.
 
 Sparse form: ``patches`` (row, col, height, width, confidence) and ``patch_segments``
-(tile_row, tile_col, col, r0, r1 in image coordinates, optional p). Everything that is constant over
+(tile_row, tile_col, col, r0, r1 in image coordinates, optional p), disjoint inside each patch as
+``masks.union`` and ``masks.crop`` leave them. Everything that is constant over
 a piece of the tile grid (coverage, mean or maximal confidence) lives in *cells*, a few rectangles
 per image. Pixels are listed only where patches overlap and weights differ.
 
 Dense form: patches carry a float32 mask as BINARY; they are spread over fixed image blocks and each
-block is blended in one grouped map, so no task ever holds a whole image.
+block is blended on its own, so no task ever holds a whole image.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runmosaic.operators import masks as M
 from runmosaic.operators import tiles as T
+from runmosaic.operators.grouped import Columns, grouped_map
 
 UNIT = 10 ** 9  # probabilities are summed as whole billionths, so sums do not depend on order
 
@@ -35,7 +36,7 @@ def cells(patches: DataFrame, keys: Sequence[str] = M.KEYS, lists: bool = True)
                        (F.col("col") + F.col("width")).alias("c1"), "confidence")
     both = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.collect_set(a), F.collect_set(b))))
     cuts = p.groupBy(*keys).agg(both("c0", "c1").alias("_x"), both("r0", "r1").alias("_y"))
-    piece = lambda arr, lo, hi: F.explode(F.expr(f"arrays_zip(filter({arr}, v -> v >= {lo} and v < {hi}), filter({arr}, v -> v > {lo} and v <= {hi}))"))
+    piece = lambda arr, lo, hi: F.explode_outer(F.expr(f"arrays_zip(filter({arr}, v -> v >= {lo} and v < {hi}), filter({arr}, v -> v > {lo} and v <= {hi}))"))
     s = (p.join(cuts, list(keys)).select(*keys, "r0", "r1", "c0", "_y", "confidence", piece("_x", "c0", "c1").alias("_px"))
          .select(*keys, "r0", "c0", "confidence", "_px", piece("_y", "r0", "r1").alias("_py")))
     patch = F.struct(F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("confidence"))
@@ -60,13 +61,9 @@ def over_cells(segments: DataFrame, cell_table: DataFrame, keep: Sequence[str],
     return hit.select(*keys, *keep, *carry, "col", F.greatest("r0", "_r0").alias("r0"), F.least("r1", "_r1").alias("r1"))
 
 
-def _per_patch(patch_segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return M.union(patch_segments, (*keys, "tile_row", "tile_col"))
-
-
 def _rule(patches: DataFrame, patch_segments: DataFrame, keep: Column, keys: Sequence[str]) -> DataFrame:
     """Intervals where the number of positive patches ``votes`` and covering patches ``n`` satisfy a rule."""
-    state = M.sweep(M.edges(_per_patch(patch_segments, keys), {"votes": F.lit(1)}, keys), ["votes"], keys).filter("votes > 0")
+    state = M.sweep(M.edges(patch_segments, {"votes": F.lit(1)}, keys), ["votes"], keys).filter("votes > 0")
     cut = over_cells(state, cells(patches, keys, False), ["votes"], ["n"], keys)
     return M.join_touching(cut.filter(keep), keys)
 
@@ -165,7 +162,7 @@ def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFra
     covered = cells(patches, keys, False).groupBy(*keys).agg(F.expr("sum((c1 - c0) * (r1 - r0))").alias("covered"))
     mask = M.area(stitched, keys)
     pairs = T.overlapping_pairs(patches, keys)
-    segs = _per_patch(patch_segments, keys)
+    segs = patch_segments
     side = lambda n: segs.join(pairs.withColumnRenamed(f"row_{n}", "tile_row").withColumnRenamed(f"col_{n}", "tile_col")
                                .withColumn("_pair", F.concat_ws(":", *[F.col(c) for c in ("tile_row", "tile_col", f"row_{3 - n}", f"col_{3 - n}")] if n == 1 else
                                                                 [F.col(c) for c in ("row_1", "col_1", "tile_row", "tile_col")])),
@@ -246,18 +243,18 @@ def stitch_dense(patches: DataFrame, size: int, overlap: int, h: int, w: int, mo
     smooth = gaussian(base, 2.0) if mode == "feather" else None
     zero = np.zeros((size, size), np.float32)
 
-    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(pdf["_br"].iloc[0]) * block, int(pdf["_bc"].iloc[0]) * block
+    def blend(g: Columns) -> Columns:
+        top, left = int(g["_br"][0]) * block, int(g["_bc"][0]) * block
         bh, bw = min(block, h - top), min(block, w - left)
         total, weight = np.zeros((bh, bw)), np.zeros((bh, bw))
-        for p in pdf.sort_values("seq").itertuples(index=False):
+        for row, col, mask, confidence in zip(g["row"].tolist(), g["col"].tolist(), g["mask"], g["confidence"].tolist()):
             # no mask: nothing found in this patch, but its weights count
-            m = np.frombuffer(p.mask, np.float32).reshape(size, size) if p.mask is not None else zero
-            r0, r1 = max(p.row, top), min(p.row + size, top + bh)
-            c0, c1 = max(p.col, left), min(p.col + size, left + bw)
+            m = np.frombuffer(mask, np.float32).reshape(size, size) if mask is not None else zero
+            r0, r1 = max(row, top), min(row + size, top + bh)
+            c0, c1 = max(col, left), min(col + size, left + bw)
             at = np.s_[r0 - top:r1 - top, c0 - left:c1 - left]
-            of = np.s_[r0 - p.row:r1 - p.row, c0 - p.col:c1 - p.col]
-            conf = p.confidence if kernel == "distance" else 1.0
+            of = np.s_[r0 - row:r1 - row, c0 - col:c1 - col]
+            conf = confidence if kernel == "distance" else 1.0
             if mode == "weighted":
                 total[at] += m[of] * base[of] * conf
                 weight[at] += base[of] * conf
@@ -271,18 +268,18 @@ def stitch_dense(patches: DataFrame, size: int, overlap: int, h: int, w: int, mo
                 total[at] = total[at] * (1 - k) + m[of] * k
         if mode in ("weighted", "average"):
             total = np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
-        return bit_segments(total > threshold, top, left, key, pdf[key].iloc[0])
+        return bit_segments(total > threshold, top, left, key, g[key][:1])
 
     schema = f"{key} {dict(patches.dtypes)[key]}, col bigint, r0 bigint, r1 bigint"
-    return M.union(spread.groupBy(key, "_br", "_bc").applyInPandas(blend, schema), (key,))
+    return M.union(grouped_map(spread, [key, "_br", "_bc"], ["seq"], blend, schema), (key,))
 
 
-def bit_segments(mask: np.ndarray, top: int, left: int, key: str, value) -> pd.DataFrame:
+def bit_segments(mask: np.ndarray, top: int, left: int, key: str, value: np.ndarray) -> Columns:
     """Column segments of a boolean block."""
     edge = np.diff(np.pad(mask.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     c, r0 = np.nonzero(edge == 1)
     _, r1 = np.nonzero(edge == -1)
-    return pd.DataFrame({key: [value] * len(c), "col": c + left, "r0": r0 + top, "r1": r1 + top}).astype({"col": "int64", "r0": "int64", "r1": "int64"})
+    return {key: np.repeat(value, len(c)), "col": c + left, "r0": r0 + top, "r1": r1 + top}
 
 
 def smooth_gaussian(segments: DataFrame, h: int, w: int, sigma: float = 1.5, iterations: int = 2, block: int = 128,
@@ -293,18 +290,18 @@ def smooth_gaussian(segments: DataFrame, h: int, w: int, sigma: float = 1.5, ite
     near = (segs.withColumn("_bc", F.explode(F.expr(f"sequence(greatest(col - {halo}, 0) div {block}, least(col + {halo}, {w - 1}) div {block})")))
             .withColumn("_br", F.explode(F.expr(f"sequence(greatest(r0 - {halo}, 0) div {block}, least(r1 - 1 + {halo}, {h - 1}) div {block})"))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(pdf["_br"].iloc[0]) * block, int(pdf["_bc"].iloc[0]) * block
+    def run(g: Columns) -> Columns:
+        top, left = int(g["_br"][0]) * block, int(g["_bc"][0]) * block
         t0, l0 = max(top - halo, 0), max(left - halo, 0)
         t1, l1 = min(top + block + halo, h), min(left + block + halo, w)
         a = np.zeros((t1 - t0, l1 - l0))
-        for s in pdf.itertuples(index=False):
-            if l0 <= s.col < l1:
-                a[max(s.r0 - t0, 0):max(s.r1 - t0, 0), s.col - l0] = 1
+        for c, r0, r1 in zip(g["col"].tolist(), g["r0"].tolist(), g["r1"].tolist()):
+            if l0 <= c < l1:
+                a[max(r0 - t0, 0):max(r1 - t0, 0), c - l0] = 1
         for _ in range(iterations):
             a = (gaussian(a, sigma) > 0.5).astype(float)
         mine = a[top - t0:top - t0 + block, left - l0:left - l0 + block] > 0
-        return bit_segments(mine, top, left, key, pdf[key].iloc[0])
+        return bit_segments(mine, top, left, key, g[key][:1])
 
     schema = f"{key} {dict(segments.dtypes)[key]}, col bigint, r0 bigint, r1 bigint"
-    return M.union(near.groupBy(key, "_br", "_bc").applyInPandas(run, schema), (key,))
+    return M.union(grouped_map(near, [key, "_br", "_bc"], ["col", "r0"], run, schema), (key,))

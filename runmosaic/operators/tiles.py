@@ -72,10 +72,10 @@ def tile_pixels(segments: DataFrame, patch: int, overlap: int, h: int, w: int, e
     rows, cols = _starts(str(h), patch, stride, cover), _starts(str(w), patch, stride, cover)
     over = words.select(
         *keys, "wd", "bits",
-        F.explode(F.expr(f"filter({cols}, t -> t <= col and t + {patch} > col)")).alias("tile_col"))
+        F.explode_outer(F.expr(f"filter({cols}, t -> t <= col and t + {patch} > col)")).alias("tile_col")).filter("tile_col is not null")
     over = over.select(
         *keys, "wd", "bits", "tile_col",
-        F.explode(F.expr(f"filter({rows}, t -> t < wd * 64 + 64 and t + {patch} > wd * 64)")).alias("tile_row"))
+        F.explode_outer(F.expr(f"filter({rows}, t -> t < wd * 64 + 64 and t + {patch} > wd * 64)")).alias("tile_row")).filter("tile_row is not null")
     inside = M.bit_range("greatest(tile_row - wd * 64, 0L)", f"least(tile_row + {patch} - wd * 64, 64L)")
     return (over.groupBy(*keys, "tile_row", "tile_col")
             .agg(F.sum(F.bit_count(F.expr(f"bits & {inside}"))).cast("bigint").alias("ship_pixels")))

@@ -59,7 +59,7 @@ def label_lines(lines: DataFrame, size: tuple[int, int], text: str = "value", ke
     df = df.filter(F.size("_t") >= 3)
     points = F.expr(f"transform(sequence(0, (size(_t) - 1) div 2 - 1), i -> struct("
                     f"cast(get(_t, 2*i + 1) * {w} as bigint) as x, cast(get(_t, 2*i + 2) * {h} as bigint) as y))")
-    return df.select(*keys, F.col("_t")[0].cast("int").alias("class_id"), F.posexplode(points).alias("seq", "_p")).select(
+    return df.select(*keys, F.col("_t")[0].cast("int").alias("class_id"), F.posexplode_outer(points).alias("seq", "_p")).select(
         *keys, "class_id", "seq", "_p.x", "_p.y")
 
 
