@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runmosaic.llm import exact_dedup, packing, sharding
+from runmosaic.llm import exact_dedup, mixing, packing, sharding, simhash
 from runmosaic.llm.common import documents
 from runmosaic.plans.registry import registry
 
@@ -30,3 +30,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     WINDOW g AS (PARTITION BY t)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.dedup_report(documents(spark, sf))
+
+
+@query("op4_simhash_pivots")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_report(documents(spark, sf))
+
+
+@query("op8_flow_mixing")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf))
