@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runmosaic.llm import exact_dedup, mixing, packing, sharding, simhash
+from runmosaic.llm import exact_dedup, mixing, packing, pii, sharding, simhash, toxicity
 from runmosaic.llm.common import documents
 from runmosaic.plans.registry import registry
 
@@ -37,6 +37,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_report(documents(spark, sf))
 
 
+@query("op5_counterfactual_toxicity")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query("op6_validated_pii")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.pii_report(documents(spark, sf))
+
+
 @query("op8_flow_mixing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf))
