@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runmosaic.llm import exact_dedup, mixing, packing, pii, sharding, simhash, toxicity
+from runmosaic.llm import ann, exact_dedup, lattice, mixing, packing, pii, sharding, simhash, toxicity
 from runmosaic.llm.common import documents
 from runmosaic.plans.registry import registry
 
@@ -50,3 +50,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_flow_mixing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf))
+
+
+@query("op9_cross_polytope_search")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_lattice_likelihood")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.lm_report(documents(spark, sf))
