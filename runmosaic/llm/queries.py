@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runmosaic.llm import ann, exact_dedup, lattice, mixing, packing, pii, sharding, simhash, toxicity
+from runmosaic.llm import ann, exact_dedup, lattice, mixing, packing, pii, quality, sharding, simhash, toxicity
 from runmosaic.llm.common import documents
 from runmosaic.plans.registry import registry
 
@@ -47,6 +47,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf))
 
 
+@query("op7_co_trained_quality")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_report(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @query("op8_flow_mixing")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf))
