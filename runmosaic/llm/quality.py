@@ -16,7 +16,7 @@ from runmosaic.llm.logistic import Rows, fit, sigmoid
 SAMPLE = 20_000
 POOL = 20_000
 ROUNDS = 4
-BINS = 10
+CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99)
 SOURCES = 200
 CONFIDENT = 0.97
 PER_ROUND = 1_000
@@ -50,7 +50,7 @@ class TextView:
     """Each number cut at the sample's quantiles; one weight a bin."""
 
     def __init__(self, facts: np.ndarray):
-        self.edges = [np.unique(np.quantile(facts[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(facts.shape[1])]
+        self.edges = [np.unique(np.quantile(facts[:, j], CUTS)) for j in range(facts.shape[1])]
         self.base = np.cumsum([0, *(len(e) + 1 for e in self.edges)])
 
     def active(self, facts: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ class Calibrated:
 
     def __init__(self, view, x: np.ndarray, y: np.ndarray, weight: np.ndarray, hx: np.ndarray, hy: np.ndarray):
         self.view = view
-        self.w, self.b = fit(Rows(list(x)), y, view.width, weight=weight, steps=200)
+        self.w, self.b = fit(Rows(list(x)), y, view.width, ridge=2 / max(1, len(y)), weight=weight, steps=200)
         self.slope, self.shift = _line(self.raw(hx)[:, None], hy)
         self.slope = self.slope[0]
 
