@@ -95,15 +95,15 @@ def cycled_weights(sources: Sequence[str | None], cycle: Sequence[float] = (3, 1
 
 
 def mix(docs: DataFrame, sources: Column, weigh: Callable[[Sequence], dict] = cycled_weights, share: float = 1.5, repeats: int = 2,
-        seed: int = 17, size: Column | None = None, rounds: int = 3) -> DataFrame:
+        seed: int = 17, size: Column | None = None, near: float = 0.002) -> DataFrame:
     """``row, sources, size, source_size, target, copies`` for every document.
 
     ``sources`` is the array of sources a document belongs to. Patterns (sets of sources) are summed up
     first; the flow decides how many words each gives. A pattern's documents then get as many whole copies
     as fit, and a seeded subset gets one more: those whose hash falls before a cut. The cut lies in one of
     4096 hash buckets and is settled by a running sum inside that bucket alone. What the document at the
-    cut would overshoot is filled from the smaller ones left, in the same way (``rounds`` in all) and then by
-    the one that fits best. Only whole documents are taken, so a source may miss its target by less than
+    cut would overshoot is filled from the smaller ones left, in the same way, until a source lacks at most
+    ``near`` of its target or nothing more fits. Only whole documents are taken, so a source may miss its target by less than
     its smallest document left.
 
     ``source_size`` and ``target`` are those of the document's first source in order (its only one, for
@@ -141,7 +141,9 @@ def mix(docs: DataFrame, sources: Column, weigh: Callable[[Sequence], dict] = cy
 
     free, lacks, extra, known = table.select("loc", "pattern", "size", "u", "bucket"), plan.select("pattern", F.col("rest").alias("lack")), [], plan
     most = 1 << BUCKET_BITS
-    for k in range(rounds):
+    goal = F.broadcast(plan.select("pattern", "target"))
+    while True:
+        k = len(extra)
         fits = free.join(F.broadcast(lacks), "pattern").filter("size > 0 and size <= lack")
         per = written(fits.groupBy("pattern", "bucket", "lack").agg(F.sum("size").alias("n")), "mix-buckets")
         upto = F.sum("n").over(W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
@@ -156,13 +158,15 @@ def mix(docs: DataFrame, sources: Column, weigh: Callable[[Sequence], dict] = cy
         taken = F.col("size").between(1, F.col("lack")) & (F.col("bucket") < F.col("cut"))
         free = free.join(F.broadcast(cuts), "pattern").filter(~taken).drop("lack", "cut", "room").join(small(extra[-1].select("loc"), BROADCAST_ROWS), "loc", "left_anti")
         lacks = written(cuts.join(extra[-1].groupBy("pattern").agg(F.sum("size").alias("got")), "pattern", "left").select(
-            "pattern", (F.col("room") - F.coalesce("got", F.lit(0))).alias("lack")), "mix-lacks")
+            "pattern", (F.col("room") - F.coalesce("got", F.lit(0))).alias("lack"), F.col("lack").alias("was")), "mix-lacks")
         known = known.join(cuts.select("pattern", F.col("lack").alias(f"lack{k}"), F.col("cut").alias(f"cut{k}")), "pattern")
-    last = free.join(F.broadcast(lacks), "pattern").filter("size > 0 and size <= lack").groupBy("pattern").agg(F.max(F.struct("size", "u", "loc")).alias("b"))
-    picked = reduce(DataFrame.union, [x.select("loc") for x in extra], last.select("b.loc"))
+        if lacks.join(goal, "pattern").filter((F.col("lack") < F.col("was")) & (F.col("lack") > near * F.col("target"))).isEmpty():
+            break
+        lacks = lacks.drop("was")
+    picked = reduce(DataFrame.union, [x.select("loc") for x in extra])
     picked = small(written(picked.select("loc", F.lit(1).alias("picked")), "mix-picked"), BROADCAST_ROWS)
     out = table.join(F.broadcast(known), "pattern").join(picked, "loc", "left")
-    more = reduce(lambda c, k: c | (F.col("size").between(1, F.col(f"lack{k}")) & (F.col("bucket") < F.col(f"cut{k}"))), range(rounds), F.col("picked").isNotNull())
+    more = reduce(lambda c, k: c | (F.col("size").between(1, F.col(f"lack{k}")) & (F.col("bucket") < F.col(f"cut{k}"))), range(len(extra)), F.col("picked").isNotNull())
     return out.select("row", "sources", "size", "source_size", "target", (F.col("whole") + more.cast("bigint")).alias("copies"))
 
 

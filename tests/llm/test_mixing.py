@@ -31,9 +31,11 @@ def check(rows, docs, tolerance):
     for d, _, s in docs:
         sizes[s] += words[d]
     targets, taken, source = brute_targets(sizes), defaultdict(int), {d: s for d, _, s in docs}
-    smallest = defaultdict(lambda: 1)  # whole documents only: the least that could still be added
+    smallest = {}  # whole documents only, none twice more often than another: the least that could still be added
     for s in sizes:
-        smallest[s] = min((r.size for r in rows if source[r.doc_id] == s and 0 < r.size and r.taken < 2 * r.size), default=1)
+        own = [r for r in rows if source[r.doc_id] == s and r.size]
+        fewest = min((r.taken // r.size for r in own), default=0)
+        smallest[s] = min((r.size for r in own if r.taken // r.size == fewest), default=1)
     assert len(rows) == len(docs)
     for r in rows:
         s = source[r.doc_id]
