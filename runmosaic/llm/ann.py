@@ -15,8 +15,8 @@ from runmosaic.llm.common import written
 TABLES = 8
 PROBES = 1 / 8
 ROTATIONS = 3
-DATA_BLOCK = 2048
-QUERY_BLOCK = 4096
+DATA_BLOCK = 8192
+QUERY_BLOCK = 512
 SEED = 11
 
 
@@ -93,12 +93,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
     as padded with zeros. Vectors null, empty, zero or with a component null or not finite take no part,
     neither do null ids. Fewer than ``k`` candidates give fewer ranks; an empty table gives no rows.
     """
-    clean = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    clean = clean.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", F.transform("v", lambda c: c + F.lit(0.0)).alias("v"), "asks").distinct()
+    kind = "float" if vectors.select("embedding").dtypes[0][1] == "array<float>" else "double"  # floats travel as such and are widened in the tasks
+    nought = F.lit(0.0).cast(kind)
+    clean = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    clean = clean.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", F.transform("v", lambda c: c + nought).alias("v"), "asks").distinct()
     clean = written(clean, "ann-rows")
     size = clean.agg(F.count("*").alias("n"), F.count_if("asks").alias("m"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
     blocks, parts = max(1, ceil(size.n / data_block)), max(1, ceil(size.m / query_block))
-    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size.d) - F.size("v"))).alias("v")
+    padded = F.concat("v", F.array_repeat(nought, F.lit(size.d) - F.size("v"))).alias("v")
     copy = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     data = clean.withColumn("copy", copy).filter(F.col("copy") <= k + 1).select(
         F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"), F.lit(None).cast("bigint").alias("asked"), "vec_id", padded)
@@ -108,7 +110,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
 
     def run(t: pa.Table) -> pa.Table:
         asked, ids = t.column("asked").combine_chunks(), t.column("vec_id").to_numpy()
-        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), size.d)
+        v = t.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(len(ids), size.d)
         is_row = asked.is_null().to_numpy(zero_copy_only=False)
         rows, q = np.flatnonzero(is_row), np.flatnonzero(~is_row)
         got = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
