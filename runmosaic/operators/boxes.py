@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from runmosaic.functions import expr as X
 from runmosaic.operators import masks as M
+from runmosaic.operators import scores as C
 from runmosaic.operators.graph import greedy_drop
 from runmosaic.session import cut_lineage
 
@@ -136,28 +137,24 @@ def f_beta(images: DataFrame, pred: DataFrame, gt: DataFrame, candidates: DataFr
 
 
 def average_precision(pred: DataFrame, gt: DataFrame, candidates: DataFrame, keys: Sequence[str] = M.KEYS,
-                      steps: Sequence[float] = IOU_STEPS, digits: int = 3) -> DataFrame:
+                      steps: Sequence[float] = IOU_STEPS) -> DataFrame:
     """AP per IoU step: precision envelope read at 101 recall points over the whole data set.
 
-    Predictions of equal score enter together. Scores are grouped at ``digits`` decimals before
-    the running sums, so the window sees at most 10**digits + 1 rows per step.
+    Predictions of exactly equal score enter together. Running sums and the envelope work on one row per
+    distinct score in two levels (block of scores, then score in block), so no task sorts all scores. A data
+    set without truth has AP 0.
     """
     hit = matches_by_threshold(candidates, keys, steps)
-    cut = F.round("score", digits)
-    total = pred.groupBy(cut.alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    tp = (hit.join(pred.select(*keys, F.col("box_id").alias("pred"), cut.alias("score")), [*keys, "pred"])
+    total = pred.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    tp = (hit.join(pred.select(*keys, F.col("box_id").alias("pred"), "score"), [*keys, "pred"])
           .groupBy("step", "score").agg(F.count(F.lit(1)).alias("tp")))
     rows = (total.select("*", F.explode(F.array(*[F.lit(float(s)) for s in steps])).alias("step"))
             .join(tp, ["step", "score"], "left").na.fill(0, ["tp"]))
-    down = Window.partitionBy("step").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     n_gt = gt.agg(F.count(F.lit(1)).alias("n")).scalar()
-    curve = rows.select("step", "score", F.sum("tp").over(down).alias("tp"), F.sum("n").over(down).alias("n"))
-    curve = curve.select("step", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / n_gt).alias("recall"))
-    ahead = Window.partitionBy("step").orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
-    env = curve.withColumn("precision", F.max("precision").over(ahead))
-    before = Window.partitionBy("step").orderBy(F.desc("score"))
-    # recall points in (previous recall, recall] read this row's envelope
-    upto = F.floor(F.col("recall") * (RECALL_POINTS - 1) + 1e-9)
-    env = env.withColumn("_u", upto).withColumn("_l", F.coalesce(F.lag("_u").over(before), F.lit(-1)))
-    ap = env.groupBy("step").agg((F.sum((F.col("_u") - F.col("_l")) * F.col("precision")) / RECALL_POINTS).alias("ap"))
-    return ap
+    curve = C.running_from_top(rows, ["tp", "n"], "score", ["step"])
+    # recall points in (recall of the next higher score, recall] read this row's envelope
+    point = lambda k: F.floor(F.coalesce(F.try_divide(k, n_gt), F.lit(0.0)) * (RECALL_POINTS - 1) + 1e-9)
+    curve = curve.select("step", "score", (F.col("cum_tp") / F.col("cum_n")).alias("precision"), point(F.col("cum_tp")).alias("_u"),
+                         F.when(F.col("cum_n") == F.col("n"), F.lit(-1)).otherwise(point(F.col("cum_tp") - F.col("tp"))).alias("_l"))
+    env = C.best_from_here_down(curve, "precision", "score", ["step"])
+    return env.groupBy("step").agg((F.sum((F.col("_u") - F.col("_l")) * F.col("precision")) / RECALL_POINTS).alias("ap"))

@@ -115,7 +115,7 @@ def _merge_roots(local: DataFrame, keys: Sequence[str], block: int, reach: int)
 
 def components(segments: DataFrame, width: int, connectivity: int = 8, keys: Sequence[str] = M.KEYS,
                block: int = BLOCK) -> DataFrame:
-    """Merged segments with the ``root`` of their component."""
+    """Merged segments with the ``root`` of their component; the same plan whatever the width."""
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
     reach = 1 if connectivity == 8 else 0
@@ -123,13 +123,13 @@ def components(segments: DataFrame, width: int, connectivity: int = 8, keys: Seq
     placed = merged.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", "col", "r0")
     schema = T.StructType(placed.schema.fields + [T.StructField("root", T.LongType())])
     local = placed.mapInPandas(_block_labeller(keys, width, reach), schema).drop("_blk")
-    return local if width <= block else _merge_roots(cut_lineage(local), keys, block, reach)
+    return _merge_roots(cut_lineage(local), keys, block, reach)
 
 
 def remove_small(labelled: DataFrame, least: int = 10, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Segments of components with at least ``least`` pixels."""
-    big = labelled.groupBy(*keys, "root").agg(F.sum(F.col("r1") - F.col("r0")).alias("_a")).filter(F.col("_a") >= least)
-    return labelled.join(big.select(*keys, "root"), [*keys, "root"], "left_semi")
+    whole = F.sum(F.col("r1") - F.col("r0")).over(Window.partitionBy(*keys, "root"))  # the input is read once
+    return labelled.withColumn("_a", whole).filter(F.col("_a") >= least).drop("_a")
 
 
 def instances(labelled: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:

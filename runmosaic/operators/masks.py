@@ -28,14 +28,14 @@ def _c(names: Sequence[str]) -> list[Column]:
 
 
 def rle_tokens(rle: str | Column) -> Column:
-    """Integer tokens of an RLE text; NULL and blank give an empty array."""
+    """Integer tokens of an RLE text; NULL and blank give an empty array, a token that is no number gives NULL."""
     text = F.trim(F.coalesce(F.col(rle) if isinstance(rle, str) else rle, F.lit("")))
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda t: t != ""), lambda t: t.cast("bigint"))
+    return F.transform(F.filter(F.split(text, r"\s+"), lambda t: t != ""), lambda t: t.try_cast("bigint"))
 
 
 def decode(manifest: DataFrame, rle: str = "rle", keys: Sequence[str] = KEYS,
            pixels: int | Column | None = None) -> DataFrame:
-    """RLE text -> runs. An unpaired last token is ignored, runs are clipped to ``pixels``."""
+    """RLE text -> runs. An unpaired last token and pairs that are no numbers are ignored, runs are clipped to ``pixels``."""
     df = manifest.select(*keys, rle_tokens(rle).alias("_t"))
     pairs = F.expr(
         "case when size(_t) >= 2 then transform(sequence(0, size(_t) div 2 - 1), "
@@ -43,6 +43,7 @@ def decode(manifest: DataFrame, rle: str = "rle", keys: Sequence[str] = KEYS,
         "else cast(array() as array<struct<s:bigint,e:bigint>>) end")
     # the outer form: else the optimizer adds a filter on the array that parses each text once per token
     runs = df.select(*keys, F.inline_outer(pairs))
+    runs = runs.filter("s is not null and e is not null")
     if pixels is not None:
         limit = F.lit(pixels) if isinstance(pixels, int) else pixels
         runs = runs.withColumn("e", F.least("e", limit))
@@ -194,25 +195,28 @@ def encode(segments: DataFrame, h: int, keys: Sequence[str] = KEYS) -> DataFrame
             .select(*keys, text.alias("rle")))
 
 
-def crop(segments: DataFrame, tiles: DataFrame, keys: Sequence[str] = KEYS, cell: int = 64) -> DataFrame:
+def crop(segments: DataFrame, tiles: DataFrame, keys: Sequence[str] = KEYS, cell: int = 64, rows: int = 512,
+         carry: Sequence[str] = ()) -> DataFrame:
     """Part of each segment inside each tile (``row, col, height, width``), tile coordinates kept.
 
-    Range join made an equi join on (key, column cell); a segment lies in exactly one cell so
-    no pair is produced twice.
+    Range join made an equi join on (key, column cell, row cell); a pair is taken in the cell where its
+    part begins, so no pair is produced twice. ``carry`` names tile columns to keep.
     """
-    left = segments.select(*keys, F.col("col").alias("c"), "r0", "r1", F.expr(f"col div {cell}").alias("_cell"))
+    left = segments.select(*keys, F.col("col").alias("c"), "r0", "r1", F.expr(f"col div {cell}").alias("_cell"),
+                           F.explode(F.expr(f"sequence(r0 div {rows}, (r1 - 1) div {rows})")).alias("_rc"))
     right = tiles.select(*keys, F.col("row").alias("t_row"), F.col("col").alias("t_col"),
-                         F.col("height").alias("t_h"), F.col("width").alias("t_w"))
-    right = right.withColumn(
-        "_cell", F.explode(F.expr(f"sequence(t_col div {cell}, (t_col + t_w - 1) div {cell})")))
-    hit = left.join(right, [*keys, "_cell"]).filter(
+                         F.col("height").alias("t_h"), F.col("width").alias("t_w"), *carry)
+    right = (right.withColumn("_cell", F.explode(F.expr(f"sequence(t_col div {cell}, (t_col + t_w - 1) div {cell})")))
+             .withColumn("_rc", F.explode(F.expr(f"sequence(t_row div {rows}, (t_row + t_h - 1) div {rows})"))))
+    hit = left.join(right, [*keys, "_cell", "_rc"]).filter(
         (F.col("c") >= F.col("t_col")) & (F.col("c") < F.col("t_col") + F.col("t_w"))
-        & (F.col("r0") < F.col("t_row") + F.col("t_h")) & (F.col("r1") > F.col("t_row")))
+        & (F.col("r0") < F.col("t_row") + F.col("t_h")) & (F.col("r1") > F.col("t_row"))
+        & F.expr(f"greatest(r0, t_row) div {rows} = _rc"))
     return hit.select(
         *keys, F.col("t_row").alias("tile_row"), F.col("t_col").alias("tile_col"),
         (F.col("c") - F.col("t_col")).alias("col"),
         (F.greatest("r0", "t_row") - F.col("t_row")).alias("r0"),
-        (F.least(F.col("r1"), F.col("t_row") + F.col("t_h")) - F.col("t_row")).alias("r1"))
+        (F.least(F.col("r1"), F.col("t_row") + F.col("t_h")) - F.col("t_row")).alias("r1"), *carry)
 
 
 def bbox(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -277,13 +281,14 @@ def alignment_report(images: DataFrame, masks: DataFrame, runs: DataFrame,
 
 
 def rle_issues(manifest: DataFrame, pixels: int, rle: str = "rle", keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per (manifest row, problem): odd_tokens, not_positive, unsorted, overlap, out_of_range."""
+    """One row per (manifest row, problem): not_a_number, odd_tokens, not_positive, unsorted, overlap, out_of_range."""
     df = manifest.select(*keys, F.col(rle).alias("rle"), rle_tokens(rle).alias("_t")).withColumn("_r", F.expr(
         "case when size(_t) >= 2 then transform(sequence(0, size(_t) div 2 - 1), "
         "i -> struct(get(_t, 2*i) - 1 as s, get(_t, 2*i) - 1 + get(_t, 2*i + 1) as e)) "
         "else cast(array() as array<struct<s:bigint,e:bigint>>) end")).withColumn(
         "_o", F.array_sort("_r")).filter(F.expr("rle is null or trim(rle) <> '0'"))
     found = F.expr(f"""filter(array(
+        case when exists(_t, x -> x is null) then 'not_a_number' end,
         case when size(_t) % 2 = 1 then 'odd_tokens' end,
         case when exists(_r, x -> x.s < 0 or x.e <= x.s) then 'not_positive' end,
         case when exists(transform(_r, (x, i) -> i > 0 and get(_r, i - 1).s > x.s), b -> b) then 'unsorted' end,

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from runmosaic.operators import masks as M
 
-BUCKETS = 4096  # first three hex digits of the hash
-
 
 def draw(seed: int, *keys: str) -> Column:
     """Hex text that orders rows at random but repeatably."""
@@ -27,20 +25,29 @@ def uniform(hex_text: Column) -> Column:
     return F.conv(F.substring(hex_text, 1, 13), 16, 10).cast("double") / float(16 ** 13)
 
 
-def hash_rank(df: DataFrame, seed: int, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """0-based ``rank`` in hash order and total ``n``, per group ``by``.
+def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys meet null keys; the keys come once."""
+    right = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return a.join(right, same).drop(*[f"_k_{k}" for k in keys])
+
+
+def hash_rank(df: DataFrame, seed: int, key: Sequence[str], by: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """0-based ``rank`` in hash order and total ``n``, per group ``by``; null is a group like any other.
+
+    ``digits`` hex digits of the hash make the buckets (16 ** digits a group).
 
     ``key`` must tell rows apart. Buckets are hashes of unique keys, so they stay even however
     the groups are skewed.
     """
-    marked = df.withColumn("_h", draw(seed, *key)).withColumn("_b", F.substring("_h", 1, 3))
+    marked = df.withColumn("_h", draw(seed, *key)).withColumn("_b", F.substring("_h", 1, digits))
     count = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    # at most BUCKETS rows per group
+    # at most 16 ** digits rows per group
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = count.select(*by, "_b", before.alias("_s"), F.sum("_c").over(w).alias("n"))
     local = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *key)) - 1
-    ranked = marked.withColumn("_r", local).join(start, [*by, "_b"])
+    ranked = null_safe_join(marked.withColumn("_r", local), start, [*by, "_b"])
     return ranked.withColumn("rank", F.col("_r") + F.col("_s")).drop("_h", "_b", "_r", "_s")
 
 
@@ -96,7 +103,7 @@ def weighted_draws(df: DataFrame, n: int, seed: int, key: Sequence[str], label:
     picked = draws.select("draw", u.alias("_u"), v.alias("_v"), "_c").withColumn(
         "_k", F.expr("filter(_c, x -> _u * x._all >= x._lo and _u * x._all < x._hi)[0]"))
     spot = picked.select("draw", F.col(f"_k.{label}").alias(label), F.floor(F.col("_v") * F.col("_k._n")).alias("rank"))
-    return spot.join(ranked, [label, "rank"]).select("draw", *df.columns)
+    return null_safe_join(spot, ranked, [label, "rank"]).select("draw", *df.columns)
 
 
 def chunk_shuffle(df: DataFrame, chunk: int, seed: int, position: str) -> DataFrame:

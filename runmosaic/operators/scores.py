@@ -41,26 +41,44 @@ def per_score(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFr
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def running_from_top(scores: DataFrame, sums: Sequence[str], order: str = "threshold") -> DataFrame:
-    """Totals over all scores >= this one without a global window.
+def in_blocks(scores: DataFrame, order: str, blocks: int = CURVE_BLOCKS) -> DataFrame:
+    """Adds ``_b``, the number of the block of about equal size that ``order`` falls in.
 
-    ``scores`` has distinct values of ``order``. They are cut into blocks of about equal size at
-    approximate quantiles, so crowded score ranges are split too. Totals of the blocks above come
-    from a window over at most CURVE_BLOCKS rows, the rest from a window inside the block; the
-    result does not depend on where the cuts fall.
+    Cuts lie at approximate quantiles, so crowded score ranges are split too; results of the callers
+    do not depend on where they fall. More distinct scores call for more ``blocks``.
     """
-    marks = F.array(*[F.lit(i / CURVE_BLOCKS) for i in range(1, CURVE_BLOCKS)])
-    cuts = scores.agg(F.percentile_approx(order, marks, 10000).alias("cuts")).scalar()
-    blocked = (scores.withColumn("_cuts", cuts)
-               .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts"))
-    totals = blocked.groupBy("_b").agg(*[F.sum(s).alias(s + "_all") for s in sums])
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    lead = totals.select("_b", *[F.coalesce(F.sum(s + "_all").over(above), F.lit(0)).alias(s + "_above") for s in sums])
-    inner = Window.partitionBy("_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(F.broadcast(lead), "_b")  # at most CURVE_BLOCKS rows
+    marks = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    cuts = scores.agg(F.percentile_approx(order, marks, 100 * blocks).alias("cuts")).scalar()
+    return scores.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+
+
+def running_from_top(scores: DataFrame, sums: Sequence[str], order: str = "threshold", by: Sequence[str] = (),
+                     blocks: int = CURVE_BLOCKS) -> DataFrame:
+    """Totals over all scores >= this one, per ``by``, without a global window.
+
+    ``scores`` has distinct values of ``order`` per ``by``. Totals of the blocks above come from a window
+    over at most ``blocks`` rows, the rest from a window inside the block.
+    """
+    blocked = in_blocks(scores, order, blocks)
+    totals = blocked.groupBy(*by, "_b").agg(*[F.sum(s).alias(s + "_all") for s in sums])
+    above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    lead = totals.select(*by, "_b", *[F.coalesce(F.sum(s + "_all").over(above), F.lit(0)).alias(s + "_above") for s in sums])
+    inner = Window.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = blocked.join(lead, [*by, "_b"])
     return joined.select(*scores.columns, *[(F.sum(s).over(inner) + F.col(s + "_above")).alias("cum_" + s) for s in sums])
 
 
+def best_from_here_down(scores: DataFrame, value: str, order: str, by: Sequence[str] = (), blocks: int = CURVE_BLOCKS) -> DataFrame:
+    """``value`` replaced by its maximum over this and all smaller ``order``, per ``by``, in the same two levels."""
+    blocked = in_blocks(scores, order, blocks)
+    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(1, Window.unboundedFollowing)
+    tops = blocked.groupBy(*by, "_b").agg(F.max(value).alias("_top"))
+    lead = tops.select(*by, "_b", F.max("_top").over(below).alias("_below"))
+    inner = Window.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(0, Window.unboundedFollowing)
+    here = blocked.withColumn(value, F.max(value).over(inner)).join(lead, [*by, "_b"])
+    return here.withColumn(value, F.greatest(value, "_below")).select(*scores.columns)  # greatest skips null
+
+
 def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """Area under the ROC curve by pair counting, ties as one half; 0 with one class only."""
     run = running_from_top(per_score(df, label, prob), ["pos"])
@@ -71,12 +89,14 @@ def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFram
 
 
 def roc_points(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
-    """fpr and tpr at each distinct score, with the (0, 0) start at an infinite threshold."""
+    """fpr and tpr at each distinct score, with the (0, 0) start at an infinite threshold.
+
+    With one class only the rate of the other is 0 everywhere."""
     per = per_score(df, label, prob)
     total = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     p, n = total.select("p").scalar(), total.select("n").scalar()
     run = running_from_top(per, ["pos", "neg"])
-    points = run.select("threshold", (F.col("cum_neg") / n).alias("fpr"), (F.col("cum_pos") / p).alias("tpr"))
+    points = run.select("threshold", X.safe_ratio(F.col("cum_neg"), n).alias("fpr"), X.safe_ratio(F.col("cum_pos"), p).alias("tpr"))
     start = total.select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
 
@@ -171,7 +191,7 @@ def batch_summary(log: DataFrame) -> DataFrame:
 
 def latency(log: DataFrame) -> DataFrame:
     return log.agg(F.avg("seconds").alias("mean"), F.stddev_pop("seconds").alias("std"), F.min("seconds").alias("min"),
-                   F.max("seconds").alias("max"), (1 / F.avg("seconds")).alias("fps"))
+                   F.max("seconds").alias("max"), F.try_divide(F.lit(1.0), F.avg("seconds")).alias("fps"))
 
 
 def ship_statistics(ships: DataFrame) -> DataFrame:

@@ -22,42 +22,46 @@ from runmosaic.operators import masks as M
 from runmosaic.operators import tiles as T
 from runmosaic.operators.grouped import Columns, grouped_map
 
-UNIT = 10 ** 9  # probabilities are summed as whole billionths, so sums do not depend on order
 
-
-def cells(patches: DataFrame, keys: Sequence[str] = M.KEYS, lists: bool = True) -> DataFrame:
+def cells(patches: DataFrame, keys: Sequence[str] = M.KEYS, lists: bool = True, block: int = 1024) -> DataFrame:
     """Disjoint rectangles with the patches over them: n, mean and maximal confidence, and with
     ``lists`` the patches themselves (as few as overlap in one point).
 
-    The cuts of an image are its distinct tile borders, reduced map-side. The join leaves rows
-    placed by image, so the grouping after it needs no further shuffle.
+    Patches are cut at the borders of square blocks first, and each block cuts what lies in it at the
+    distinct patch borders inside the block, reduced map-side. So a scene of any size spreads over its
+    blocks, and a patch meets the borders of its surroundings only. The join leaves rows placed by
+    block, so the grouping after it needs no further shuffle.
     """
-    p = patches.select(*keys, F.col("row").alias("r0"), (F.col("row") + F.col("height")).alias("r1"), F.col("col").alias("c0"),
-                       (F.col("col") + F.col("width")).alias("c1"), "confidence")
+    p = T.in_square_blocks(patches.select(*keys, "row", "col", "confidence", F.col("row").alias("r0"), (F.col("row") + F.col("height")).alias("r1"),
+                                          F.col("col").alias("c0"), (F.col("col") + F.col("width")).alias("c1")), block)
+    bk = [*keys, "_br", "_bc"]
     both = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.collect_set(a), F.collect_set(b))))
-    cuts = p.groupBy(*keys).agg(both("c0", "c1").alias("_x"), both("r0", "r1").alias("_y"))
+    cuts = p.groupBy(*bk).agg(both("c0", "c1").alias("_x"), both("r0", "r1").alias("_y"))
     piece = lambda arr, lo, hi: F.explode_outer(F.expr(f"arrays_zip(filter({arr}, v -> v >= {lo} and v < {hi}), filter({arr}, v -> v > {lo} and v <= {hi}))"))
-    s = (p.join(cuts, list(keys)).select(*keys, "r0", "r1", "c0", "_y", "confidence", piece("_x", "c0", "c1").alias("_px"))
-         .select(*keys, "r0", "c0", "confidence", "_px", piece("_y", "r0", "r1").alias("_py")))
-    patch = F.struct(F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("confidence"))
+    s = (p.join(cuts, bk).select(*bk, "row", "col", "r0", "r1", "_y", "confidence", piece("_x", "c0", "c1").alias("_px"))
+         .select(*bk, "row", "col", "confidence", "_px", piece("_y", "r0", "r1").alias("_py")))
+    patch = F.struct("row", "col", "confidence")
     out = [F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence")]
-    s = s.select(*keys, "r0", "c0", "confidence", F.col("_px")["0"].alias("_c0"), F.col("_px")["1"].alias("_c1"),
+    s = s.select(*bk, "row", "col", "confidence", F.col("_px")["0"].alias("_c0"), F.col("_px")["1"].alias("_c1"),
                  F.col("_py")["0"].alias("_r0"), F.col("_py")["1"].alias("_r1"))
     if lists:
         out.append(F.array_sort(F.collect_list(patch)).alias("patches"))
-    g = s.groupBy(*keys, "_c0", "_c1", "_r0", "_r1").agg(*out)
+    g = s.groupBy(*bk, "_c0", "_c1", "_r0", "_r1").agg(*out).drop("_br", "_bc")
     for n in ("c0", "c1", "r0", "r1"):
         g = g.withColumnRenamed("_" + n, n)
     return g
 
 
 def over_cells(segments: DataFrame, cell_table: DataFrame, keep: Sequence[str], carry: Sequence[str], keys: Sequence[str] = M.KEYS,
-               bucket: int = 64) -> DataFrame:
-    """Cut segments at cell borders and attach the cell's columns."""
-    left = segments.select(*keys, *keep, "col", "r0", "r1", F.expr(f"col div {bucket}").alias("_b"))
+               bucket: int = 64, rows: int = 512) -> DataFrame:
+    """Cut segments at cell borders and attach the cell's columns. Both meet in (column, row) buckets; a part
+    is taken in the bucket where it begins."""
+    left = segments.select(*keys, *keep, "col", "r0", "r1", F.expr(f"col div {bucket}").alias("_b"),
+                           F.explode(F.expr(f"sequence(r0 div {rows}, (r1 - 1) div {rows})")).alias("_rb"))
     right = cell_table.select(*keys, F.col("c0").alias("_c0"), F.col("c1").alias("_c1"), F.col("r0").alias("_r0"), F.col("r1").alias("_r1"), *carry)
-    right = right.withColumn("_b", F.explode(F.expr(f"sequence(_c0 div {bucket}, (_c1 - 1) div {bucket})")))
-    hit = left.join(right, [*keys, "_b"]).filter("col >= _c0 and col < _c1 and r0 < _r1 and r1 > _r0")
+    right = (right.withColumn("_b", F.explode(F.expr(f"sequence(_c0 div {bucket}, (_c1 - 1) div {bucket})")))
+             .withColumn("_rb", F.explode(F.expr(f"sequence(_r0 div {rows}, (_r1 - 1) div {rows})"))))
+    hit = left.join(right, [*keys, "_b", "_rb"]).filter(f"col >= _c0 and col < _c1 and r0 < _r1 and r1 > _r0 and greatest(r0, _r0) div {rows} = _rb")
     return hit.select(*keys, *keep, *carry, "col", F.greatest("r0", "_r0").alias("r0"), F.least("r1", "_r1").alias("r1"))
 
 
@@ -82,12 +86,20 @@ def max_blend(patch_segments: DataFrame, threshold: float = 0.5, keys: Sequence[
     return M.union(patch_segments.filter(F.col("p") > threshold), keys)
 
 
-def average_blend(patches: DataFrame, patch_segments: DataFrame, threshold: float = 0.5, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """Mean probability over covering patches above the threshold. Segments of one patch are disjoint."""
-    events = M.edges(patch_segments, {"total": F.round(F.col("p") * UNIT).cast("bigint")}, keys)
-    state = M.sweep(events, ["total"], keys).filter("total > 0")
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def average_blend(patches: DataFrame, patch_segments: DataFrame, threshold: float = 0.5, keys: Sequence[str] = M.KEYS,
+                  digits: int | None = None) -> DataFrame:
+    """Mean probability over covering patches above the threshold. Segments of one patch are disjoint.
+
+    Probabilities are summed as decimals, so sums do not depend on order; ``digits`` rounds them first.
+    """
+    p = _rounded(F.col("p"), digits).cast("decimal(28,18)")
+    state = M.sweep(M.edges(patch_segments, {"total": p}, keys), ["total"], keys).filter("total > 0")
     cut = over_cells(state, cells(patches, keys, False), ["total"], ["n"], keys)
-    return M.join_touching(cut.filter(F.col("total") > F.lit(int(threshold * UNIT)) * F.col("n")), keys)
+    return M.join_touching(cut.filter(F.col("total") > F.lit(threshold).cast("decimal(20,18)") * F.col("n")), keys)
 
 
 def _weight(i: str, j: str, size: int, fade: int, kernel: str, conf: str) -> str:
@@ -102,11 +114,12 @@ def _weight(i: str, j: str, size: int, fade: int, kernel: str, conf: str) -> str
 
 
 def weighted_blend(patches: DataFrame, patch_segments: DataFrame, size: int, overlap: int, threshold: float = 0.5, kernel: str = "ramp",
-                   keys: Sequence[str] = M.KEYS, digits: int = 9) -> DataFrame:
+                   keys: Sequence[str] = M.KEYS, digits: int | None = None) -> DataFrame:
     """sum(w p) / sum(w) above the threshold, ``kernel`` ramp or distance; uncovered pixels are 0.
 
     Under a single patch the weight cancels, so those intervals pass whole (inside the support of
-    the kernel). Only the overlap bands are blended pixel by pixel.
+    the kernel). Only the overlap bands are blended pixel by pixel. ``digits`` rounds values before they
+    meet the threshold, for runs that must agree with another engine's order of summing.
     """
     fade = overlap // 2
     segs = patch_segments.select(*keys, "tile_row", "tile_col", "p", "col", "r0", "r1").filter("p > 0")
@@ -116,7 +129,7 @@ def weighted_blend(patches: DataFrame, patch_segments: DataFrame, size: int, ove
         segs = segs.withColumn("r0", F.greatest(F.col("r0"), F.col("tile_row") + fade)).withColumn(
             "r1", F.least(F.col("r1"), F.col("tile_row") + size - fade)).filter("r1 > r0")
     cut = over_cells(segs, cells(patches, keys), ["tile_row", "tile_col", "p"], ["n", "patches"], keys)
-    single = cut.filter((F.col("n") == 1) & (F.round("p", digits) > threshold)).select(*keys, "col", "r0", "r1")
+    single = cut.filter((F.col("n") == 1) & (_rounded(F.col("p"), digits) > threshold)).select(*keys, "col", "r0", "r1")
     px = cut.filter("n > 1").select(*keys, "tile_row", "tile_col", "p", "patches", "col", F.explode(F.expr("sequence(r0, r1 - 1)")).alias("row"))
     own = F.expr(f"filter(patches, t -> t.row = tile_row and t.col = tile_col)[0].confidence")
     px = px.withColumn("_conf", own)
@@ -124,13 +137,15 @@ def weighted_blend(patches: DataFrame, patch_segments: DataFrame, size: int, ove
     den = F.expr(f"aggregate(patches, 0.0d, (a, t) -> a + {_weight('(row - t.row)', '(col - t.col)', size, fade, kernel, 't.confidence')})")
     blended = px.select(*keys, "col", "row", (w * F.col("p")).alias("wp"), den.alias("den")).groupBy(*keys, "col", "row").agg(
         F.sum("wp").alias("num"), F.max("den").alias("den"))
-    on = blended.filter((F.col("den") > 0) & (F.round(F.col("num") / F.col("den"), digits) > threshold))
+    on = blended.filter((F.col("den") > 0) & (_rounded(F.col("num") / F.col("den"), digits) > threshold))
     return M.join_touching(single.unionByName(on.select(*keys, "col", F.col("row").alias("r0"), (F.col("row") + 1).alias("r1"))), keys)
 
 
 def feather_blend(patches: DataFrame, patch_segments: DataFrame, size: int, overlap: int, threshold: float = 0.5,
-                  keys: Sequence[str] = M.KEYS, digits: int = 9) -> DataFrame:
-    """Fold e * (1 - w) + p * w over the covering patches in (row, col) order, above the threshold.
+                  keys: Sequence[str] = M.KEYS, digits: int | None = None, order: str = "position") -> DataFrame:
+    """Fold e * (1 - w) + p * w over the covering patches, above the threshold.
+
+    ``order`` is position (row, col), or confidence: rising, so that the most confident patch has the last word.
 
     w is the patch confidence times the distance kernel smoothed with sigma 2. The kernel is one row
     of size * size doubles, whatever the data, and reaches the plan as a subquery value.
@@ -144,8 +159,9 @@ def feather_blend(patches: DataFrame, patch_segments: DataFrame, size: int, over
         F.collect_list(F.struct("tile_row", "tile_col", "p")).alias("seen"), F.any_value("patches").alias("patches")).withColumn("_k", kernel)
     w = f"(t.confidence * get(_k, cast((row - t.row) * {size} + col - t.col as int)))"
     mine = "coalesce(get(filter(seen, s -> s.tile_row = t.row and s.tile_col = t.col), 0).p, 0.0d)"
-    value = F.expr(f"aggregate(patches, 0.0d, (e, t) -> e * (1 - {w}) + {mine} * {w})")
-    on = seen.filter(F.round(value, digits) > threshold)
+    fold = {"position": "patches", "confidence": "array_sort(transform(patches, t -> named_struct('confidence', t.confidence, 'row', t.row, 'col', t.col)))"}[order]
+    value = F.expr(f"aggregate({fold}, 0.0d, (e, t) -> e * (1 - {w}) + {mine} * {w})")
+    on = seen.filter(_rounded(value, digits) > threshold)
     return M.join_touching(on.select(*keys, "col", F.col("row").alias("r0"), (F.col("row") + 1).alias("r1")), keys)
 
 

@@ -12,11 +12,12 @@ from runmosaic.operators import masks as M
 EDGES = ("none", "reference", "cover")
 
 
-def _starts(size: str, patch: int, stride: int, cover: bool = False) -> str:
-    """SQL array of start positions along an axis of length ``size``."""
+def _starts(size: str, patch: int, stride: int, edge: str = "none") -> str:
+    """SQL array of the different start positions along an axis of length ``size``."""
     base = f"sequence(0L, cast({size} as bigint) - {patch}, {stride}L)"
-    if cover:
-        base = f"array_distinct(array_append({base}, cast({size} as bigint) - {patch}))"
+    if edge != "none":
+        more = f"array_distinct(array_append({base}, cast({size} as bigint) - {patch}))"
+        base = more if edge == "cover" else f"if({size} % {stride} <> 0 and {size} > {patch}, {more}, {base})"
     return f"case when {size} >= {patch} then {base} else cast(array() as array<bigint>) end"
 
 
@@ -39,7 +40,7 @@ def grid(images: DataFrame, patch: int = 224, overlap: int = 32, edge: str = "co
                         F.lit(name).alias("pass")))
 
     if edge in ("none", "cover"):
-        axis = _starts("H", patch, stride, edge == "cover")
+        axis = _starts("H", patch, stride, edge)
         return cross(axis, axis, 0)
     axis, far = _starts("H", patch, stride), f"array(cast(H as bigint) - {patch})"
     right = f"_w % {stride} <> 0 and _w > {patch}"
@@ -59,19 +60,19 @@ def number_tiles(tiles: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     return tiles.withColumn("patch_id", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def tile_pixels(segments: DataFrame, patch: int, overlap: int, h: int, w: int, edge: str = "none",
+def tile_pixels(images: DataFrame, segments: DataFrame, patch: int, overlap: int, edge: str = "none",
                 keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """Distinct mask pixels per grid tile, only tiles with pixels.
+    """Distinct mask pixels per grid tile of images with ``height, width``, only tiles with pixels.
 
-    The grid is regular, so the tiles over a word follow from its position: no join, one shuffle
-    for the mask union and one (with partial sums) for the count.
+    The grid is regular, so the tiles over a word follow from its position and its image's size; tiles
+    that several passes of the ``reference`` edge repeat are counted once.
     """
     stride = patch - overlap
-    cover = edge == "cover"
-    words = M.union_words(segments, keys)
-    rows, cols = _starts(str(h), patch, stride, cover), _starts(str(w), patch, stride, cover)
+    size = images.select(*keys, F.col("height").cast("bigint").alias("_h"), F.col("width").cast("bigint").alias("_w"))
+    words = M.union_words(segments, keys).join(size, list(keys))
+    rows, cols = _starts("_h", patch, stride, edge), _starts("_w", patch, stride, edge)
     over = words.select(
-        *keys, "wd", "bits",
+        *keys, "_h", "wd", "bits",
         F.explode_outer(F.expr(f"filter({cols}, t -> t <= col and t + {patch} > col)")).alias("tile_col")).filter("tile_col is not null")
     over = over.select(
         *keys, "wd", "bits", "tile_col",
@@ -89,23 +90,22 @@ def with_label(df: DataFrame, patch: int, positive_ratio: float = 0.01) -> DataF
 
 
 def label_grid(images: DataFrame, segments: DataFrame, patch: int = 224, overlap: int = 32,
-               h: int = 768, w: int = 768, edge: str = "none", keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """All grid tiles of all images with mask pixels, ratio and label.
+               edge: str = "none", keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """All different grid tiles of all images, each by its own ``height, width``, with mask pixels, ratio and label.
 
     Untouched tiles enter as zero rows and share the counting shuffle.
     """
     zero = grid(images, patch, overlap, edge, keys).select(
         *keys, "row", "col", F.lit(0).cast("bigint").alias("ship_pixels"))
-    hit = tile_pixels(segments, patch, overlap, h, w, edge, keys).select(
+    hit = tile_pixels(images, segments, patch, overlap, edge, keys).select(
         *keys, F.col("tile_row").alias("row"), F.col("tile_col").alias("col"), "ship_pixels")
-    known = hit.join(images.select(*keys), list(keys), "left_semi")
-    both = zero.unionByName(known).groupBy(*keys, "row", "col").agg(F.sum("ship_pixels").alias("ship_pixels"))
+    both = zero.unionByName(hit).groupBy(*keys, "row", "col").agg(F.sum("ship_pixels").alias("ship_pixels"))
     return with_label(both, patch)
 
 
 def label_tiles(tiles: DataFrame, segments: DataFrame, patch: int, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """Label any tile table (for example after dropping uniform tiles)."""
-    part = M.crop(M.union(segments, keys), tiles, keys)
+    """Label any tile table (for example after dropping uniform tiles). A tile that is there twice is counted once and labelled twice."""
+    part = M.crop(M.union(segments, keys), tiles.select(*keys, "row", "col", "height", "width").distinct(), keys)
     n = (part.groupBy(*keys, F.col("tile_row").alias("row"), F.col("tile_col").alias("col"))
          .agg(F.sum(F.col("r1") - F.col("r0")).alias("ship_pixels")))
     joined = tiles.join(n, [*keys, "row", "col"], "left").withColumn(
@@ -163,13 +163,25 @@ def overlapping_pairs(tiles: DataFrame, keys: Sequence[str] = M.KEYS, cell: int
     return hit.select(*keys, "row_1", "col_1", "row_2", "col_2", *[v.alias(n) for n, v in ends.items()])
 
 
-def union_rectangles(rects: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def in_square_blocks(rects: DataFrame, block: int) -> DataFrame:
+    """Rectangles ``c0, c1, r0, r1`` cut at the borders of square blocks, with the block's ``_br, _bc``."""
+    cut = (rects.withColumn("_br", F.explode(F.expr(f"sequence(r0 div {block}, (r1 - 1) div {block})")))
+           .withColumn("_bc", F.explode(F.expr(f"sequence(c0 div {block}, (c1 - 1) div {block})"))))
+    inside = {"r0": f"greatest(r0, _br * {block})", "r1": f"least(r1, _br * {block} + {block})",
+              "c0": f"greatest(c0, _bc * {block})", "c1": f"least(c1, _bc * {block} + {block})"}
+    return cut.withColumns({n: F.expr(e) for n, e in inside.items()})
+
+
+def union_rectangles(rects: DataFrame, keys: Sequence[str] = M.KEYS, block: int = 1024) -> DataFrame:
     """Disjoint rectangles ``c0, c1, r0, r1`` with the same pixels as the given ones.
 
-    Columns are cut only where some rectangle of the image begins or ends, so a tile of 224
-    columns stays a handful of rows. The list of cuts per image is as long as its grid is wide.
+    Rectangles are cut at the borders of square blocks, and inside a block columns only where some
+    rectangle begins or ends, so a tile of 224 columns stays a handful of rows and the list of cuts is
+    that of one block.
     """
-    rects = rects.select(*keys, "c0", "c1", "r0", "r1").distinct()
+    keep = list(keys)
+    rects = in_square_blocks(rects.select(*keys, "c0", "c1", "r0", "r1").distinct(), block)
+    keys = [*keys, "_br", "_bc"]
     cuts = (rects.select(*keys, F.explode(F.array("c0", "c1")).alias("_x"))
             .groupBy(*keys).agg(F.array_sort(F.collect_set("_x")).alias("_xs")))
     strips = (rects.join(cuts, list(keys))
@@ -178,7 +190,7 @@ def union_rectangles(rects: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFram
                   "t -> t.c0 >= c0 and t.c1 <= c1)")).alias("_s"))
               .select(*keys, F.col("_s.c0").alias("c0"), F.col("_s.c1").alias("c1"), "r0", "r1"))
     merged = M.union(strips.withColumnRenamed("c0", "col"), (*keys, "c1"))
-    return merged.select(*keys, F.col("col").alias("c0"), "c1", "r0", "r1")
+    return merged.select(*keep, F.col("col").alias("c0"), "c1", "r0", "r1")
 
 
 def coverage(images: DataFrame, tiles: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
@@ -189,7 +201,7 @@ def coverage(images: DataFrame, tiles: DataFrame, keys: Sequence[str] = M.KEYS)
     out = images.join(covered, list(keys), "left")
     n = F.coalesce(F.col("area"), F.lit(0))
     total = F.col("height").cast("bigint") * F.col("width")
-    return out.select(*keys, n.alias("covered"), (total - n).alias("uncovered"), (n / total).alias("coverage"))
+    return out.select(*keys, n.alias("covered"), (total - n).alias("uncovered"), F.try_divide(n, total).alias("coverage"))
 
 
 def seam_bands(tiles: DataFrame, h: int, w: int, half: int = 3, keys: Sequence[str] = M.KEYS) -> DataFrame:

@@ -73,19 +73,32 @@ def f_beta(spark, sf_dir):
     return out.withColumn("f_beta", F.round("f_beta", 9))
 
 
-@query("average_precision", sql("boxes gt", MATCH + """, lev AS (SELECT score, step, count(*) AS n FROM boxes, steps GROUP BY ALL),
+AP_SQL = MATCH + """, lev AS (SELECT score, step, count(*) AS n FROM boxes, steps GROUP BY ALL),
   t AS (SELECT h.step, b.score, count(*) AS tp FROM hits h JOIN boxes b ON b.image_id = h.image_id AND b.box_id = h.pred GROUP BY ALL),
   cur AS (SELECT lev.step, lev.score, sum(coalesce(tp, 0)) OVER w AS tp, sum(n) OVER w AS n FROM lev LEFT JOIN t ON t.step = lev.step AND t.score = lev.score
     WINDOW w AS (PARTITION BY lev.step ORDER BY lev.score DESC)),
   pr AS (SELECT step, tp::DOUBLE / n AS precision, tp::DOUBLE / (SELECT count(*) FROM gt) AS recall FROM cur),
   pts AS (SELECT i / 100.0::DOUBLE AS r FROM range(101) x(i))
   SELECT step, round(sum(p) / 101, 6) AS ap FROM (SELECT s.step, r, coalesce(max(precision), 0) AS p FROM steps s CROSS JOIN pts
-    LEFT JOIN pr ON pr.step = s.step AND recall >= r - 1e-11::DOUBLE GROUP BY ALL) GROUP BY step""", True))
+    LEFT JOIN pr ON pr.step = s.step AND recall >= r - 1e-11::DOUBLE GROUP BY ALL) GROUP BY step"""
+
+
+@query("average_precision", sql("boxes gt", AP_SQL, True))
 def average_precision(spark, sf_dir):
     p, g = V.boxes(spark, sf_dir), V.truth_boxes(spark, sf_dir)
     return B.average_precision(p, g, B.box_candidates(p, g)).withColumn("ap", F.round("ap", 6))
 
 
+# scores with many decimals, nearly all distinct
+FINE = "l_extendedprice / cast(200000.0 as double)"
+
+
+@query("average_precision_fine", sql("boxes gt", AP_SQL, True).replace(V.SHIP_COLUMNS["score"] + " AS score", FINE.replace("cast(200000.0 as double)", "200000.0::DOUBLE") + " AS score"))
+def average_precision_fine(spark, sf_dir):
+    p, g = V.boxes(spark, sf_dir, FINE), V.truth_boxes(spark, sf_dir)
+    return B.average_precision(p, g, B.box_candidates(p, g)).withColumn("ap", F.round("ap", 6))
+
+
 @query("mask_iou_pairs", sql("truth pred", """, a AS (SELECT image_id, ship_id, sum(r1 - r0) AS n FROM truth GROUP BY ALL),
   o AS (SELECT p.image_id, p.ship_id AS pred, t.ship_id AS gt, sum(least(p.r1, t.r1) - greatest(p.r0, t.r0))::BIGINT AS overlap
    FROM pred p JOIN truth t ON p.image_id = t.image_id AND p.col = t.col AND p.r0 < t.r1 AND t.r0 < p.r1 GROUP BY ALL)
@@ -176,6 +189,17 @@ def split_stratified(spark, sf_dir):
     return P.split_exact(V.classifier(spark, sf_dir), 0.2, 42, ["doc_id"], ["label"]).select("doc_id", "label", "split")
 
 
+@query("split_stratified_nulls", "WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, nullif(l_linenumber, 3) AS stratum FROM lineitem) "
+       "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, stratum, CASE WHEN " + RANK.format(p="PARTITION BY stratum ", s=42, k="l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber").replace(
+           ", l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber)", ", l_orderkey, l_partkey, l_suppkey, l_linenumber)")
+       + " < ceil(count(*) OVER (PARTITION BY stratum) * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM l")
+def split_stratified_nulls(spark, sf_dir):
+    """Rows without a stratum are a stratum of their own."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    rows = V.table(spark, sf_dir, "lineitem").selectExpr(*keys, "nullif(l_linenumber, 3) as stratum")
+    return P.split_exact(rows, 0.2, 42, keys, ["stratum"])
+
+
 @query("split_images", sql("manifest", """, i AS (SELECT DISTINCT image_id FROM manifest), r AS (SELECT image_id, """ + RANK.format(p="", s=42, k="image_id")
        + """ AS k, count(*) OVER () AS n FROM i)
   SELECT image_id, ship_id, CASE WHEN k < floor(n * 0.8::DOUBLE) THEN 'train' WHEN k < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split

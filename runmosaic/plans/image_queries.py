@@ -98,16 +98,6 @@ def image_windows(spark, sf_dir):
     return I.byte_sums(I.windows_to_patches(rendered(spark, sf_dir), 32, 16, 16), keep=("row", "col"))
 
 
-@query("image_adaptive")
-def image_adaptive(spark, sf_dir):
-    return I.byte_sums(I.per_image(rendered(spark, sf_dir), lambda a, _: I.adaptive(a, 48)))
-
-
-@query("image_multiscale")
-def image_multiscale(spark, sf_dir):
-    return I.byte_sums(I.per_image(rendered(spark, sf_dir), lambda a, _: I.multiscale(a, True, 48, 16)))
-
-
 def _digit(i: int) -> str:
     return f"('0x' || substr(md5('3:1:' || image_id), {i}, 1))::INT"
 
@@ -159,7 +149,7 @@ def detector_rows(spark, sf_dir):
 
 def run_cascade(spark, sf_dir):
     return D.cascade(rendered(spark, sf_dir), D.score_udf(D.bright_share(200), 32)("data"), D.mask_udf(D.bright_mask(200), 32)("data"),
-                     (SIDE, SIDE), 32, 8, 0.01, "reference", 1.0, 10)
+                     (SIDE, SIDE), 32, 8, 0.01, "reference", 1.0, 10, ids=V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id")))
 
 
 @query("cascade_instances")

@@ -37,6 +37,47 @@ def tile_labels(spark, sf_dir):
     return T.label_grid(V.images(spark, sf_dir), decoded(spark, sf_dir))
 
 
+SIZED_LABELS = """WITH {sizes}, ships AS ({ships}), n AS (SELECT i FROM range(8) t(i)),
+ r AS (SELECT image_id, i * 192 AS row FROM images, n WHERE i * 192 + 224 <= height{rows}),
+ c AS (SELECT image_id, i * 192 AS col FROM images, n WHERE i * 192 + 224 <= width{cols}),
+ t AS (SELECT image_id, row, col FROM r JOIN c USING (image_id)),
+ px AS (SELECT DISTINCT image_id, x1 + k AS col, unnest(range(y1 + k * slant, y1 + k * slant + hgt)) AS row FROM (SELECT *, unnest(range(w)) AS k FROM ships))
+ SELECT image_id, row, col, ship_pixels, ship_pixels / 50176.0::DOUBLE AS ship_pixel_ratio, (ship_pixels > 50176 * 0.01)::INT AS has_ship
+ FROM (SELECT t.image_id, t.row, t.col, count(p.row)::BIGINT AS ship_pixels FROM t LEFT JOIN px p ON p.image_id = t.image_id
+  AND p.row >= t.row AND p.row < t.row + 224 AND p.col >= t.col AND p.col < t.col + 224 GROUP BY ALL)"""
+BORDER = {"none": "", "reference": " UNION SELECT image_id, {n} - 224 FROM images WHERE {n} % 192 <> 0 AND {n} > 224", "cover": " UNION SELECT image_id, {n} - 224 FROM images WHERE {n} >= 224"}
+
+
+def sized_labels_sql(edge: str) -> str:
+    return SIZED_LABELS.format(sizes=SIZES, ships="SELECT " + ", ".join(f"{v} AS {k}" for k, v in V.SHIP_COLUMNS.items()) + " FROM lineitem",
+                               rows=BORDER[edge].format(n="height"), cols=BORDER[edge].format(n="width"))
+
+
+# image sizes that differ per row, for the edge rules
+SIZES = "images AS (SELECT o_orderkey AS image_id, 200 + (o_orderkey * 37) % 700 AS height, 200 + (o_orderkey * 53) % 700 AS width FROM orders)"
+
+
+def sized_images(spark, sf_dir):
+    return V.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as image_id", "200 + (o_orderkey * 37) % 700 as height", "200 + (o_orderkey * 53) % 700 as width")
+
+
+def sized_labels(edge: str):
+    return lambda spark, sf_dir: T.label_grid(sized_images(spark, sf_dir), V.truth_segments(spark, sf_dir), edge=edge)
+
+
+for _edge in T.EDGES:
+    query(f"tile_labels_sized_{_edge}", sized_labels_sql(_edge))(sized_labels(_edge))
+
+
+@query("tile_table_labels_sized", sized_labels_sql("reference"))
+def tile_table_labels_sized(spark, sf_dir):
+    """The tile table lists some tiles twice; both copies get the label of one."""
+    tiles = T.grid(sized_images(spark, sf_dir), edge="reference")
+    return T.label_tiles(tiles, V.truth_segments(spark, sf_dir), 224).select(
+        "image_id", "row", "col", "ship_pixels", "ship_pixel_ratio", "has_ship").distinct()
+
+
 @query("tile_table_labels", sql("tiles tpx", LABEL_SQL))
 def tile_table_labels(spark, sf_dir):
     tiles = T.grid(V.images(spark, sf_dir), edge="none")
@@ -168,14 +209,14 @@ def mask_alignment(spark, sf_dir):
 # every row is tested; the texts are damaged by rule so that each problem occurs
 BROKEN_RLE = """case l_linenumber when 1 then concat(s, ' ', n, ' 7') when 2 then concat(s, ' 0') when 3 then
   concat(s + 900, ' ', n, ' ', s, ' ', n) when 4 then concat(s, ' ', n + 5, ' ', s + 2, ' ', n) when 5 then
-  concat(s, ' ', 589824) else concat(s, ' ', n) end"""
+  concat(s, ' ', 589824) when 6 then concat(s, ' x', n) else concat(s, ' ', n) end"""
 
 
 @query("rle_issues", """WITH r AS (SELECT l_orderkey AS image_id, l_partkey, l_suppkey, l_linenumber AS k, l_partkey * 7 + 1 AS s,
     l_quantity::BIGINT AS n FROM lineitem)
   SELECT image_id, l_partkey, l_suppkey, issue FROM (
     SELECT *, unnest(CASE k WHEN 1 THEN ['odd_tokens'] WHEN 2 THEN ['not_positive'] WHEN 3 THEN ['unsorted']
-      WHEN 4 THEN ['overlap'] WHEN 5 THEN CASE WHEN s > 1 THEN ['out_of_range'] ELSE []::VARCHAR[] END
+      WHEN 4 THEN ['overlap'] WHEN 5 THEN CASE WHEN s > 1 THEN ['out_of_range'] ELSE []::VARCHAR[] END WHEN 6 THEN ['not_a_number']
       ELSE []::VARCHAR[] END) AS issue FROM r)""")
 def rle_issues(spark, sf_dir):
     bad = (V.table(spark, sf_dir, "lineitem")
@@ -192,15 +233,6 @@ def tile_grid(spark, sf_dir):
     return T.grid(V.images(spark, sf_dir), 224, 32, "none").select("image_id", "row", "col")
 
 
-# image sizes that differ per row, for the edge rules
-SIZES = "images AS (SELECT o_orderkey AS image_id, 200 + (o_orderkey * 37) % 700 AS height, 200 + (o_orderkey * 53) % 700 AS width FROM orders)"
-
-
-def sized_images(spark, sf_dir):
-    return V.table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as image_id", "200 + (o_orderkey * 37) % 700 as height", "200 + (o_orderkey * 53) % 700 as width")
-
-
 EDGE_SQL = f"""WITH {SIZES}, n AS (SELECT i FROM range(8) t(i)),
  r AS (SELECT image_id, i * 192 AS row FROM images, n WHERE i * 192 + 224 <= height),
  c AS (SELECT image_id, i * 192 AS col FROM images, n WHERE i * 192 + 224 <= width)"""
@@ -262,11 +294,12 @@ def sliding_windows(spark, sf_dir):
     return T.ensemble_scores(scored, "confidence").withColumn("mean_score", F.round("mean_score", 9))
 
 
-@query("tile_overlaps", sql("tiles", """SELECT a.image_id, a.row AS row_1, a.col AS col_1, b.row AS row_2, b.col AS col_2,
-   greatest(a.row, b.row) AS row_start, least(a.row, b.row) + 224 AS row_end,
-   greatest(a.col, b.col) AS col_start, least(a.col, b.col) + 224 AS col_end
-  FROM tiles a JOIN tiles b ON a.image_id = b.image_id AND (a.row, a.col) < (b.row, b.col)
-   AND abs(a.row - b.row) < 224 AND abs(a.col - b.col) < 224"""))
+# the pairs of the one 3 x 3 grid, listed once and attached to every image
+@query("tile_overlaps", sql("images", """WITH g AS (SELECT r * 192 AS row, c * 192 AS col FROM range(3) a(r), range(3) b(c)),
+  p AS (SELECT a.row AS row_1, a.col AS col_1, b.row AS row_2, b.col AS col_2, greatest(a.row, b.row) AS row_start,
+   least(a.row, b.row) + 224 AS row_end, greatest(a.col, b.col) AS col_start, least(a.col, b.col) + 224 AS col_end
+   FROM g a, g b WHERE (a.row < b.row OR (a.row = b.row AND a.col < b.col)) AND abs(a.row - b.row) < 224 AND abs(a.col - b.col) < 224)
+  SELECT image_id, p.* FROM images, p"""))
 def tile_overlaps(spark, sf_dir):
     return T.overlapping_pairs(T.grid(V.images(spark, sf_dir), edge="none"))
 

@@ -35,6 +35,12 @@ def components(spark, sf_dir):
     return K.components(truth(spark, sf_dir), W)
 
 
+@query("components_blocks", sql("tpx", labels_sql("tpx", False) + " SELECT * FROM lab", True))
+def components_blocks(spark, sf_dir):
+    """Blocks narrower than most ships, so labels meet at block borders."""
+    return K.components(truth(spark, sf_dir), W, block=5)
+
+
 @query("components_4", sql("tpx", labels_sql("tpx", True) + " SELECT * FROM lab", True))
 def components_4(spark, sf_dir):
     return K.components(truth(spark, sf_dir), W, 4)

@@ -19,13 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the cores when the scan gives fewer splits than cores.
-
-    Only for small inputs (one file with one row group cannot be split); a large input has more
-    splits than cores and is left as it is. Reading the split count runs no job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    """Narrow rows dealt out evenly by their key before they unfold into many times their bytes."""
+    return df.repartition(*keys)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +43,11 @@ SHIP_COLUMNS = {
 }
 
 
-def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ships(spark: SparkSession, sf_dir: str, score: str = SHIP_COLUMNS["score"]) -> DataFrame:
     used = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice")
     return spread(used, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").selectExpr(
-        *[f"{v} as {k}" for k, v in SHIP_COLUMNS.items()])
+        *[f"{v} as {k}" for k, v in {**SHIP_COLUMNS, "score": score}.items()])
 
 
 def _segments(df: DataFrame, x: str, y: str, extra: tuple[str, ...]) -> DataFrame:
@@ -82,9 +77,9 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship.unionByName(empty)
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boxes(spark: SparkSession, sf_dir: str, score: str = SHIP_COLUMNS["score"]) -> DataFrame:
     """Predicted boxes with score."""
-    return ships(spark, sf_dir).selectExpr(
+    return ships(spark, sf_dir, score).selectExpr(
         "image_id", "ship_id as box_id", "x1 + px as x1", "y1 + py as y1", "x1 + px + w as x2",
         "y1 + py + (w - 1) * slant + hgt as y2", "score")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
+LOCAL_FOLDER = "file:///tmp/checkpoints"
+
+
 def build_session(master: str = "local[8]", app: str = "runmosaic", partitions: int = 16,
-                  memory: str = "12g") -> SparkSession:
+                  memory: str = "12g", checkpoints: str = LOCAL_FOLDER) -> SparkSession:
+    """``checkpoints`` must be a folder that driver and executors share; the default is for a local master."""
     spark = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -18,6 +20,8 @@ def build_session(master: str = "local[8]", app: str = "runmosaic", partitions:
         # run rows unfold into many times their bytes after a shuffle, so small partitions still pay
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", checkpoints)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -30,16 +34,16 @@ def build_session(master: str = "local[8]", app: str = "runmosaic", partitions:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is made only on a local master where the setting is absent (tests);
-    on a cluster a missing setting is an error, never a machine-local folder.
+    Without that setting a local master uses a fixed folder of its own; on a cluster a missing setting
+    is an error, never a machine-local folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="runmosaic-checkpoint-")
+            folder = LOCAL_FOLDER
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -28,9 +28,9 @@ def stream_manifest(spark: SparkSession, path: str, files_per_trigger: int = 8)
 
 
 def read_patch_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Patch scores written by image; the image comes from the folder name."""
-    schema = T.StructType(PATCH_PREDICTIONS.fields + [T.StructField("image_id", T.StringType())])
-    return spark.read.schema(schema).csv(path, header=True)
+    """Patch scores of all images, from the hash folders they are written in."""
+    schema = T.StructType(PATCH_PREDICTIONS.fields + [T.StructField("image_id", T.StringType()), T.StructField("bucket", T.LongType())])
+    return spark.read.schema(schema).csv(path, header=True).drop("bucket")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -53,9 +53,11 @@ def positives(manifest: DataFrame, otherwise: str = "all") -> DataFrame:
 
 
 def label_lines(lines: DataFrame, size: tuple[int, int], text: str = "value", keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Polygon label lines ``class x1 y1 x2 y2 ...`` -> vertices in whole pixels."""
+    """Polygon label lines ``class x1 y1 x2 y2 ...`` -> vertices in whole pixels.
+
+    A token that is no number leaves its vertex or class NULL and harms no other line."""
     h, w = size
-    df = lines.select(*keys, F.transform(F.split(F.trim(F.col(text)), r"\s+"), lambda t: t.cast("double")).alias("_t"))
+    df = lines.select(*keys, F.transform(F.split(F.trim(F.col(text)), r"\s+"), lambda t: t.try_cast("double")).alias("_t"))
     df = df.filter(F.size("_t") >= 3)
     points = F.expr(f"transform(sequence(0, (size(_t) - 1) div 2 - 1), i -> struct("
                     f"cast(get(_t, 2*i + 1) * {w} as bigint) as x, cast(get(_t, 2*i + 2) * {h} as bigint) as y))")

@@ -38,6 +38,7 @@ def image_cascade(spark: SparkSession, folder: str, checkpoint: str, run: Callab
     """
     def each(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
+        tables = {}
         try:
             tables = run(batch.filter("status = 'success'"))
             for name, df in tables.items():
@@ -46,6 +47,8 @@ def image_cascade(spark: SparkSession, folder: str, checkpoint: str, run: Callab
                     df = df.withColumn("error", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
                 df.write.mode("overwrite").parquet(f"{target}/{name}/epoch={epoch}")
         finally:
+            if hasattr(tables, "close"):
+                tables.close()
             batch.unpersist()
 
     w = SI.stream_images(spark, folder, files_per_trigger).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

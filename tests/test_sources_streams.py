@@ -1,4 +1,6 @@
 import json
+import os
+import uuid
 
 import numpy as np
 import pytest
@@ -152,6 +154,44 @@ def test_segmenter_sees_positive_tiles_only(spark, folder):
     assert D.cascade(images, score, D.mask_udf(strict, 32)("data"), (64, 80), 32, 8, 0.02)["segments"].count() > 0
 
 
+def counting(make, folder):
+    """A model that leaves one byte a tile in a file of its own."""
+    def factory():
+        model = make()
+
+        def run(x):
+            with open(folder / f"{os.getpid()}-{uuid.uuid4().hex}", "wb") as f:
+                f.write(b"x" * len(x))
+            return model(x)
+        return run
+    return factory
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_each_model_is_called_once_a_tile(spark, folder, tmp_path, streamed):
+    calls = {n: tmp_path / n for n in ("score", "mask")}
+    for f in calls.values():
+        f.mkdir()
+    score, mask = D.score_udf(counting(D.bright_share(200), calls["score"]), 32)("data"), D.mask_udf(counting(D.bright_mask(200), calls["mask"]), 32)("data")
+    out = {}
+
+    def go(images):
+        out["c"] = D.cascade(images, score, mask, (64, 80), 32, 8, 0.02, "cover", 1.0, 10)
+        return out["c"]
+
+    if streamed:
+        S.image_cascade(spark, str(folder[0]), str(tmp_path / "cp"), go, str(tmp_path / "out"), 2).awaitTermination()
+        log = [r for r in spark.read.parquet(str(tmp_path / "out" / "log")).collect() if r.status != "error"]
+    else:
+        tables = go(good(spark, folder[0]))
+        log = tables["log"].collect()
+        assert tables["segments"].count() and tables["instances"].count() and tables["scores"].count() == sum(r.num_patches for r in log)
+        tables.close()
+    seen = {n: sum(p.stat().st_size for p in f.iterdir()) for n, f in calls.items()}
+    assert seen == {"score": sum(r.num_patches for r in log), "mask": sum(r.num_ship_patches for r in log)} and seen["mask"] > 0
+    assert not any(d.is_cached for d in out["c"].held)
+
+
 def test_detector_isolates_errors(spark, folder):
     def make():
         def model(a):
@@ -190,7 +230,7 @@ def test_image_stream_runs_the_cascade(spark, folder, tmp_path):
     assert found.filter("image_id = 'ship.png'").count() == 1
 
 
-def test_area_resize_and_preprocessing():
+def test_area_resize():
     g = np.random.default_rng(3)
     a = g.integers(0, 255, (30, 42, 3)).astype(np.uint8)
     got = I.area_resize(a, 13, 20)
@@ -201,13 +241,6 @@ def test_area_resize_and_preprocessing():
             wx = np.clip(np.minimum(x1, np.arange(42) + 1) - np.maximum(x0, np.arange(42)), 0, None)
             v = (a * (wy[:, None] * wx)[:, :, None]).sum((0, 1)) / (wy.sum() * wx.sum())
             assert (np.abs(got[i, j] - v) <= 0.5 + 1e-9).all()
-    flat = np.full((50, 50, 3), 100, np.uint8)
-    assert (I.adaptive(flat, 24) == 100).all()  # the kernel sums to one
-    assert (I.sharpen(flat, 1.24) == 44).all()  # a weaker centre does not
-    m = I.multiscale(a, False, 384, 8)
-    assert m.shape == (16, 16, 3) and np.array_equal(m[:8, :8], m[8:, 8:]) and np.array_equal(m[:8, 8:], m[8:, :8])
-    wide = I.multiscale(a, True, 384, 8)
-    assert np.array_equal(wide[8:], I.area_resize(a, 8, 16))
 
 
 def test_crops_and_instances(spark, folder):

@@ -4,6 +4,7 @@ from helpers import SEGMENTS, random_masks, segments_of, to_masks
 from pyspark.sql import functions as F
 
 from runmosaic.operators import images as I
+from runmosaic.operators import masks as M
 from runmosaic.operators import stitch as S
 from runmosaic.operators import tiles as T
 
@@ -36,7 +37,7 @@ def test_reference_edges_repeat_and_leave_gaps(spark):
 def test_label_is_strictly_above_one_percent(spark):
     img = spark.createDataFrame([(1, 100, 200)], SIZES)
     segs = spark.createDataFrame([(1, 0, 0, 100), (1, 100, 0, 100), (1, 101, 0, 1)], SEGMENTS)
-    got = {r.col: (r.ship_pixels, r.has_ship) for r in T.label_grid(img, segs, 100, 0, 100, 200).collect()}
+    got = {r.col: (r.ship_pixels, r.has_ship) for r in T.label_grid(img, segs, 100, 0).collect()}
     assert got == {0: (100, 0), 100: (101, 1)}
     tiles = T.grid(img, 100, 0, "none")
     assert {r.col: r.has_ship for r in T.label_tiles(tiles, segs, 100).collect()} == {0: 0, 100: 1}
@@ -45,7 +46,7 @@ def test_label_is_strictly_above_one_percent(spark):
 def test_tile_counts_add_up_without_overlap(spark):
     m = random_masks(3, 64, 96, 3)
     img = spark.createDataFrame([(k, 64, 96) for k in m], SIZES)
-    lab = T.label_grid(img, spark.createDataFrame(segments_of(m), SEGMENTS), 32, 0, 64, 96)
+    lab = T.label_grid(img, spark.createDataFrame(segments_of(m), SEGMENTS), 32, 0)
     got = {r.image_id: r.n for r in lab.groupBy("image_id").agg(F.sum("ship_pixels").alias("n")).collect()}
     assert got == {k: int(v.sum()) for k, v in m.items()}
 
@@ -142,3 +143,32 @@ def test_kernels_have_closed_form():
     assert k[15, 100] == 0 and k[16, 100] == 1 / 16 and k[100, 100] == 1 and k[207, 100] == 1 / 16 and k[208, 100] == 0
     r = S.kernel_array(224, 32, "ramp")
     assert r[0, 0] == 1 / 256 and r[0, 100] == 1 / 16 and r[223, 100] == 1 / 16
+
+
+@pytest.mark.parametrize("block", [1024, 37])
+def test_pieces_do_not_depend_on_blocks(spark, block):
+    """Small blocks give more rectangles over the same pixels with the same values."""
+    img = spark.createDataFrame([(1, 150, 130), (2, 90, 60)], SIZES)
+    tiles = T.grid(img, 40, 12, "cover").withColumn("confidence", F.expr("(row * 7 + col * 3) % 10 / cast(10.0 as double)"))
+    want = {}
+    for t in tiles.collect():
+        for r in range(t.row, t.row + 40):
+            for c in range(t.col, t.col + 40):
+                want.setdefault((t.image_id, r, c), []).append((t.row, t.col, t.confidence))
+    got, rects = {}, S.cells(tiles, block=block).collect()
+    for q in rects:
+        for r in range(q.r0, q.r1):
+            for c in range(q.c0, q.c1):
+                assert (q.image_id, r, c) not in got
+                got[(q.image_id, r, c)] = [tuple(p) for p in q.patches]
+    assert got == {k: sorted(v) for k, v in want.items()}
+    cover = T.union_rectangles(tiles.selectExpr("image_id", "col as c0", "col + width as c1", "row as r0", "row + height as r1"), block=block).collect()
+    px = [(q.image_id, r, c) for q in cover for r in range(q.r0, q.r1) for c in range(q.c0, q.c1)]
+    assert len(px) == len(set(px)) and set(px) == set(want)
+
+
+def test_crop_takes_each_part_once_across_row_cells(spark):
+    segs = spark.createDataFrame([(1, 5, 0, 700), (1, 70, 30, 31), (1, 6, 90, 110)], SEGMENTS)
+    tiles = spark.createDataFrame([(1, 0, 0, 100, 80), (1, 60, 4, 600, 3), (1, 20, 64, 20, 20)], "image_id bigint, row bigint, col bigint, height bigint, width bigint")
+    rows = lambda **k: sorted(map(tuple, M.crop(segs, tiles, **k).collect()))
+    assert rows(rows=50, cell=8) == rows(rows=4096, cell=64) and len(rows()) == 6
