@@ -52,11 +52,25 @@ def nms(boxes: DataFrame, threshold: float, ident: str = "box_id", keys: Sequenc
         F.min(F.struct((-F.col("score")).alias("_o"), F.col(ident).alias("_id"))).alias("_b"))
     best = best.select(*keys, F.col("_b._id").alias(ident), "x1", "y1", "x2", "y2", (-F.col("_b._o")).alias("score"))
     pairs = overlapping(best, best, ident, ident, keys, extra_a=["score"], extra_b=["score"])
+    return _suppress(best, pairs, threshold, ident, keys)
+
+
+def _suppress(ranked: DataFrame, pairs: DataFrame, threshold: float, ident: str, keys: Sequence[str]) -> DataFrame:
+    """What the greedy pass leaves of ``ranked``, given the pairs ``id_a, id_b, score_a, score_b, iou``."""
     better = (F.col("score_a") > F.col("score_b")) | ((F.col("score_a") == F.col("score_b")) & (F.col("id_a") < F.col("id_b")))
     dropped = greedy_drop(pairs.filter((F.col("iou") > threshold) & better), keys)
     if dropped is None:
-        return best
-    return best.join(dropped.withColumnRenamed("id_b", ident), [*keys, ident], "left_anti")
+        return ranked
+    return ranked.join(dropped.withColumnRenamed("id_b", ident), [*keys, ident], "left_anti")
+
+
+def mask_nms(segments: DataFrame, scores: DataFrame, threshold: float, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """Greedy suppression by mask IoU: ``segments`` carry ``ident``, ``scores`` has ``ident, score``."""
+    a = segments.select(*keys, F.col(ident).alias("box_id"), "col", "r0", "r1")
+    both = mask_iou_pairs(a, a.withColumnRenamed("box_id", "gt_id"), keys).filter(F.col("pred") != F.col("gt"))
+    of = lambda side, name: scores.select(*keys, F.col(ident).alias(name), F.col("score").alias("score" + side))
+    pairs = both.filter(F.col("iou") > threshold).join(of("_a", "pred"), [*keys, "pred"]).join(of("_b", "gt"), [*keys, "gt"])
+    return _suppress(scores, pairs.withColumnsRenamed({"pred": "id_a", "gt": "id_b"}), threshold, ident, keys)
 
 
 def top_per_image(boxes: DataFrame, k: int, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
@@ -114,6 +128,12 @@ def mask_iou_pairs(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = M.KEYS)
                     (F.col("overlap") / (F.col("area_p") + F.col("area_g") - F.col("overlap"))).alias("iou"))
 
 
+def mask_candidates(pred: DataFrame, gt: DataFrame, scores: DataFrame, keys: Sequence[str] = M.KEYS, least_iou: float = 0.5) -> DataFrame:
+    """Candidate pairs for :func:`match` by mask IoU; ``scores`` has ``box_id, score``."""
+    pairs = mask_iou_pairs(pred, gt, keys).filter(F.col("iou") >= least_iou)
+    return pairs.join(scores.select(*keys, F.col("box_id").alias("pred"), "score"), [*keys, "pred"]).select(*keys, "pred", "gt", "score", "iou")
+
+
 def matches_by_threshold(candidates: DataFrame, keys: Sequence[str] = M.KEYS, steps: Sequence[float] = IOU_STEPS) -> DataFrame:
     t = F.explode(F.array(*[F.lit(float(s)) for s in steps]))
     wide = candidates.select("*", t.alias("step")).filter(F.col("iou") >= F.col("step"))

@@ -31,16 +31,18 @@ def feature(ring: str, properties: dict[str, Column], feature_id: str | None = N
     return F.struct(*parts)
 
 
-def collections(features: DataFrame, order: str, crs: str | None = None, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """One FeatureCollection text per key, features in ``order``.
+def collections(features: DataFrame, order: str, crs: str | None = None, keys: Sequence[str] = M.KEYS, instance: str | None = None) -> DataFrame:
+    """One FeatureCollection text per key, features in ``order``; ``instance`` names the property that tells instances apart.
 
     The text of one image is one value and so bounds the list that is collected.
     """
     per = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("feature")))).alias("_f"))
     feats = F.transform("_f", lambda x: x["feature"])
     total = F.aggregate(feats, F.lit(0.0), lambda acc, f: acc + f["properties"]["area"])
-    parts = [F.lit("FeatureCollection").alias("type"), feats.alias("features"),
-             F.struct(F.size("_f").alias("num_ships"), total.alias("total_area")).alias("properties")]
+    counts = [F.size("_f").alias("num_ships"), total.alias("total_area")]
+    if instance is not None:  # an instance may be several polygons
+        counts += [F.size(F.array_distinct(F.transform(feats, lambda f: f["properties"][instance]))).alias("num_instances"), F.size("_f").alias("num_polygons")]
+    parts = [F.lit("FeatureCollection").alias("type"), feats.alias("features"), F.struct(*counts).alias("properties")]
     if crs:
         parts.append(F.struct(F.lit("name").alias("type"), F.struct(F.lit(crs).alias("name")).alias("properties")).alias("crs"))
     return per.select(*keys, F.to_json(F.struct(*parts)).alias("geojson"))
@@ -57,15 +59,8 @@ def _distinct_boxes(boxes: DataFrame, ident: str, keys: Sequence[str]) -> DataFr
     return boxes.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.min(ident).alias(ident))
 
 
-def merge_clusters(boxes: DataFrame, mode: str = "seed", ratio: float = 0.5, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """``cluster`` per feature: features whose overlap is at least ``ratio`` of the smaller area.
-
-    ``seed``: in id order each feature not yet taken opens a cluster and takes the later free ones
-    that overlap it enough. ``components``: transitive closure of the overlap relation.
-    """
-    one = _distinct_boxes(boxes, ident, keys)
-    pairs = B.overlapping(one, one, ident, ident, keys).filter(F.col("id_a") < F.col("id_b"))
-    near = pairs.filter(F.col("overlap") / F.least(X.box_area("_a"), X.box_area("_b")) >= ratio).select(*keys, "id_a", "id_b")
+def _clusters(one: DataFrame, near: DataFrame, mode: str, ident: str, keys: Sequence[str]) -> DataFrame:
+    """``one`` with the ``cluster`` of each id, from pairs ``id_a < id_b`` that belong together."""
     if mode == "components":
         lab = connected(near.select(*keys, F.col("id_a").alias("u"), F.col("id_b").alias("v")), keys)
         taken = None if lab is None else lab.select(*keys, F.col("u").alias(ident), F.col("lab").alias("cluster"))
@@ -78,10 +73,48 @@ def merge_clusters(boxes: DataFrame, mode: str = "seed", ratio: float = 0.5, ide
                      .withColumnRenamed("id_b", ident))
     if taken is None:
         taken = one.select(*keys, F.col(ident), F.col(ident).alias("cluster"))
-    cluster = one.join(taken, [*keys, ident], "left").select(*keys, "x1", "y1", "x2", "y2", F.coalesce("cluster", ident).alias("cluster"))
+    return one.join(taken, [*keys, ident], "left").withColumn("cluster", F.coalesce("cluster", ident))
+
+
+def merge_clusters(boxes: DataFrame, mode: str = "seed", ratio: float = 0.5, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """``cluster`` per feature: features whose overlap is at least ``ratio`` of the smaller area.
+
+    ``seed``: in id order each feature not yet taken opens a cluster and takes the later free ones
+    that overlap it enough. ``components``: transitive closure of the overlap relation.
+    """
+    one = _distinct_boxes(boxes, ident, keys)
+    pairs = B.overlapping(one, one, ident, ident, keys).filter(F.col("id_a") < F.col("id_b"))
+    near = pairs.filter(F.col("overlap") / F.least(X.box_area("_a"), X.box_area("_b")) >= ratio).select(*keys, "id_a", "id_b")
+    cluster = _clusters(one, near, mode, ident, keys).select(*keys, "x1", "y1", "x2", "y2", "cluster")
     return boxes.join(cluster, [*keys, "x1", "y1", "x2", "y2"])
 
 
+def merge_mask_clusters(segments: DataFrame, mode: str = "seed", ratio: float = 0.5, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """``ident, cluster`` of features given as segments, by the true overlap of their shapes over the smaller shape."""
+    a = segments.select(*keys, F.col(ident).alias("box_id"), "col", "r0", "r1")
+    both = B.mask_iou_pairs(a, a.withColumnRenamed("box_id", "gt_id"), keys).filter(F.col("pred") < F.col("gt"))
+    area = M.area(segments, (*keys, ident))
+    of = lambda side, name: area.select(*keys, F.col(ident).alias(name), F.col("area").alias("area" + side))
+    near = both.join(of("_a", "pred"), [*keys, "pred"]).join(of("_b", "gt"), [*keys, "gt"])
+    near = near.filter(F.col("overlap") / F.least("area_a", "area_b") >= ratio).select(*keys, F.col("pred").alias("id_a"), F.col("gt").alias("id_b"))
+    return _clusters(area.select(*keys, ident), near, mode, ident, keys)
+
+
+def merged_collection(features: DataFrame, tiles: DataFrame, order: str, keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """One collection text per key from merged features; ``tiles`` (``tile, crs``) lists the collections they come from.
+
+    The coordinate system is that of the first tile; a key whose tiles hold no feature gets an empty collection.
+    """
+    head = tiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min_by("crs", "tile").alias("_crs"))
+    per = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("feature")))).alias("_f"))
+    kind = dict(features.select("feature").dtypes)["feature"]
+    feats = F.coalesce(F.transform("_f", lambda x: x["feature"]), F.array().cast(f"array<{kind}>"))
+    crs = F.when(F.col("_crs").isNotNull(), F.struct(F.lit("name").alias("type"), F.struct(F.col("_crs").alias("name")).alias("properties")))
+    doc = F.struct(F.lit("FeatureCollection").alias("type"), feats.alias("features"),
+                   F.struct(F.col("_n").alias("num_tiles_merged"), F.size(feats).alias("num_features")).alias("properties"), crs.alias("crs"))
+    return head.join(per, list(keys), "left").select(*keys, F.to_json(doc).alias("geojson"))
+
+
 def dissolve(clustered: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Merged mask area and box per cluster."""
     segs = clustered.select(*keys, "cluster", F.explode(F.expr("sequence(x1, x2 - 1)")).alias("col"), F.col("y1").alias("r0"), F.col("y2").alias("r1"))
@@ -92,7 +125,8 @@ def dissolve(clustered: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
 
 
 def rasterise(polygons: DataFrame, h: int, w: int, ident: str, ring: str = "ring", keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """Segments of the pixels whose centre lies in the polygon (even-odd rule).
+    """Segments of the pixels whose centre lies in the polygon (even-odd rule). Rows of one ``ident`` are rings of
+    one shape, so holes and separate parts come out right.
 
     Edges are spread over the columns whose centre line they cross; the crossings of one polygon and
     column are as few as the polygon's edges.
@@ -123,6 +157,25 @@ def parse(collections: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return f.select(*keys, "idx", ring.alias("ring"), F.col("f.properties").alias("properties"))
 
 
+ANY_GEOMETRY = ("features array<struct<geometry struct<type string, coordinates string>, properties map<string,string>>>")
+POLYGON = "array<array<array<double>>>"
+
+
+def parse_rings(collections: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """One row per ring of each feature, ``idx, part, ring_no``: polygons and multi-polygons, outer rings and holes.
+
+    Rings of one feature together, even-odd, are its area: :func:`rasterise` takes them under one id.
+    """
+    f = collections.select(*keys, F.from_json(F.col(text), ANY_GEOMETRY).alias("d")).select(*keys, F.posexplode("d.features").alias("idx", "f"))
+    c = F.col("f.geometry.coordinates")
+    parts = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(c, f"array<{POLYGON}>")).when(
+        F.col("f.geometry.type") == "Polygon", F.array(F.from_json(c, POLYGON)))
+    rings = f.select(*keys, "idx", F.col("f.properties").alias("properties"), F.posexplode(parts).alias("part", "_p")).select(
+        *keys, "idx", "properties", "part", F.posexplode("_p").alias("ring_no", "_r"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    return rings.select(*keys, "idx", "part", "ring_no", F.transform("_r", point).alias("ring"), "properties")
+
+
 def validate(collections: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Problems of each collection text, one row each; a sound text gives none."""
     j = lambda path: F.get_json_object(F.col(text), path)

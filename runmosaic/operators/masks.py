@@ -85,8 +85,13 @@ def union_words(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return to_words(segments, keys).groupBy(*keys, "col", "wd").agg(F.bit_or("bits").alias("bits"))
 
 
-def union(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Merged, disjoint, non-touching segments per column."""
+def union(segments: DataFrame, keys: Sequence[str] = KEYS, few: bool = False) -> DataFrame:
+    """Merged, disjoint, non-touching segments per column.
+
+    Copies collapse before the shuffle. With ``few`` (at most a handful of rows per merged segment, as
+    a morphology step makes of merged input) rows are placed by column at once: one shuffle, not two.
+    """
+    segments = segments.repartition(*keys, "col") if few else segments
     longest = segments.groupBy(*keys, "col", "r0").agg(F.max("r1").alias("r1"))
     w = Window.partitionBy(*keys, "col").orderBy("r0")
     reach = F.max("r1").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -96,13 +101,14 @@ def union(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             .agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).drop("_i"))
 
 
-def sweep(events: DataFrame, sums: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+def sweep(events: DataFrame, sums: Sequence[str], keys: Sequence[str] = KEYS, few: bool = False) -> DataFrame:
     """Step functions along each column.
 
     ``events`` has ``col, pos`` and one delta per name in ``sums``. Deltas of one position are
-    added before the shuffle for the window, so a window group holds at most h + 1 rows.
-    Returns ``col, r0, r1`` and the running totals.
+    added before the shuffle for the window, so a window group holds at most h + 1 rows. ``few`` as in
+    :func:`union`. Returns ``col, r0, r1`` and the running totals.
     """
+    events = events.repartition(*keys, "col") if few else events
     at = events.groupBy(*keys, "col", "pos").agg(*[F.sum(n).alias(n) for n in sums])
     w = Window.partitionBy(*keys, "col").orderBy("pos")
     run = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runmosaic.operators import components as K
@@ -28,12 +28,13 @@ def _offsets(kernel: list[tuple[int, int]]):
                                for dc, hh in kernel])).alias("_k")
 
 
-def dilate(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def dilate(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS, merged: bool = False) -> DataFrame:
+    """``merged`` tells that the segments are disjoint, which saves a shuffle."""
     df = segments.select(*keys, "col", "r0", "r1", _offsets(ellipse(size)))
     grown = df.select(*keys, (F.col("col") + F.col("_k.dc")).alias("col"),
                       F.greatest(F.col("r0") - F.col("_k.hh"), F.lit(0)).alias("r0"),
                       F.least(F.col("r1") + F.col("_k.hh"), F.lit(h)).alias("r1"))
-    return M.union(grown.filter((F.col("col") >= 0) & (F.col("col") < w)), keys)
+    return M.union(grown.filter((F.col("col") >= 0) & (F.col("col") < w)), keys, few=merged)
 
 
 def erode(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS, outside: bool = True) -> DataFrame:
@@ -47,24 +48,24 @@ def erode(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] =
     end = F.when((F.col("r1") == h) & F.lit(outside), F.lit(h)).otherwise(F.col("r1") - k)
     cut = df.select(*keys, (F.col("col") - F.col("_k.dc")).alias("col"), top.alias("r0"), end.alias("r1"))
     cut = cut.filter((F.col("r1") > F.col("r0")) & (F.col("col") >= 0) & (F.col("col") < w))
-    state = M.sweep(M.edges(cut, {"n": F.lit(1)}, keys), ["n"], keys)
+    state = M.sweep(M.edges(cut, {"n": F.lit(1)}, keys), ["n"], keys, few=True)
     inside = F.least(F.col("col") + r, F.lit(w - 1)) - F.greatest(F.col("col") - r, F.lit(0)) + 1
     need = inside if outside else F.lit(2 * r + 1)
     return M.join_touching(state.filter(F.col("n") == need), keys)
 
 
-def close(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    return erode(dilate(segments, size, h, w, keys), size, h, w, keys)
+def close(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS, merged: bool = False) -> DataFrame:
+    return erode(dilate(segments, size, h, w, keys, merged), size, h, w, keys)
 
 
 def open_(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """``segments`` must be merged."""
-    return dilate(erode(segments, size, h, w, keys), size, h, w, keys)
+    return dilate(erode(segments, size, h, w, keys), size, h, w, keys, merged=True)
 
 
 def smooth(segments: DataFrame, h: int, w: int, size: int = 5, iterations: int = 2, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    for _ in range(iterations):
-        segments = open_(close(segments, size, h, w, keys), size, h, w, keys)
+    for i in range(iterations):
+        segments = open_(close(segments, size, h, w, keys, merged=i > 0), size, h, w, keys)
     return segments
 
 
@@ -88,7 +89,7 @@ def band(segments: DataFrame, h: int, w: int, size: int = 3, keys: Sequence[str]
 def clean(segments: DataFrame, h: int, w: int, least: int = 10, size: int = 3, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Drop small components, close, open: the clean-up after stitching."""
     big = K.remove_small(K.components(segments, w, keys=keys), least, keys)
-    return open_(close(big, size, h, w, keys), size, h, w, keys)
+    return open_(close(big, size, h, w, keys, merged=True), size, h, w, keys)
 
 
 STEPS = {"close": close, "open": lambda s, k, h, w, keys: open_(M.union(s, keys), k, h, w, keys), "dilate": dilate,
@@ -104,12 +105,13 @@ def postprocess(segments: DataFrame, steps: Sequence[str], h: int, w: int, size:
     for s in steps:
         segments = STEPS[s](segments, size, h, w, keys)
     lab = K.components(segments, w, keys=keys)
-    area = lab.groupBy(*keys, "root").agg(F.sum(F.col("r1") - F.col("r0")).alias("_a"))
+    whole = F.sum(F.col("r1") - F.col("r0")).over(Window.partitionBy(*keys, "root"))  # the labelled input is read once
+    area = lab.withColumn("_a", whole)
     if least is not None:
         area = area.filter(F.col("_a") >= least)
     if most is not None:
         area = area.filter(F.col("_a") <= most)
-    return lab.join(area.select(*keys, "root"), [*keys, "root"], "left_semi")
+    return area.drop("_a")
 
 
 def extents(labelled: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:

@@ -110,6 +110,39 @@ def mask_iou_pairs(spark, sf_dir):
     return B.mask_iou_pairs(p, g)
 
 
+MASK_IOU = """WITH ta AS (SELECT image_id, ship_id, sum(r1 - r0) AS n FROM truth GROUP BY ALL),
+  o AS (SELECT p.image_id, p.ship_id AS pred, t.ship_id AS gt, sum(least(p.r1, t.r1) - greatest(p.r0, t.r0)) AS overlap
+   FROM pred p JOIN {other} t ON p.image_id = t.image_id AND p.col = t.col AND p.r0 < t.r1 AND t.r0 < p.r1 GROUP BY ALL),
+  mi AS (SELECT o.image_id, pred, gt, overlap::DOUBLE / (x.n + y.n - overlap) AS iou FROM o
+   JOIN ta x ON x.image_id = o.image_id AND x.ship_id = pred JOIN ta y ON y.image_id = o.image_id AND y.ship_id = gt)"""
+MASK_MATCH = MASK_IOU.format(other="truth") + ", cand AS (SELECT mi.image_id, pred, score, gt, iou FROM mi JOIN boxes ON boxes.image_id = mi.image_id AND box_id = pred WHERE iou >= 0.5)" + MATCH[MATCH.index(",\n  steps AS"):]
+
+
+def mask_inputs(spark, sf_dir):
+    p = V.pred_segments(spark, sf_dir, "ship_id").withColumnRenamed("ship_id", "box_id")
+    return p, V.truth_segments(spark, sf_dir, "ship_id").withColumnRenamed("ship_id", "gt_id"), V.boxes(spark, sf_dir)
+
+
+@query("mask_nms", sql("boxes truth pred", MASK_IOU.format(other="pred") + """, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS k FROM boxes),
+  conflict AS (SELECT b.image_id, b.k, list(a.k) AS better FROM mi JOIN r a ON a.image_id = mi.image_id AND a.box_id = pred JOIN r b ON b.image_id = mi.image_id AND b.box_id = gt
+   WHERE iou > 0.3 AND a.k < b.k GROUP BY ALL),
+  step AS (SELECT image_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT image_id FROM boxes)
+   UNION ALL SELECT s.image_id, s.k + 1, CASE WHEN c.better IS NOT NULL AND list_has_any(s.kept, c.better) THEN s.kept ELSE list_append(s.kept, s.k + 1) END
+   FROM step s JOIN r ON r.image_id = s.image_id AND r.k = s.k + 1 LEFT JOIN conflict c ON c.image_id = s.image_id AND c.k = s.k + 1),
+  fin AS (SELECT image_id, unnest(kept) AS k FROM (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k DESC) = 1))
+  SELECT r.image_id, r.box_id, r.score FROM fin JOIN r USING (image_id, k)""", True))
+def mask_nms(spark, sf_dir):
+    p, _, boxes = mask_inputs(spark, sf_dir)
+    return B.mask_nms(p, boxes, 0.3).select("image_id", "box_id", "score")
+
+
+@query("mask_average_precision", sql("boxes gt truth pred", MASK_MATCH + AP_SQL[AP_SQL.index(", lev AS"):], True))
+def mask_average_precision(spark, sf_dir):
+    p, g, boxes = mask_inputs(spark, sf_dir)
+    cand = B.mask_candidates(p, g, boxes)
+    return B.average_precision(boxes, V.truth_boxes(spark, sf_dir), cand).withColumn("ap", F.round("ap", 6))
+
+
 @query("best_proposal", sql("boxes", "SELECT image_id, arg_max(box_id, struct_pack(s := score, b := -box_id)) AS box_id, max(score) AS score FROM boxes GROUP BY image_id"))
 def best_proposal(spark, sf_dir):
     return R.best_proposal(V.boxes(spark, sf_dir), "box_id", "score")

@@ -94,6 +94,39 @@ def merge_tiles_components(spark, sf_dir):
     return E.merge_clusters(V.boxes(spark, sf_dir), "components").select("image_id", "box_id", "cluster")
 
 
+MASK_PAIRS = """ar AS (SELECT image_id, ship_id, sum(r1 - r0) AS n FROM pred GROUP BY ALL),
+  ov AS (SELECT a.image_id, a.ship_id AS a, b.ship_id AS b, sum(least(a.r1, b.r1) - greatest(a.r0, b.r0)) AS o FROM pred a JOIN pred b ON a.image_id = b.image_id AND a.col = b.col
+   AND a.ship_id <> b.ship_id AND a.r0 < b.r1 AND b.r0 < a.r1 GROUP BY ALL),
+  mp AS (SELECT ov.image_id, a, b, o::DOUBLE / (x.n + y.n - o) AS iou, o::DOUBLE / least(x.n, y.n) AS share FROM ov JOIN ar x ON x.image_id = ov.image_id AND x.ship_id = a
+   JOIN ar y ON y.image_id = ov.image_id AND y.ship_id = b)"""
+
+
+def mask_features(spark, sf_dir):
+    return V.pred_segments(spark, sf_dir, "ship_id").withColumnRenamed("ship_id", "box_id")
+
+
+# the seed rule over pairs of shapes instead of boxes
+MASK_SEED = f"WITH {MASK_PAIRS}, near AS (SELECT image_id, a AS i, b AS j FROM mp WHERE a < b AND share >= 0.5)" + SEED[SEED.index(", r AS (SELECT image_id, box_id"):]
+
+
+@query("merge_tiles_masks", sql("pred boxes", MASK_SEED + " SELECT image_id, box_id, cluster FROM cl", True))
+def merge_tiles_masks(spark, sf_dir):
+    """Tile results merged by the overlap of their shapes."""
+    return E.merge_mask_clusters(mask_features(spark, sf_dir))
+
+
+@query("merged_collections", sql("images boxes", SEED + """, t AS (SELECT image_id, 'EPSG:' || (32601 + image_id % 60) AS crs FROM images)
+  SELECT t.image_id, 2::BIGINT AS num_tiles_merged, count(DISTINCT cl.cluster)::BIGINT AS num_features, any_value(t.crs) AS crs FROM t LEFT JOIN cl USING (image_id) GROUP BY t.image_id""", True))
+def merged_collections(spark, sf_dir):
+    """Two tile collections per image; merged features, counts and the first tile's coordinate system."""
+    tiles = V.images(spark, sf_dir).selectExpr("image_id", "explode(array(1, 0)) as tile").selectExpr("image_id", "tile", "concat('EPSG:', 32601 + image_id % 60 + tile) as crs")
+    merged = E.dissolve(E.merge_clusters(V.boxes(spark, sf_dir))).withColumn("ring", G.box_ring())
+    f = merged.select("image_id", "cluster", E.feature("ring", {"class": F.lit("ship")}, "cluster").alias("feature"))
+    text = E.merged_collection(f, tiles, "cluster")
+    j = lambda n: F.get_json_object("geojson", f"$.properties.{n}").cast("bigint").alias(n)
+    return text.select("image_id", j("num_tiles_merged"), j("num_features"), F.get_json_object("geojson", "$.crs.properties.name").alias("crs"))
+
+
 @query("merge_tiles_dissolve", sql("boxes", SEED + """, px AS (SELECT DISTINCT image_id, cluster, c, unnest(range(y1, y2)) AS r
    FROM (SELECT image_id, cluster, y1, y2, unnest(range(x1, x2)) AS c FROM cl JOIN boxes USING (image_id, box_id))),
   ar AS (SELECT image_id, cluster, count(*)::BIGINT AS area FROM px GROUP BY ALL)
@@ -140,6 +173,34 @@ def geojson_rings(spark, sf_dir):
     return f.groupBy("image_id").agg(F.count(F.lit(1)).alias("rings"), F.sum(G.area("ring")).alias("area"))
 
 
+# every order is a multi-polygon: a square with a hole, and a small rectangle apart from it
+SHAPE = "o_orderkey % 500 as x, o_orderkey % 400 as y, 20 + o_orderkey % 30 as s"
+
+
+@query("geojson_multi_rings", f"""WITH k AS (SELECT o_orderkey AS image_id, {SHAPE} FROM orders)
+  SELECT image_id, 3::BIGINT AS rings, s * s - 35 + 63 AS pixels,
+   (2 * x + s - 1) * s * s // 2 - 7 * (5 * x + 5 * 5 + 10) + 9 * (7 * (x + 100) + 21) AS col_sum FROM k""")
+def geojson_multi_rings(spark, sf_dir):
+    k = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey as image_id", *SHAPE.split(", "))
+    box = lambda a, b, c, d: f"concat('[[', {a}, ',', {b}, '],[', {c}, ',', {b}, '],[', {c}, ',', {d}, '],[', {a}, ',', {d}, '],[', {a}, ',', {b}, ']]')"
+    text = k.selectExpr("image_id", f"""concat('{{"type":"FeatureCollection","features":[{{"type":"Feature","geometry":{{"type":"MultiPolygon","coordinates":[[',
+      {box('x', 'y', 'x + s', 'y + s')}, ',', {box('x + 5', 'y + 5', 'x + 10', 'y + 12')}, '],[', {box('x + 100', 'y + 50', 'x + 107', 'y + 59')}, ']]}},"properties":{{}}}}]}}') as geojson""")
+    rings = E.parse_rings(text, "geojson", ["image_id"])
+    n = rings.groupBy("image_id").agg(F.count(F.lit(1)).alias("rings"))
+    px = E.rasterise(rings, H, W, "idx").groupBy("image_id").agg(F.expr("cast(sum(r1 - r0) as bigint)").alias("pixels"), F.expr("cast(sum(col * (r1 - r0)) as bigint)").alias("col_sum"))
+    return n.join(px, "image_id")
+
+
+@query("collection_counts", sql("gt", "SELECT image_id, count(DISTINCT gt_id % 3)::BIGINT AS num_instances, count(*)::BIGINT AS num_polygons FROM gt GROUP BY image_id"))
+def collection_counts(spark, sf_dir):
+    """Polygons of one instance told apart from instances."""
+    box = V.truth_boxes(spark, sf_dir).withColumn("ring", G.box_ring())
+    f = box.select("image_id", "gt_id", E.feature("ring", {"instance_id": F.expr("gt_id % 3")}, "gt_id").alias("feature"))
+    text = E.collections(f, "gt_id", instance="instance_id")
+    j = lambda n: F.get_json_object("geojson", f"$.properties.{n}").cast("bigint").alias(n)
+    return text.select("image_id", j("num_instances"), j("num_polygons"))
+
+
 # every order becomes a small collection text, damaged in turn by rule
 DAMAGED = """case o_orderkey % 8
  when 0 then '{"features":[]}' when 1 then '{"type":"Other","features":[]}' when 2 then '{"type":"FeatureCollection"}'

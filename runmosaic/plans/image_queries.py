@@ -12,6 +12,7 @@ from runmosaic.operators import images as I
 from runmosaic.operators import sampling as P
 from runmosaic.operators import scores as C
 from runmosaic.operators import scoring as D
+from runmosaic.operators import stitch as G
 from runmosaic.plans import views as V
 from runmosaic.plans.registry import registry
 from runmosaic.plans.report_queries import ratio
@@ -82,6 +83,19 @@ def scorer_evaluation(spark, sf_dir):
     return C.rates(C.confusion(C.predicted(s, 0.4))).select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall")
 
 
+@query("segmenter_evaluation", IMG + """, p AS (SELECT image_id, i, j, avg(v) > 200 AS m, avg(v) > 240 AS t FROM px GROUP BY ALL),
+  n AS (SELECT image_id, count(*) FILTER (m AND t)::DOUBLE AS tp, count(*) FILTER (m AND NOT t)::DOUBLE AS fp, count(*) FILTER (t AND NOT m)::DOUBLE AS fn FROM p GROUP BY image_id)
+  SELECT image_id, tp, fp, fn, 4096 - tp - fp - fn AS tn, round((tp + 1e-6) / (tp + fp + fn + 1e-6), 9) AS iou, round((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6), 9) AS dice FROM n""")
+def segmenter_evaluation(spark, sf_dir):
+    """A segmenter with a low threshold against the mask of a high one."""
+    img, ids = rendered(spark, sf_dir), V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"))
+    tiles = I.extract_tiles(img, SIDE, 0, "none", 1.0)
+    truth = G.stitch_dense(tiles.select("image_id", "row", "col", F.lit(1.0).alias("confidence"), F.col("patch_id").alias("seq"), D.mask_udf(D.bright_mask(240), SIDE)("data").alias("mask")),
+                           SIDE, 0, SIDE, SIDE)
+    m = D.evaluate_segmenter(img, D.mask_udf(D.bright_mask(200), 32)("data"), truth, (SIDE, SIDE), 32, 8, "cover", 1.0, ids=ids)
+    return m.select("image_id", "tp", "fp", "fn", "tn", F.round("iou", 9).alias("iou"), F.round("dice", 9).alias("dice"))
+
+
 SUMS = "count(*)::BIGINT AS n, sum(v)::BIGINT AS total, sum(v * ((i * {w} + j) * 3 + b))::BIGINT AS weighted"
 
 

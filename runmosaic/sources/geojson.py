@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runmosaic.operators.geo import parse
+from runmosaic.operators.geo import parse, parse_rings
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
@@ -17,3 +17,8 @@ def read_collections(spark: SparkSession, path: str) -> DataFrame:
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature with its outer ring and properties."""
     return parse(read_collections(spark, path), "geojson", ["file"])
+
+
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """One row per ring of each feature: all parts of multi-polygons, and holes."""
+    return parse_rings(read_collections(spark, path), "geojson", ["file"])

@@ -9,7 +9,7 @@ SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # the smallest line item table holds one pair of rows with the same four-column key, so two ships share
 # an id; results per ship id are compared on the next larger tables, where the key is unique
 NEEDS_UNIQUE_KEYS = {"mask_round_trip", "label_lines", "mask_iou_pairs", "merge_tiles_components", "merge_tiles_dissolve",
-                     "rasterise", "ship_statistics", "size_filter"}
+                     "rasterise", "ship_statistics", "size_filter", "merge_tiles_masks", "mask_nms", "mask_average_precision"}
 QUERIES, ORACLE = queries(), oracle_sql()
 
 
