@@ -33,6 +33,8 @@ BEGINNINGS = (3, 4, 5, 6)
 SAMPLE = 20_000
 FEATURES = 2_000
 LEAST_DOCS = 4
+LEAST_Z = 4.0
+MISSED = 2.0  # a toxic row weighs as much as two clean ones
 
 
 def tokens(text: str | None) -> set[str]:
@@ -99,7 +101,7 @@ class Model:
 
 def train(sample: DataFrame, features_most: int = FEATURES, penalty: float = 5.0) -> Model:
     """Fits on ``text, y``. Features are chosen over the whole sample by how far their share of toxic documents lies
-    from the average, in standard errors; group terms are always among them. For each labelled text that names a
+    from the average, in standard errors (``LEAST_Z`` at least); group terms are always among them. For each labelled text that names a
     group, texts with the term swapped make the pairs whose scores the penalty pulls together. So that terms too
     rare to be seen stay neutral as well, each term alone is paired with the one that stands for it."""
     sample = written(sample.select("text", "y"), "toxic-sample")
@@ -108,7 +110,7 @@ def train(sample: DataFrame, features_most: int = FEATURES, penalty: float = 5.0
         return Model({}, np.zeros(0), 0.0, False)
     p = total.pos / total.n
     z = F.abs(F.col("pos") - p * F.col("n")) / F.sqrt(F.col("n") * p * (1 - p))
-    chosen = feature_counts(sample).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc(z), "feature").limit(features_most).select("feature").collect()
+    chosen = feature_counts(sample).filter((F.col("n") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(F.desc(z), "feature").limit(features_most).select("feature").collect()
     names = sorted({r.feature for r in chosen} | {f for t in SWAP for f in features(t)})
     number = {f: i for i, f in enumerate(names)}
 
@@ -132,7 +134,7 @@ def train(sample: DataFrame, features_most: int = FEATURES, penalty: float = 5.0
     left = [a for i in order for a in got["l"][i]] + [active({t}, number) for t in SWAP]
     right = [a for i in order for a in got["r"][i]] + [active({SWAP[t]}, number) for t in SWAP]
     y = np.array([got["y"][i] for i in order], float)
-    w, b = fit(Rows([got["x"][i] for i in order]), y, len(names), swapped=(Rows(left), Rows(right)), penalty=penalty)
+    w, b = fit(Rows([got["x"][i] for i in order]), y, len(names), ridge=0.25 / len(y), weight=np.where(y == 1, MISSED, 1.0), swapped=(Rows(left), Rows(right)), penalty=penalty)
     return Model(number, w, b, True)
 
 
