@@ -124,7 +124,7 @@ def dissolve(clustered: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     return box.join(area, [*keys, "cluster"])
 
 
-def rasterise(polygons: DataFrame, h: int, w: int, ident: str, ring: str = "ring", keys: Sequence[str] = M.KEYS) -> DataFrame:
+def rasterise(polygons: DataFrame, h: int | str, w: int | str, ident: str, ring: str = "ring", keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Segments of the pixels whose centre lies in the polygon (even-odd rule). Rows of one ``ident`` are rings of
     one shape, so holes and separate parts come out right.
 
@@ -135,13 +135,13 @@ def rasterise(polygons: DataFrame, h: int, w: int, ident: str, ring: str = "ring
         f"transform(slice({ring}, 1, size({ring}) - 1), (p, i) -> named_struct('p', p, 'q', get({ring}, i + 1)))")).alias("e"))
     edge = edge.select(*keys, ident, F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"), F.col("e.q.x").alias("xe"), F.col("e.q.y").alias("ye"))
     span = edge.withColumn("c0", F.greatest(F.ceil(F.least("x0", "xe") - 0.5), F.lit(0))) \
-               .withColumn("c1", F.least(F.ceil(F.greatest("x0", "xe") - 0.5), F.lit(w)) - 1).filter("c1 >= c0")
+               .withColumn("c1", F.least(F.ceil(F.greatest("x0", "xe") - 0.5), M.dim(w)) - 1).filter("c1 >= c0")
     cross = span.select(*keys, ident, F.explode(F.expr("sequence(c0, c1)")).alias("col"), "x0", "y0", "xe", "ye")
     y = F.col("y0") + (F.col("col") + 0.5 - F.col("x0")) * (F.col("ye") - F.col("y0")) / (F.col("xe") - F.col("x0"))
     hits = cross.groupBy(*keys, ident, "col").agg(F.array_sort(F.collect_list(y)).alias("ys"))
     pairs = hits.select(*keys, ident, "col", F.explode(F.expr("transform(sequence(0, size(ys) div 2 - 1), i -> struct(get(ys, 2*i) as a, get(ys, 2*i + 1) as b))")).alias("p"))
     segs = pairs.select(*keys, ident, "col", F.greatest(F.ceil(F.col("p.a") - 0.5), F.lit(0)).alias("r0"),
-                        F.least(F.ceil(F.col("p.b") - 0.5), F.lit(h)).alias("r1"))
+                        F.least(F.ceil(F.col("p.b") - 0.5), M.dim(h)).alias("r1"))
     return segs.filter("r1 > r0")
 
 

@@ -11,6 +11,9 @@ aggregate, so copies and overlaps collapse map-side and one hot image is spread
 (col, wd). Operators that return intervals first keep the longest segment per start
 (again map-side) and then run a window over one column of one image, whose size is
 bounded by the image height and not by the number of input rows.
+
+Image sizes are numbers, or names of columns where images differ in size. Such columns are listed among
+``keys``, so that every step carries them: ``keys=("image_id", "height", "width"), h="height"``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,11 @@ from pyspark.sql import functions as F
 KEYS = ("image_id",)
 
 
+def dim(size: int | str) -> Column:
+    """A size given as a number, or as the name of a column that is among the keys."""
+    return F.lit(size) if isinstance(size, int) else F.col(size)
+
+
 def _c(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
@@ -50,18 +58,18 @@ def decode(manifest: DataFrame, rle: str = "rle", keys: Sequence[str] = KEYS,
     return runs.filter((F.col("s") >= 0) & (F.col("e") > F.col("s")))
 
 
-def to_segments(runs: DataFrame, h: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def to_segments(runs: DataFrame, h: int | str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Cut runs at column borders."""
     cut = runs.select(*keys, "s", "e", F.explode(F.expr(f"sequence(s div {h}, (e - 1) div {h})")).alias("col"))
     return cut.select(
         *keys, "col",
-        (F.greatest("s", F.col("col") * h) - F.col("col") * h).alias("r0"),
-        (F.least("e", (F.col("col") + 1) * h) - F.col("col") * h).alias("r1"))
+        (F.greatest("s", F.col("col") * dim(h)) - F.col("col") * dim(h)).alias("r0"),
+        (F.least("e", (F.col("col") + 1) * dim(h)) - F.col("col") * dim(h)).alias("r1"))
 
 
-def to_runs(segments: DataFrame, h: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    return segments.select(*keys, (F.col("col") * h + F.col("r0")).alias("s"),
-                           (F.col("col") * h + F.col("r1")).alias("e"))
+def to_runs(segments: DataFrame, h: int | str, keys: Sequence[str] = KEYS) -> DataFrame:
+    return segments.select(*keys, (F.col("col") * dim(h) + F.col("r0")).alias("s"),
+                           (F.col("col") * dim(h) + F.col("r1")).alias("e"))
 
 
 def to_pixels(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -186,7 +194,7 @@ def pair_counts(pred: DataFrame, truth: DataFrame, keys: Sequence[str] = KEYS) -
         F.sum(F.bit_count(F.col("p").bitwiseAND(F.col("t")))).cast("bigint").alias("n_both"))
 
 
-def encode(segments: DataFrame, h: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def encode(segments: DataFrame, h: int | str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Segments -> canonical RLE text, one row per key that has pixels.
 
     The list per key is collected after merging, so it is no longer than the text it becomes.

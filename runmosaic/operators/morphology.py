@@ -28,16 +28,16 @@ def _offsets(kernel: list[tuple[int, int]]):
                                for dc, hh in kernel])).alias("_k")
 
 
-def dilate(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS, merged: bool = False) -> DataFrame:
+def dilate(segments: DataFrame, size: int, h: int | str, w: int | str, keys: Sequence[str] = M.KEYS, merged: bool = False) -> DataFrame:
     """``merged`` tells that the segments are disjoint, which saves a shuffle."""
     df = segments.select(*keys, "col", "r0", "r1", _offsets(ellipse(size)))
     grown = df.select(*keys, (F.col("col") + F.col("_k.dc")).alias("col"),
                       F.greatest(F.col("r0") - F.col("_k.hh"), F.lit(0)).alias("r0"),
-                      F.least(F.col("r1") + F.col("_k.hh"), F.lit(h)).alias("r1"))
-    return M.union(grown.filter((F.col("col") >= 0) & (F.col("col") < w)), keys, few=merged)
+                      F.least(F.col("r1") + F.col("_k.hh"), M.dim(h)).alias("r1"))
+    return M.union(grown.filter((F.col("col") >= 0) & (F.col("col") < M.dim(w))), keys, few=merged)
 
 
-def erode(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS, outside: bool = True) -> DataFrame:
+def erode(segments: DataFrame, size: int, h: int | str, w: int | str, keys: Sequence[str] = M.KEYS, outside: bool = True) -> DataFrame:
     """``segments`` must be merged. With ``outside`` the area beyond the image never erodes
     (the usual convention); without it counts as background."""
     kernel = ellipse(size)
@@ -45,48 +45,48 @@ def erode(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] =
     df = segments.select(*keys, "col", "r0", "r1", _offsets(kernel))
     k = F.col("_k.hh")
     top = F.when((F.col("r0") == 0) & F.lit(outside), F.lit(0)).otherwise(F.col("r0") + k)
-    end = F.when((F.col("r1") == h) & F.lit(outside), F.lit(h)).otherwise(F.col("r1") - k)
+    end = F.when((F.col("r1") == M.dim(h)) & F.lit(outside), M.dim(h)).otherwise(F.col("r1") - k)
     cut = df.select(*keys, (F.col("col") - F.col("_k.dc")).alias("col"), top.alias("r0"), end.alias("r1"))
-    cut = cut.filter((F.col("r1") > F.col("r0")) & (F.col("col") >= 0) & (F.col("col") < w))
+    cut = cut.filter((F.col("r1") > F.col("r0")) & (F.col("col") >= 0) & (F.col("col") < M.dim(w)))
     state = M.sweep(M.edges(cut, {"n": F.lit(1)}, keys), ["n"], keys, few=True)
-    inside = F.least(F.col("col") + r, F.lit(w - 1)) - F.greatest(F.col("col") - r, F.lit(0)) + 1
+    inside = F.least(F.col("col") + r, M.dim(w) - 1) - F.greatest(F.col("col") - r, F.lit(0)) + 1
     need = inside if outside else F.lit(2 * r + 1)
     return M.join_touching(state.filter(F.col("n") == need), keys)
 
 
-def close(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS, merged: bool = False) -> DataFrame:
+def close(segments: DataFrame, size: int, h: int | str, w: int | str, keys: Sequence[str] = M.KEYS, merged: bool = False) -> DataFrame:
     return erode(dilate(segments, size, h, w, keys, merged), size, h, w, keys)
 
 
-def open_(segments: DataFrame, size: int, h: int, w: int, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def open_(segments: DataFrame, size: int, h: int | str, w: int | str, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """``segments`` must be merged."""
     return dilate(erode(segments, size, h, w, keys), size, h, w, keys, merged=True)
 
 
-def smooth(segments: DataFrame, h: int, w: int, size: int = 5, iterations: int = 2, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def smooth(segments: DataFrame, h: int | str, w: int | str, size: int = 5, iterations: int = 2, keys: Sequence[str] = M.KEYS) -> DataFrame:
     for i in range(iterations):
         segments = open_(close(segments, size, h, w, keys, merged=i > 0), size, h, w, keys)
     return segments
 
 
-def bridge(segments: DataFrame, h: int, w: int, max_gap: int = 5, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def bridge(segments: DataFrame, h: int | str, w: int | str, max_gap: int = 5, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Mask united with its closing by a kernel of 2 * gap + 1."""
     return M.stack(segments, close(segments, 2 * max_gap + 1, h, w, keys), keys=keys)
 
 
-def boundary(segments: DataFrame, h: int, w: int, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def boundary(segments: DataFrame, h: int | str, w: int | str, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Outline pixels: those with a 4-neighbour outside the mask or the image."""
     merged = M.union(segments, keys)
     return M.combine(merged, erode(merged, 3, h, w, keys, outside=False), "difference", keys)
 
 
-def band(segments: DataFrame, h: int, w: int, size: int = 3, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def band(segments: DataFrame, h: int | str, w: int | str, size: int = 3, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Mask minus its erosion, for boundary IoU."""
     merged = M.union(segments, keys)
     return M.combine(merged, erode(merged, size, h, w, keys), "difference", keys)
 
 
-def clean(segments: DataFrame, h: int, w: int, least: int = 10, size: int = 3, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def clean(segments: DataFrame, h: int | str, w: int | str, least: int = 10, size: int = 3, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Drop small components, close, open: the clean-up after stitching."""
     big = K.remove_small(K.components(segments, w, keys=keys), least, keys)
     return open_(close(big, size, h, w, keys, merged=True), size, h, w, keys)
@@ -96,7 +96,7 @@ STEPS = {"close": close, "open": lambda s, k, h, w, keys: open_(M.union(s, keys)
          "erode": lambda s, k, h, w, keys: erode(M.union(s, keys), k, h, w, keys)}
 
 
-def postprocess(segments: DataFrame, steps: Sequence[str], h: int, w: int, size: int = 3, least: int | None = None,
+def postprocess(segments: DataFrame, steps: Sequence[str], h: int | str, w: int | str, size: int = 3, least: int | None = None,
                 most: int | None = None, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Ordered list of morphology steps, then area limits on the components that remain.
 

@@ -106,6 +106,37 @@ def open_(spark, sf_dir):
     return O.open_(M.union(truth(spark, sf_dir)), 3, H, W)
 
 
+# images of different size, their ships cut off at the border
+SIZED = "img AS (SELECT o_orderkey AS image_id, 200 + (o_orderkey * 37) % 700 AS height, 200 + (o_orderkey * 53) % 700 AS width FROM orders), spx AS (SELECT tpx.*, height, width FROM tpx JOIN img USING (image_id) WHERE row < height AND col < width)"
+SIZED_KEYS = ("image_id", "height", "width")
+
+
+def sized_truth(spark, sf_dir):
+    size = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey as image_id", "200 + (o_orderkey * 37) % 700 as height", "200 + (o_orderkey * 53) % 700 as width")
+    cut = truth(spark, sf_dir).join(size, "image_id").filter("col < width and r0 < height")
+    return cut.select(*SIZED_KEYS, "col", "r0", F.least("r1", "height").alias("r1"))
+
+
+SIZED_ISL = ("isl AS (SELECT image_id, height, width, col, min(row) AS r0, max(row) + 1 AS r1 FROM (SELECT *, row - row_number() OVER (PARTITION BY image_id, col ORDER BY row) AS g FROM {src}) "
+             "GROUP BY image_id, height, width, col, g)")
+
+
+@query("mask_round_trip_sized", sql("tpx", f"WITH {SIZED}, {SIZED_ISL.format(src='spx')} SELECT image_id, height, width, col, r0, r1 FROM isl"))
+def mask_round_trip_sized(spark, sf_dir):
+    """Written as RLE text and read back, each image by its own height."""
+    text = M.encode(sized_truth(spark, sf_dir), "height", SIZED_KEYS)
+    return M.union(M.to_segments(M.decode(text, keys=SIZED_KEYS), "height", SIZED_KEYS), SIZED_KEYS)
+
+
+@query("close_sized", sql("tpx", f"""WITH {SIZED}, {CROSS},
+  d AS (SELECT DISTINCT image_id, height, width, col + dc AS col, row + dr AS row FROM spx, ofs WHERE col + dc >= 0 AND col + dc < width AND row + dr >= 0 AND row + dr < height),
+  e AS (SELECT image_id, height, width, col, row FROM (SELECT image_id, height, width, col + dc AS col, row + dr AS row, count(*) AS n FROM d, ofs GROUP BY ALL)
+   WHERE n = 1 + (row > 0)::INT + (row < height - 1)::INT + (col > 0)::INT + (col < width - 1)::INT AND col >= 0 AND col < width AND row >= 0 AND row < height),
+  {SIZED_ISL.format(src='e')} SELECT image_id, height, width, col, r0, r1 FROM isl"""))
+def close_sized(spark, sf_dir):
+    return O.close(sized_truth(spark, sf_dir), 3, "height", "width", SIZED_KEYS)
+
+
 @query("smooth")
 def smooth(spark, sf_dir):
     return O.smooth(truth(spark, sf_dir), H, W)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,6 +33,16 @@ def build_session(master: str = "local[8]", app: str = "runmosaic", partitions:
     return spark
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder name below the shared folder the session names; a local master without one has a fixed folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        base = LOCAL_FOLDER
+    return f"{base.rstrip('/')}/runmosaic-{tag}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
 
