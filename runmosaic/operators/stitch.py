@@ -67,7 +67,7 @@ def over_cells(segments: DataFrame, cell_table: DataFrame, keep: Sequence[str],
 
 def _rule(patches: DataFrame, patch_segments: DataFrame, keep: Column, keys: Sequence[str]) -> DataFrame:
     """Intervals where the number of positive patches ``votes`` and covering patches ``n`` satisfy a rule."""
-    state = M.sweep(M.edges(patch_segments, {"votes": F.lit(1)}, keys), ["votes"], keys).filter("votes > 0")
+    state = M.sweep(M.edges(patch_segments, {"votes": F.lit(1)}, keys), ["votes"], keys, few=True).filter("votes > 0")
     cut = over_cells(state, cells(patches, keys, False), ["votes"], ["n"], keys)
     return M.join_touching(cut.filter(keep), keys)
 
@@ -97,7 +97,7 @@ def average_blend(patches: DataFrame, patch_segments: DataFrame, threshold: floa
     Probabilities are summed as decimals, so sums do not depend on order; ``digits`` rounds them first.
     """
     p = _rounded(F.col("p"), digits).cast("decimal(28,18)")
-    state = M.sweep(M.edges(patch_segments, {"total": p}, keys), ["total"], keys).filter("total > 0")
+    state = M.sweep(M.edges(patch_segments, {"total": p}, keys), ["total"], keys, few=True).filter("total > 0")
     cut = over_cells(state, cells(patches, keys, False), ["total"], ["n"], keys)
     return M.join_touching(cut.filter(F.col("total") > F.lit(threshold).cast("decimal(20,18)") * F.col("n")), keys)
 
