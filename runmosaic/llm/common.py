@@ -15,7 +15,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOCAL_FOLDER = "file:///tmp/checkpoints"
 
 
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches between the JVM and Python of at most ``ARROW_ROWS`` rows and about ``ARROW_BYTES`` for this session.
+
+    Texts are long, and every task holds a batch outside the heap; lower settings of the session are kept.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -12,13 +12,13 @@ from runmosaic.llm.common import SPACE, shared_folder, small, whole_row, written
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 BROADCAST_ROWS = 100_000
 FEED = "loc bigint, doc_id bigint, digest binary"
-STATE = "digest binary, first struct<none: boolean, doc_id: bigint, loc: bigint>, n bigint"
+STATE = {"digest": "binary", "first": "struct<none: boolean, doc_id: bigint, loc: bigint>", "n": "bigint"}
 
 
 def normalised(text: Column) -> Column:
@@ -41,7 +41,7 @@ def keyed_state(feed: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
     spark = feed.sparkSession
     source, out, log = (shared_folder(spark, f"dedup-{x}") for x in ("feed", "state", "log"))
     feed.write.parquet(source)
-    spark.createDataFrame([], STATE).write.parquet(f"{out}/batch=-1")
+    spark.range(0).selectExpr(*(f"cast(null as {kind}) as {name}" for name, kind in STATE.items())).write.parquet(f"{out}/batch=-1")
     old = {k: spark.conf.get(k, None) for k in ROCKS}
     try:
         for k, v in ROCKS.items():
@@ -54,7 +54,7 @@ def keyed_state(feed: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    seen = spark.read.schema(f"{STATE}, batch int").parquet(out)
+    seen = spark.read.schema(", ".join(f"{name} {kind}" for name, kind in {**STATE, "batch": "int"}.items())).parquet(out)
     last = F.max(F.struct("n", "first")).alias("last")  # a group only grows, so its last word is its largest count
     return seen.groupBy("digest").agg(last).select("digest", "last.first", "last.n")
 

@@ -95,7 +95,7 @@ def cycled_weights(sources: Sequence[str | None], cycle: Sequence[float] = (3, 1
 
 
 def mix(docs: DataFrame, sources: Column, weigh: Callable[[Sequence], dict] = cycled_weights, share: float = 1.5, repeats: int = 2,
-        seed: int = 17, size: Column | None = None, near: float = 0.002) -> DataFrame:
+        seed: int = 17, size: Column | None = None, near: float = 0.005) -> DataFrame:
     """``row, sources, size, source_size, target, copies`` for every document.
 
     ``sources`` is the array of sources a document belongs to. Patterns (sets of sources) are summed up

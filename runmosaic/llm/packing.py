@@ -31,26 +31,30 @@ PLAIN = re.compile(r"[\x00-ɏ‐-‧€]*\Z")
 
 
 @lru_cache(maxsize=1)
-def _encoders(name: str):
+def fast_encoder(name: str):
     import public_tokenizers as P
     import tiktoken
+    with open(P.path(f"{name}.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def slow_encoder(name: str):
+    import public_tokenizers as P
     from tokenizers import Tokenizer
     slow = Tokenizer.from_file(P.path(f"{name}.json"))
     slow.encode_special_tokens = True
-    with open(P.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast, slow
+    return slow
 
 
 def token_ids(text: str | None, name: str = TOKENIZER) -> list[int]:
-    """Ids of a whole text by the named public vocabulary."""
-    fast, slow = _encoders(name)
+    """Ids of a whole text by the named public vocabulary; each library is loaded by the first text that needs it."""
     if not text:
         return []
     if PLAIN.match(text):
-        return fast.encode_ordinary(text)
-    return slow.encode(text, add_special_tokens=False).ids
+        return fast_encoder(name).encode_ordinary(text)
+    return slow_encoder(name).encode(text, add_special_tokens=False).ids
 
 
 def pieces(doc_id, ids: list[int], capacity: int) -> Iterator[tuple]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -146,13 +145,14 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     out again by 20 further bits, where a group cannot pass 4096 whatever the data.
     """
     masks = table_masks()
-    probes = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
+    keys = lambda masks: F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))
+    literal = lambda ms: "array(" + ", ".join(f"cast('{_signed(m)}' as bigint)" for m in ms) + ")"
+    probes = distinct.select("fp", F.posexplode(keys(F.expr(literal(masks)))).alias("t", "key"))
     sizes = written(probes.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-keys")
     met = probes.join(small(sizes, BROADCAST_ROWS), ["t", "key"])
     met = written(met, "simhash-met")
     usual = met.filter(F.col("n") <= group).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    finer = reduce(lambda c, t: c.when(F.col("t") == t, F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in finer_masks(masks[t])])), range(1, len(masks)),
-                   F.when(F.col("t") == 0, F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in finer_masks(masks[0])])))
+    finer = keys(F.get(F.expr("array(" + ", ".join(literal(finer_masks(m)) for m in masks) + ")"), F.col("t")))
     dense = (met.filter(F.col("n") > group).select("t", "fp", F.posexplode(finer).alias("c", "key"))
              .groupBy("t", "c", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1))
     return group_links(usual.select("fps").union(dense.select("fps"))).distinct()

@@ -87,7 +87,7 @@ def test_best_fit_against_plain_search(sizes):
 
 
 def test_both_libraries_agree_on_plain_characters():
-    fast, slow = packing._encoders("byte_bpe_50k")
+    fast, slow = packing.fast_encoder("byte_bpe_50k"), packing.slow_encoder("byte_bpe_50k")
     chars = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x20ac]]
     for c in chars:
         assert packing.PLAIN.match(c)
