@@ -22,18 +22,21 @@ BROADCAST_ROWS = 100_000
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 64, 32, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """64 majority bits over the shingle hashes of a whole text; 0 without words."""
-    w = words(text)
+def shingle_hashes(w: list[bytes], n: int = SHINGLE) -> list[int]:
+    """Hashes of all runs of ``n`` words, or of all words if there are fewer; none without words."""
     if not w:
-        return 0
+        return []
     joined = b" ".join(w)
     if len(w) < n:
-        h = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        size = np.fromiter(map(len, w), np.int64, len(w))
-        end = np.cumsum(size + 1) - 1
-        h = [xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip((end - size)[:len(w) - n + 1].tolist(), end[n - 1:].tolist())]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    size = np.fromiter(map(len, w), np.int64, len(w))
+    end = np.cumsum(size + 1) - 1
+    return [xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip((end - size)[:len(w) - n + 1].tolist(), end[n - 1:].tolist())]
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """64 majority bits over the shingle hashes of a whole text; 0 without words."""
+    h = shingle_hashes(words(text), n)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 25_500):
         a = np.array(h[i:i + 25_500], "<u8")
@@ -43,12 +46,12 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``loc, doc_id, text`` -> ``loc, doc_id, fp`` (the 64 bits as a signed number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches):
-            fp = np.fromiter(map(fingerprint, b.column(2).to_pylist()), np.uint64, b.num_rows).view(np.int64)
+            fp = np.fromiter((fingerprint(t, shingle) for t in b.column(2).to_pylist()), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["loc", "doc_id", "fp"])
 
     return docs.select("loc", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "loc bigint, doc_id bigint, fp bigint")
@@ -138,13 +141,16 @@ def group_links(groups: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return groups.select("fps").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, group: int = GROUP, distance: int = DISTANCE) -> DataFrame:
     """Links between different fingerprints (``fp``), enough to connect every pair within the distance.
 
     Fingerprints meet in 20 tables of about 32 equal bits. A key with more than ``group`` members is dealt
-    out again by 20 further bits, where a group cannot pass 4096 whatever the data.
+    out again by 20 further bits, where a group cannot pass 4096 whatever the data. A smaller distance
+    leaves more bits equal and so smaller groups; a larger one would not keep them bounded.
     """
-    masks = table_masks()
+    if not 0 <= distance <= DISTANCE:
+        raise ValueError(f"distance {distance} is not from 0 to {DISTANCE}")
+    masks = table_masks(distance=distance)
     keys = lambda masks: F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))
     literal = lambda ms: "array(" + ", ".join(f"cast('{_signed(m)}' as bigint)" for m in ms) + ")"
     probes = distinct.select("fp", F.posexplode(keys(F.expr(literal(masks)))).alias("t", "key"))
@@ -152,10 +158,10 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     met = probes.join(small(sizes, BROADCAST_ROWS), ["t", "key"])
     met = written(met, "simhash-met")
     usual = met.filter(F.col("n") <= group).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"))
-    finer = keys(F.get(F.expr("array(" + ", ".join(literal(finer_masks(m)) for m in masks) + ")"), F.col("t")))
+    finer = keys(F.get(F.expr("array(" + ", ".join(literal(finer_masks(m, distance)) for m in masks) + ")"), F.col("t")))
     dense = (met.filter(F.col("n") > group).select("t", "fp", F.posexplode(finer).alias("c", "key"))
              .groupBy("t", "c", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1))
-    return group_links(usual.select("fps").union(dense.select("fps"))).distinct()
+    return group_links(usual.select("fps").union(dense.select("fps")), distance).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,18 +182,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_groups(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def near_groups(docs: DataFrame, group: int = GROUP, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``loc, doc_id, text`` -> ``loc, doc_id, fp, component_id, keep_loc`` for every row.
 
-    Rows whose fingerprints differ in at most 3 bits are linked; a component is all that links reach. Its
+    Rows whose fingerprints differ in at most ``distance`` bits are linked; a component is all that links reach. Its
     id is its smallest doc_id (null last) and ``keep_loc`` that row. Equal fingerprints are merged before
     any table is built, so copies cost nothing further. Null text and texts without words have
     fingerprint zero and link like any other. An empty table gives an empty result.
     """
-    fps = written(fingerprints(docs), "simhash-prints")
+    fps = written(fingerprints(docs, shingle), "simhash-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "loc")).alias("first")
     distinct = written(fps.groupBy("fp").agg(first), "simhash-distinct")
-    roots = distinct.join(components(links(distinct, group)), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(components(links(distinct, group, distance)), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = roots.groupBy("root").agg(F.min("first").alias("keep"))
     of = roots.join(best, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.loc").alias("keep_loc"))
     return fps.join(of, "fp").select("loc", "doc_id", "fp", "component_id", "keep_loc")
@@ -199,9 +205,9 @@ def near_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component, columns as they were."""
     stored = written(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("loc")), "simhash-rows")
-    found = near_groups(stored.select("loc", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")))
+    found = near_groups(stored.select("loc", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), shingle=shingle, distance=distance)
     dropped = small(written(found.filter("loc != keep_loc").select("loc"), "simhash-dropped"), 10 * BROADCAST_ROWS)
     return stored.join(dropped, "loc", "left_anti").select("row.*")
