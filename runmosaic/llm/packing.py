@@ -43,16 +43,24 @@ def fast_encoder(name: str):
 def slow_encoder(name: str):
     import public_tokenizers as P
     from tokenizers import Tokenizer
-    slow = Tokenizer.from_file(P.path(f"{name}.json"))
-    slow.encode_special_tokens = True
-    return slow
+    return Tokenizer.from_file(P.path(f"{name}.json"))
+
+
+@lru_cache(maxsize=1)
+def added_tokens(name: str) -> tuple[str, ...]:
+    """Texts that the library takes as one token wherever they stand."""
+    return tuple(t.content for t in slow_encoder(name).get_added_tokens_decoder().values())
 
 
 def token_ids(text: str | None, name: str = TOKENIZER) -> list[int]:
-    """Ids of a whole text by the named public vocabulary; each library is loaded by the first text that needs it."""
+    """Ids of a whole text as the ``tokenizers`` library gives them.
+
+    Texts of common letters and signs go to ``tiktoken``, which holds the same vocabulary and is four times as fast; texts with
+    other characters, or with an added token, go to ``tokenizers`` itself.
+    """
     if not text:
         return []
-    if PLAIN.match(text):
+    if PLAIN.match(text) and not any(a in text for a in added_tokens(name)):
         return fast_encoder(name).encode_ordinary(text)
     return slow_encoder(name).encode(text, add_special_tokens=False).ids
 

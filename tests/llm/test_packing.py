@@ -16,7 +16,6 @@ def verify(rows, texts, capacity):
     import public_tokenizers as P
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -50,7 +49,7 @@ def test_query_on_whole_table(spark):
 
 
 def test_odd_rows(spark):
-    texts = {1: None, 2: "", 3: "word " * 9000, 4: "<|endoftext|> x", 5: "日本語 ਠ emoji 😀", 6: " \t\n\x85\xa0 x  "}
+    texts = {1: None, 2: "", 3: "word " * 9000, 4: "<|endoftext|> x <|endoftext|>", 5: "日本語 ਠ emoji 😀", 6: " \t\n\x85\xa0 x  "}
     df = spark.createDataFrame([(k, v, "x", 1) for k, v in texts.items()], DOCS)
     verify(packing.pack_documents(df).collect(), texts, 1024)
     assert packing.pack_documents(df.limit(0)).count() == 0
