@@ -15,13 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,54 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runmosaic.llm.common import rows, shared_folder, written
+from runmosaic.llm.packing import END_ID, TOKENIZER, slow_encoder, token_ids
 
-END_ID = 2
-TOKENIZER = "byte_bpe_50k"
 MAGIC = b"RMTIDS01"
 FOOTER = "<QQB32s8s"
 SHARD = pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 NO_ID = -(1 << 63)
-MEMO = 1 << 17
 
 
-class Encoder:
-    """Ids by the ``tokenizers`` library.
-
-    A byte-level vocabulary never merges across the pieces its own split pattern makes, so the library is asked
-    once per distinct piece. Texts outside the characters on which the split was tested to agree with the library
-    go to it whole, as do texts that hold an added token.
-    """
-
-    def __init__(self, name: str = TOKENIZER):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import public_tokenizers as P
-        import regex
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(P.path(f"{name}.json"))
-        self.split = regex.compile(P.PATTERN).findall
-        # letters and common signs up to the Latin extensions, dashes, quotes and the euro sign
-        self.plain = regex.compile(r"[\x00-\x1b\x20-\x84\x86-ɏ‐-‧€]*+\Z").match
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.width = 2 if self.library.get_vocab_size(True) <= 1 << 16 else 4
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text, without an end id."""
-        parts = [self.split(t) if self.plain(t) and not any(a in t for a in self.added) else None for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = list({w for p in parts if p for w in p if w not in self.memo})
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            self.memo |= zip(some, (e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)))
-        known = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, p)), "<u4") if p is not None
-                else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") for t, p in zip(texts, parts)]
-
-
-@lru_cache(maxsize=1)
-def encoder(name: str) -> Encoder:
-    return Encoder(name)
+def id_width(name: str) -> int:
+    return 2 if slow_encoder(name).get_vocab_size(True) <= 1 << 16 else 4
 
 
 def files(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -86,12 +45,6 @@ def files(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def document_ids(docs: DataFrame, name: str, end_id: int) -> Iterator[np.ndarray]:
-    """Ids of a few bounded rows, for fitting."""
-    texts = [r.text or "" for r in docs.select("text").collect()]
-    return (np.append(a, np.uint32(end_id)).astype("<u4") for a in encoder(name).encode(texts))
-
-
 def train_dictionary(docs: DataFrame, name: str, end_id: int, sample: int, longest: int, size: int) -> bytes:
     """A zstandard dictionary from at most ``sample`` documents of at most ``longest`` bytes, drawn by hash.
 
@@ -99,10 +52,14 @@ def train_dictionary(docs: DataFrame, name: str, end_id: int, sample: int, longe
     serve as the dictionary; without any it is empty.
     """
     import zstandard
-    drawn = (docs.filter(F.octet_length("text").between(1, longest))
-             .select("text", F.xxhash64("text", "doc_id").alias("_h")).orderBy("_h", "text").limit(sample))
-    width = encoder(name).width
-    parts = [a.astype(f"<u{width}").tobytes() for a in document_ids(drawn, name, end_id)]
+    if not size:
+        return b""
+    short = docs.filter(F.octet_length("text").between(1, longest)).select("text", F.xxhash64("text", "doc_id", F.monotonically_increasing_id()).alias("_h"))
+    # about twice the sample leaves the tasks, however many rows and tasks there are
+    share = min(1.0, 2 * sample / max(1, docs.count()))
+    drawn = short.filter(F.col("_h") < F.lit(int((2 * share - 1) * 2**63) if share < 1 else 2**63 - 1)).orderBy("_h").limit(sample)
+    kind = f"<u{id_width(name)}"
+    parts = [np.array(token_ids(r.text, name) + [end_id], kind).tobytes() for r in drawn.collect()]
     if sum(map(len, parts)) >= 20 * size and len(parts) >= 20:
         return zstandard.train_dictionary(size, parts).as_bytes()
     return b"".join(parts)[:size]
@@ -122,13 +79,17 @@ def decompressor(dictionary: bytes):
 def frames(docs: DataFrame, name: str, end_id: int, dictionary: bytes, level: int) -> DataFrame:
     """``doc_id, n_tokens, frame`` for every row, where the row is read."""
 
+    kind = f"<u{id_width(name)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, press = encoder(name), compressor(dictionary, level)
-        kind = f"<u{enc.width}"
+        press = compressor(dictionary, level)
         for b in rows(batches):
-            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
-            packed = [press.compress(np.append(a, np.uint32(end_id)).astype(kind).tobytes()) for a in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(a) + 1 for a in ids], pa.int64()), pa.array(packed, pa.binary())],
+            counts, packed = [], []
+            for text in b.column(1).to_pylist():
+                ids = token_ids(text, name) + [end_id]
+                counts.append(len(ids))
+                packed.append(press.compress(np.array(ids, kind).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
                                              names=["doc_id", "n_tokens", "frame"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_tokens bigint, frame binary")
@@ -192,10 +153,10 @@ def write_token_files(docs: DataFrame, folder: str, name: str = TOKENIZER, end_i
     placed = made.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.asc("_row")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "_row")
     fs, base = files(folder)
     fs.create_dir(base, recursive=True)
-    done = written(shards(placed.select("doc_id", "n_tokens", "frame"), folder, encoder(name).width, digest), "shards")
+    done = written(shards(placed.select("doc_id", "n_tokens", "frame"), folder, id_width(name), digest), "shards")
     listed = sorted((r.asDict() for r in done.collect()), key=lambda r: r["part"])  # one row a file
     for file, content in (("dictionary.zdict", dictionary), ("manifest.json", json.dumps({
-            "tokenizer": name, "end_id": end_id, "width": encoder(name).width, "dictionary_sha256": digest.hex(), "shards": listed}).encode())):
+            "tokenizer": name, "end_id": end_id, "width": id_width(name), "dictionary_sha256": digest.hex(), "shards": listed}).encode())):
         with fs.open_output_stream(f"{base}/{file}", compression=None) as f:
             f.write(content)
     return folder
