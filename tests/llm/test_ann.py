@@ -26,12 +26,25 @@ def collected(df):
     return dict(out)
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s", "check_h"])
-def test_query_recall(spark, sf):
-    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+def made_table(folder):
+    """10,000 unit vectors without close neighbours, and one vector that repeats often."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    g = np.random.default_rng(3)
+    x = g.normal(size=(10_000, 64)).astype(np.float32)
+    x[5000:5400] = x[4999]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": pa.array(range(10_000)), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}), f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "made"])
+def test_query_recall(spark, sf, tmp_path):
+    sf = made_table(tmp_path) if sf == "made" else f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"file://{sf}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     want = brute(ids, x, ids % 20 == 0, 20) if len(ids) < 3000 else brute_fast(ids, x)
-    got = collected(queries.QUERIES["op9_cross_polytope_search"](spark, f"/root/testdata/{sf}"))
+    got = collected(queries.QUERIES["op9_cross_polytope_search"](spark, f"file://{sf}"))
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     at = {i: n for n, i in enumerate(ids.tolist())}
     for q, hits in got.items():
