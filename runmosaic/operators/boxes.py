@@ -1,42 +1,81 @@
 """Box joins, non-maximum suppression, matching, F-beta and average precision.
 
 Boxes are half-open integer or double rectangles ``x1, y1, x2, y2`` per image. Pairs are found
-through grid cells: both boxes are listed in the cells they touch and a pair is taken only in
-the cell that holds the top-left corner of its overlap.
+through the cells of a grid in levels, and a pair is taken only in the cell that holds the top-left corner of its overlap.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runmosaic.functions import expr as X
 from runmosaic.operators import masks as M
 from runmosaic.operators import scores as C
 from runmosaic.operators.graph import greedy_drop
-from runmosaic.session import cut_lineage
+from runmosaic.operators.grouped import Columns, batched_map
+from runmosaic.session import shared_path, written
 
 # fixed values
 IOU_STEPS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 RECALL_POINTS = 101
 
 
-def _spread(df: DataFrame, side: str, ident: str, keys: Sequence[str], cell: int, extra: Sequence[str]) -> DataFrame:
+def _level(side: str, cell: int) -> Column:
+    """Level of a box: its cells are at least as long as its longer side."""
+    long = F.greatest(F.col("x2" + side) - F.col("x1" + side), F.col("y2" + side) - F.col("y1" + side))
+    return F.greatest(F.ceil(F.log2(F.greatest(long, F.lit(1)) / cell)), F.lit(0)).cast("int")
+
+
+def _spread(df: DataFrame, side: str, ident: str, keys: Sequence[str], cell: int, extra: Sequence[str], levels: Column, own_role: int) -> DataFrame:
+    """Boxes in the cells they touch: at their own level under ``own_role``, at the levels to look up under the other."""
     df = df.select(*keys, F.col(ident).alias("id" + side), *[F.col(n).alias(n + side) for n in ("x1", "y1", "x2", "y2", *extra)])
-    cells = lambda a, b: F.expr(f"sequence(cast(floor({a} / {cell}) as bigint), cast(floor(({b} - 1e-9) / {cell}) as bigint))")
+    own = _level(side, cell)
+    # boxes of one level meet under role 0 alone
+    above = F.filter("_levels", (lambda l: l > own) if own_role == 0 else (lambda l: l >= own))
+    at = F.concat(F.array(F.struct(F.lit(own_role).alias("_role"), own.alias("_lv"))),
+                  F.transform(above, lambda l: F.struct(F.lit(1 - own_role).alias("_role"), l.alias("_lv"))))
+    df = df.withColumn("_levels", levels).withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at", "_levels")
+    cells = lambda a, b: F.expr(f"sequence(cast(floor({a} / ({cell}L << _lv)) as bigint), cast(floor(({b} - 1e-9) / ({cell}L << _lv)) as bigint))")
     return (df.withColumn("_cx", F.explode(cells(f"x1{side}", f"x2{side}")))
             .withColumn("_cy", F.explode(cells(f"y1{side}", f"y2{side}"))))
 
 
 def overlapping(a: DataFrame, b: DataFrame, id_a: str, id_b: str, keys: Sequence[str] = M.KEYS, cell: int = 64,
                 extra_a: Sequence[str] = (), extra_b: Sequence[str] = ()) -> DataFrame:
-    """Pairs of boxes with positive overlap: ``id_a, id_b``, both boxes and their IoU."""
-    pairs = _spread(a, "_a", id_a, keys, cell, extra_a).join(_spread(b, "_b", id_b, keys, cell, extra_b), [*keys, "_cx", "_cy"])
-    home = (F.floor(F.greatest("x1_a", "x1_b") / cell) == F.col("_cx")) & (F.floor(F.greatest("y1_a", "y1_b") / cell) == F.col("_cy"))
+    """Pairs of boxes with positive overlap: ``id_a, id_b``, both boxes and their IoU.
+
+    Cells come in levels, each twice as long as the one below. A box is listed at the level of its own size and looks
+    up larger boxes at the levels that the other table has, so it takes at most four cells a level whatever its size.
+    """
+    # at most one entry per power of two between the cell and the largest box
+    levels = lambda df: F.coalesce(df.select(_level("", cell).alias("l")).filter("l is not null").agg(F.collect_set("l").alias("l")).scalar(),
+                                   F.array().cast("array<int>"))
+    of_a = levels(a)
+    of_b = of_a if b is a else levels(b)
+    pairs = _spread(a, "_a", id_a, keys, cell, extra_a, of_b, 1).join(_spread(b, "_b", id_b, keys, cell, extra_b, of_a, 0), [*keys, "_role", "_lv", "_cx", "_cy"])
+    side = F.expr(f"{cell}L << _lv")
+    home = (F.floor(F.greatest("x1_a", "x1_b") / side) == F.col("_cx")) & (F.floor(F.greatest("y1_a", "y1_b") / side) == F.col("_cy"))
     return (pairs.filter(home & (X.box_overlap("_a", "_b") > 0))
-            .withColumn("overlap", X.box_overlap("_a", "_b")).withColumn("iou", X.box_iou("_a", "_b")).drop("_cx", "_cy"))
+            .withColumn("overlap", X.box_overlap("_a", "_b")).withColumn("iou", X.box_iou("_a", "_b")).drop("_role", "_lv", "_cx", "_cy"))
+
+
+BLOCK = 1024
+
+
+def block_of(x: Column | str, y: Column | str) -> Column:
+    """Number of the square block a point lies in; two blocks may share a number, which only makes them one."""
+    at = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / BLOCK)
+    return (at(x) * 1_000_003 + at(y)).cast("bigint")
+
+
+def conflicts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of boxes as edges for :func:`greedy_drop`."""
+    return pairs.select(*keys, "id_a", "id_b", block_of("x1_a", "y1_a").alias("blk_a"), block_of("x1_b", "y1_b").alias("blk_b"))
 
 
 def nms(boxes: DataFrame, threshold: float, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
@@ -44,9 +83,8 @@ def nms(boxes: DataFrame, threshold: float, ident: str = "box_id", keys: Sequenc
     box overlaps it with IoU above the threshold.
 
     Copies of one rectangle are first reduced to the best of them, which greedy order would keep
-    anyway, so a pile of copies makes no pairs. The rest is solved in parallel rounds: a box none
-    of whose better conflicting boxes is still open is kept, and what it conflicts with goes. Each
-    round settles the best open box of every conflict group, so the result is the greedy one.
+    anyway, so a pile of copies makes no pairs. The rest is settled block by block
+    (:func:`runmosaic.operators.graph.greedy_drop`).
     """
     best = boxes.groupBy(*keys, "x1", "y1", "x2", "y2").agg(
         F.min(F.struct((-F.col("score")).alias("_o"), F.col(ident).alias("_id"))).alias("_b"))
@@ -58,7 +96,7 @@ def nms(boxes: DataFrame, threshold: float, ident: str = "box_id", keys: Sequenc
 def _suppress(ranked: DataFrame, pairs: DataFrame, threshold: float, ident: str, keys: Sequence[str]) -> DataFrame:
     """What the greedy pass leaves of ``ranked``, given the pairs ``id_a, id_b, score_a, score_b, iou``."""
     better = (F.col("score_a") > F.col("score_b")) | ((F.col("score_a") == F.col("score_b")) & (F.col("id_a") < F.col("id_b")))
-    dropped = greedy_drop(pairs.filter((F.col("iou") > threshold) & better), keys)
+    dropped = greedy_drop(conflicts(pairs.filter((F.col("iou") > threshold) & better), keys), keys)
     if dropped is None:
         return ranked
     return ranked.join(dropped.withColumnRenamed("id_b", ident), [*keys, ident], "left_anti")
@@ -70,7 +108,8 @@ def mask_nms(segments: DataFrame, scores: DataFrame, threshold: float, ident: st
     both = mask_iou_pairs(a, a.withColumnRenamed("box_id", "gt_id"), keys).filter(F.col("pred") != F.col("gt"))
     of = lambda side, name: scores.select(*keys, F.col(ident).alias(name), F.col("score").alias("score" + side))
     pairs = both.filter(F.col("iou") > threshold).join(of("_a", "pred"), [*keys, "pred"]).join(of("_b", "gt"), [*keys, "gt"])
-    return _suppress(scores, pairs.withColumnsRenamed({"pred": "id_a", "gt": "id_b"}), threshold, ident, keys)
+    names = {"pred": "id_a", "gt": "id_b", "x_p": "x1_a", "y_p": "y1_a", "x_g": "x1_b", "y_g": "y1_b"}
+    return _suppress(scores, pairs.withColumnsRenamed(names), threshold, ident, keys)
 
 
 def top_per_image(boxes: DataFrame, k: int, ident: str = "box_id", keys: Sequence[str] = M.KEYS) -> DataFrame:
@@ -83,61 +122,149 @@ def top_per_image(boxes: DataFrame, k: int, ident: str = "box_id", keys: Sequenc
     return boxes.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def match(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def match(edges: DataFrame, keys: Sequence[str], steps: Sequence[float] | None = None) -> DataFrame:
     """Greedy one-to-one matching of candidate pairs ``pred, gt, score, iou`` per ``keys``.
 
     In the order of falling score (ties: lower pred) each prediction takes the free truth with
-    the highest IoU (ties: lower gt). Solved in rounds: a pair is final when it is the first
-    choice of its prediction and the prediction is the best one still asking for that truth.
+    the highest IoU (ties: lower gt). With ``steps`` the matching is made once per IoU step among the pairs that reach it,
+    and ``step`` is added to the result.
+
+    ``blk`` names the block of a prediction (without it, its hash). A pair is final when it is the first choice of its
+    prediction and no better prediction still asks for that truth. One pass settles in every block all that does not
+    wait for predictions of other blocks, at every step at once; only what is left is exchanged and goes round again, so
+    there are as many rounds as chains of competing predictions cross blocks. A prediction without a score comes last.
     """
-    edges = cut_lineage(edges.select(*keys, "pred", "gt", "score", "iou"))
-    out = None
-    while not edges.isEmpty():
-        first = edges.groupBy(*keys, "pred").agg(
-            F.min(F.struct((-F.col("iou")).alias("a"), F.col("gt").alias("gt"))).getField("gt").alias("gt"))
-        top = edges.groupBy(*keys, "gt").agg(
-            F.min(F.struct((-F.col("score")).alias("a"), F.col("pred").alias("pred"))).getField("pred").alias("pred"))
-        done = cut_lineage(first.join(top, [*keys, "pred", "gt"]))
-        out = done if out is None else out.unionByName(done)
-        edges = cut_lineage(edges.join(done.select(*keys, "pred"), [*keys, "pred"], "left_anti")
-                            .join(done.select(*keys, "gt"), [*keys, "gt"], "left_anti"))
-    return out if out is not None else edges.select(*keys, "pred", "gt")
+    if "blk" not in edges.columns:
+        edges = edges.withColumn("blk", F.pmod(F.xxhash64("pred"), F.lit(64)))
+    names = [*keys, "pred", "gt", "score", "iou", "blk"]
+    score = F.col("score").cast("double")
+    last = score.isNull() | F.isnan(score)
+    edges = written(edges.withColumn("score", F.when(last, F.lit(float("-inf"))).otherwise(score)).select(*names), "candidates")
+    if edges.count() > BLOCK_PAIRS:
+        crowded = edges.groupBy(*keys, "blk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_PAIRS)
+        crowded = written(crowded.select(*keys, "blk", F.ceil(F.col("n") / BLOCK_PAIRS).alias("_n")), "crowded")
+        edges = edges.join(crowded, [*keys, "blk"], "left").withColumn("blk", F.when(F.col("_n").isNull(), F.col("blk")).otherwise(
+            F.xxhash64("blk", F.pmod(F.xxhash64("pred"), "_n")))).drop("_n")
+    live = edges.withColumn("step", F.lit(None).cast("double"))
+    kinds = dict(live.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in [*names, "step"]) + ", final boolean"
+    spark, folder, rounds = edges.sparkSession, shared_path(edges.sparkSession, "match"), 0
+    by = [*keys, "gt", "step"]
+    while True:
+        # for each truth, the best prediction that asks for it from each of the few blocks around it
+        asking = live.groupBy(*by, "blk").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("pred").alias("p"))).alias("b"))
+        rivals = asking.groupBy(*by).agg(F.collect_list(F.struct("b", "blk")).alias("_all")).filter(F.size("_all") > 1)
+        rivals = rivals.select(*[F.col(c).alias("_" + c) for c in by], "_all")
+        same = [F.col("_" + c).eqNullSafe(F.col(c)) if c == "step" else F.col("_" + c) == F.col(c) for c in by]
+        other = F.array_min(F.transform(F.filter("_all", lambda r: r["blk"] != F.col("blk")), lambda r: r["b"]))
+        met = (live.join(rivals, same, "left").withColumn("_o", other)
+               .select(*names, "step", F.col("_o")["s"].alias("rival_s"), F.col("_o")["p"].alias("rival_p")))
+        path = f"{folder}/round={rounds}"
+        batched_map(met, [*keys, "blk"], ["pred"], _pair_up(names, tuple(steps) if steps and not rounds else None), schema).write.parquet(path)
+        rounds += 1
+        done = spark.read.schema(schema).parquet(path)
+        left = done.filter("not final")
+        if left.isEmpty():
+            break
+        if done.filter("final").isEmpty() and rounds > 1:
+            raise RuntimeError("no pair was settled in a round")
+        # a truth taken in one block is gone in the others
+        taken = done.filter("final").select(*[F.col(c).alias("_" + c) for c in by])
+        live = left.join(taken, same, "left_anti").drop("final")
+    out = spark.read.schema(schema + ", round int").parquet(folder).filter("final")
+    return out.select(*keys, *(["step"] if steps else []), "pred", "gt", "score", "iou")
+
+
+BLOCK_PAIRS = 1_000_000
+
+
+def _pair_up(names: Sequence[str], steps: tuple[float, ...] | None):
+    """Final pairs of whole blocks, and the pairs that wait for predictions elsewhere."""
+
+    def run(cols: Columns, group: np.ndarray) -> Columns:
+        parts = []
+        for step in steps or (None,):
+            at = np.flatnonzero(cols["iou"] >= step) if step is not None else np.arange(len(group))
+            final, wait = _settle_pairs({n: v[at] for n, v in cols.items()}, group[at])
+            for mine, flag in ((at[final], True), (at[wait], False)):
+                value = cols["step"][mine].astype(float) if step is None else np.full(len(mine), step)
+                parts.append({**{n: cols[n][mine] for n in names}, "step": value, "final": np.full(len(mine), flag)})
+        return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+
+    return run
+
+
+def _settle_pairs(cols: Columns, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(group)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = lambda c: np.unique(group * (c.max() + 1) + c, return_inverse=True)[1]
+    # pairs of different steps have nothing to do with one another
+    step = pd.factorize(cols["step"], use_na_sentinel=False)[0]
+    group = group * (step.max() + 1) + step
+    pred, gt = number(pd.factorize(cols["pred"])[0]), number(pd.factorize(cols["gt"])[0])
+    has = ~pd.isna(cols["rival_s"])
+    rival_s = np.where(has, cols["rival_s"], np.inf).astype(float)
+    # one order of all predictions: by falling score, then id; a rival elsewhere stands before the ones it beats
+    rival_p = np.where(has, cols["rival_p"], cols["pred"])
+    order = pd.DataFrame({"s": np.concatenate([-cols["score"], rival_s]), "p": np.concatenate([cols["pred"], rival_p])})
+    rank = order.groupby(["s", "p"], sort=True).ngroup().to_numpy()
+    mine, rival = rank[:n], np.where(has, rank[n:], np.iinfo(np.int64).max)
+    by_choice = np.lexsort((mine, cols["gt"], -cols["iou"], pred))  # of rows with one id the best one chooses
+    live = by_choice
+    free_p, free_g = np.ones(pred.max() + 1, bool), np.ones(gt.max() + 1, bool)
+    final = []
+    while len(live):
+        p, g = pred[live], gt[live]
+        first = np.ones(len(live), bool)
+        first[1:] = p[1:] != p[:-1]
+        best = np.full(len(free_g), np.iinfo(np.int64).max)
+        np.minimum.at(best, g, np.minimum(mine[live], rival[live]))
+        hit = live[first & (best[g] == mine[live])]
+        if not len(hit):
+            break
+        final.append(hit)
+        free_p[pred[hit]] = False
+        free_g[gt[hit]] = False
+        live = live[free_p[p] & free_g[g]]
+    return np.concatenate(final) if final else np.zeros(0, np.int64), live
 
 
 def box_candidates(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = M.KEYS, least_iou: float = 0.5) -> DataFrame:
     pairs = overlapping(pred, gt, "box_id", "gt_id", keys, extra_a=["score"])
     return pairs.filter(F.col("iou") >= least_iou).select(
-        *keys, F.col("id_a").alias("pred"), F.col("id_b").alias("gt"), F.col("score_a").alias("score"), "iou")
+        *keys, F.col("id_a").alias("pred"), F.col("id_b").alias("gt"), F.col("score_a").alias("score"), "iou", block_of("x1_a", "y1_a").alias("blk"))
 
 
 def mask_iou_pairs(pred: DataFrame, gt: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """IoU of every pair of instance masks that share a pixel.
 
     ``pred``/``gt`` are segments with ``box_id``/``gt_id``. The join key is (image, column, word), so
-    a large image spreads over the cluster; a mask that repeats inside its own rows counts once.
+    a large image spreads over the cluster; a mask that repeats inside its own rows counts once. ``x_p, y_p`` and
+    ``x_g, y_g`` are a corner of each mask, to the word.
     """
     p = M.union_words(pred, (*keys, "box_id"))
     g = M.union_words(gt, (*keys, "gt_id"))
     both = p.join(g.withColumnRenamed("bits", "bits_g"), [*keys, "col", "wd"]).withColumn(
         "n", F.bit_count(F.col("bits").bitwiseAND(F.col("bits_g")))).filter("n > 0")
     inter = both.groupBy(*keys, "box_id", "gt_id").agg(F.sum("n").alias("overlap"))
-    ap = p.groupBy(*keys, "box_id").agg(F.sum(F.bit_count("bits")).alias("area_p"))
-    ag = g.groupBy(*keys, "gt_id").agg(F.sum(F.bit_count("bits")).alias("area_g"))
+    corner = lambda s: (F.min("col").alias(f"x_{s}"), (F.min("wd") * 64).alias(f"y_{s}"))
+    ap = p.groupBy(*keys, "box_id").agg(F.sum(F.bit_count("bits")).alias("area_p"), *corner("p"))
+    ag = g.groupBy(*keys, "gt_id").agg(F.sum(F.bit_count("bits")).alias("area_g"), *corner("g"))
     j = inter.join(ap, [*keys, "box_id"]).join(ag, [*keys, "gt_id"])
     return j.select(*keys, F.col("box_id").alias("pred"), F.col("gt_id").alias("gt"), "overlap",
-                    (F.col("overlap") / (F.col("area_p") + F.col("area_g") - F.col("overlap"))).alias("iou"))
+                    (F.col("overlap") / (F.col("area_p") + F.col("area_g") - F.col("overlap"))).alias("iou"), "x_p", "y_p", "x_g", "y_g")
 
 
 def mask_candidates(pred: DataFrame, gt: DataFrame, scores: DataFrame, keys: Sequence[str] = M.KEYS, least_iou: float = 0.5) -> DataFrame:
     """Candidate pairs for :func:`match` by mask IoU; ``scores`` has ``box_id, score``."""
     pairs = mask_iou_pairs(pred, gt, keys).filter(F.col("iou") >= least_iou)
-    return pairs.join(scores.select(*keys, F.col("box_id").alias("pred"), "score"), [*keys, "pred"]).select(*keys, "pred", "gt", "score", "iou")
+    return pairs.join(scores.select(*keys, F.col("box_id").alias("pred"), "score"), [*keys, "pred"]).select(
+        *keys, "pred", "gt", "score", "iou", block_of("x_p", "y_p").alias("blk"))
 
 
 def matches_by_threshold(candidates: DataFrame, keys: Sequence[str] = M.KEYS, steps: Sequence[float] = IOU_STEPS) -> DataFrame:
-    t = F.explode(F.array(*[F.lit(float(s)) for s in steps]))
-    wide = candidates.select("*", t.alias("step")).filter(F.col("iou") >= F.col("step"))
-    return match(wide, (*keys, "step"))
+    return match(candidates.filter(F.col("iou") >= min(steps)), keys, steps)
 
 
 def f_beta(images: DataFrame, pred: DataFrame, gt: DataFrame, candidates: DataFrame, beta: float = 2.0,
@@ -160,21 +287,24 @@ def average_precision(pred: DataFrame, gt: DataFrame, candidates: DataFrame, key
                       steps: Sequence[float] = IOU_STEPS) -> DataFrame:
     """AP per IoU step: precision envelope read at 101 recall points over the whole data set.
 
-    Predictions of exactly equal score enter together. Running sums and the envelope work on one row per
-    distinct score in two levels (block of scores, then score in block), so no task sorts all scores. A data
-    set without truth has AP 0.
+    Predictions of exactly equal score enter together. One row per distinct score carries the hits of all steps as
+    columns; running sums and the envelope work on it in two levels (block of scores, then score in block), so no task
+    sorts all scores. A data set without truth has AP 0.
     """
+    k = range(len(steps))
     hit = matches_by_threshold(candidates, keys, steps)
+    # the score of a hit is that of each row with its id
+    own = hit.drop("score").join(pred.select(*keys, F.col("box_id").alias("pred"), "score"), [*keys, "pred"])
+    tp = own.groupBy("score").agg(*[F.count_if(F.col("step") == float(s)).alias(f"tp{i}") for i, s in enumerate(steps)])
     total = pred.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    tp = (hit.join(pred.select(*keys, F.col("box_id").alias("pred"), "score"), [*keys, "pred"])
-          .groupBy("step", "score").agg(F.count(F.lit(1)).alias("tp")))
-    rows = (total.select("*", F.explode(F.array(*[F.lit(float(s)) for s in steps])).alias("step"))
-            .join(tp, ["step", "score"], "left").na.fill(0, ["tp"]))
-    n_gt = gt.agg(F.count(F.lit(1)).alias("n")).scalar()
-    curve = C.running_from_top(rows, ["tp", "n"], "score", ["step"])
+    scores = C.in_blocks(total.join(tp, "score", "left").na.fill(0, [f"tp{i}" for i in k]), "score")
+    n_gt = gt.count()
+    curve = C.running_from_top(scores, [*[f"tp{i}" for i in k], "n"], "score")
     # recall points in (recall of the next higher score, recall] read this row's envelope
-    point = lambda k: F.floor(F.coalesce(F.try_divide(k, n_gt), F.lit(0.0)) * (RECALL_POINTS - 1) + 1e-9)
-    curve = curve.select("step", "score", (F.col("cum_tp") / F.col("cum_n")).alias("precision"), point(F.col("cum_tp")).alias("_u"),
-                         F.when(F.col("cum_n") == F.col("n"), F.lit(-1)).otherwise(point(F.col("cum_tp") - F.col("tp"))).alias("_l"))
-    env = C.best_from_here_down(curve, "precision", "score", ["step"])
-    return env.groupBy("step").agg((F.sum((F.col("_u") - F.col("_l")) * F.col("precision")) / RECALL_POINTS).alias("ap"))
+    point = lambda c: F.floor((c / n_gt if n_gt else F.lit(0.0)) * (RECALL_POINTS - 1) + 1e-9)
+    top = F.col("cum_n") == F.col("n")
+    curve = written(curve.select("_b", "score", *[(F.col(f"cum_tp{i}") / F.col("cum_n")).alias(f"p{i}") for i in k], *[
+        (point(F.col(f"cum_tp{i}")) - F.when(top, F.lit(-1)).otherwise(point(F.col(f"cum_tp{i}") - F.col(f"tp{i}")))).alias(f"w{i}") for i in k]), "curve")
+    env = C.best_from_here_down(curve, [f"p{i}" for i in k], "score")
+    sums = env.agg(*[F.sum(F.col(f"w{i}") * F.col(f"p{i}")).alias(f"s{i}") for i in k], F.count(F.lit(1)).alias("rows")).filter("rows > 0")
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("step"), (F.col(f"s{i}") / RECALL_POINTS).alias("ap")) for i, s in enumerate(steps)])))

@@ -31,6 +31,16 @@ def feature(ring: str, properties: dict[str, Column], feature_id: str | None = N
     return F.struct(*parts)
 
 
+def polygon_feature(rings: str, properties: dict[str, Column], feature_id: str | None = None) -> Column:
+    """GeoJSON feature struct of a polygon with holes: ``rings`` holds the outer ring, then the holes."""
+    coords = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    parts = [F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"),
+             F.struct(*[v.alias(k) for k, v in properties.items()]).alias("properties")]
+    if feature_id is not None:
+        parts.append(F.col(feature_id).alias("id"))
+    return F.struct(*parts)
+
+
 def collections(features: DataFrame, order: str, crs: str | None = None, keys: Sequence[str] = M.KEYS, instance: str | None = None) -> DataFrame:
     """One FeatureCollection text per key, features in ``order``; ``instance`` names the property that tells instances apart.
 
@@ -84,7 +94,7 @@ def merge_clusters(boxes: DataFrame, mode: str = "seed", ratio: float = 0.5, ide
     """
     one = _distinct_boxes(boxes, ident, keys)
     pairs = B.overlapping(one, one, ident, ident, keys).filter(F.col("id_a") < F.col("id_b"))
-    near = pairs.filter(F.col("overlap") / F.least(X.box_area("_a"), X.box_area("_b")) >= ratio).select(*keys, "id_a", "id_b")
+    near = B.conflicts(pairs.filter(F.col("overlap") / F.least(X.box_area("_a"), X.box_area("_b")) >= ratio), keys)
     cluster = _clusters(one, near, mode, ident, keys).select(*keys, "x1", "y1", "x2", "y2", "cluster")
     return boxes.join(cluster, [*keys, "x1", "y1", "x2", "y2"])
 
@@ -96,7 +106,8 @@ def merge_mask_clusters(segments: DataFrame, mode: str = "seed", ratio: float =
     area = M.area(segments, (*keys, ident))
     of = lambda side, name: area.select(*keys, F.col(ident).alias(name), F.col("area").alias("area" + side))
     near = both.join(of("_a", "pred"), [*keys, "pred"]).join(of("_b", "gt"), [*keys, "gt"])
-    near = near.filter(F.col("overlap") / F.least("area_a", "area_b") >= ratio).select(*keys, F.col("pred").alias("id_a"), F.col("gt").alias("id_b"))
+    near = near.filter(F.col("overlap") / F.least("area_a", "area_b") >= ratio).select(
+        *keys, F.col("pred").alias("id_a"), F.col("gt").alias("id_b"), B.block_of("x_p", "y_p").alias("blk_a"), B.block_of("x_g", "y_g").alias("blk_b"))
     return _clusters(area.select(*keys, ident), near, mode, ident, keys)
 
 

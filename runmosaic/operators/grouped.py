@@ -1,6 +1,9 @@
 """Grouped map for many small groups: rows are placed and sorted by key, and each task walks its
-partition once, handing whole groups to a function as numpy columns. Only the group that is still
-open is held, and results leave in large batches."""
+partition once, handing whole groups to a function as numpy columns. Only the groups that are still
+open are held, and results leave in large batches.
+
+``groupBy().applyInArrow`` starts one Arrow stream a group; for images with a few rows each that is most of
+the run (README, "Grouped work in Python")."""
 
 from __future__ import annotations
 
@@ -10,53 +13,76 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-OUT_ROWS = 20000
+ROWS = 20000
 
 Columns = dict[str, np.ndarray]
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str], least: int) -> Iterator[tuple[Columns, np.ndarray]]:
+    """Columns of at least ``least`` rows of whole groups (or all that is left), with the first row of each group."""
+    held: list[Columns] = []
+    rows = 0
+
+    def bounds(cols: Columns) -> np.ndarray:
+        n = len(cols[keys[0]])
+        change = np.ones(n, bool)
+        change[1:] = False
+        for k in keys:
+            change[1:] |= cols[k][1:] != cols[k][:-1]
+        return np.flatnonzero(change)
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        held.append({n: pdf[n].to_numpy() for n in pdf.columns})
+        rows += len(pdf)
+        if rows < least:
+            continue
+        # the last group may go on in the next batch
+        start = int(bounds(held[-1])[-1])
+        last = {n: v[start:] for n, v in held[-1].items()}
+        if start == 0 and (len(held) == 1 or all(held[-2][k][-1] == last[k][0] for k in keys)):
+            continue
+        done = held[:-1] + ([{n: v[:start] for n, v in held[-1].items()}] if start else [])
+        cols = {n: np.concatenate([h[n] for h in done]) for n in last}
+        yield cols, bounds(cols)
+        held, rows = [last], len(last[keys[0]])
+    if held:
+        cols = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+        yield cols, bounds(cols)
+
+
+def batched_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[Columns, np.ndarray], Columns], schema: str,
+                least: int = ROWS) -> DataFrame:
+    """``fn`` takes several whole groups at once, and the number of each row's group."""
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cols, first in _whole_groups(batches, keys, least):
+            group = np.zeros(len(cols[keys[0]]), np.int64)
+            group[first[1:]] = 1
+            yield pd.DataFrame(fn(cols, np.cumsum(group)))
+
+    return placed.mapInPandas(run, schema)
+
+
 def grouped_map(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[Columns], Columns], schema: str) -> DataFrame:
+    """``fn`` takes one group at a time."""
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[Columns] = []
-        open_key = None
         out: list[Columns] = []
         rows = 0
-
-        def close() -> None:
-            nonlocal held, rows
-            if held:
-                cols = {n: np.concatenate([h[n] for h in held]) for n in held[0]} if len(held) > 1 else held[0]
-                res = fn(cols)
+        # one group may be large (pixels), so groups are taken off as soon as they are whole
+        for cols, first in _whole_groups(batches, keys, 1):
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cols[keys[0]])]):
+                res = fn({n: v[a:b] for n, v in cols.items()})
                 out.append(res)
                 rows += len(next(iter(res.values())))
-                held = []
-
-        def flush() -> pd.DataFrame:
-            nonlocal out, rows
-            pdf = pd.DataFrame({n: np.concatenate([o[n] for o in out]) for n in out[0]})
-            out, rows = [], 0
-            return pdf
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cols = {n: pdf[n].to_numpy() for n in pdf.columns}
-            change = np.zeros(len(pdf), bool)
-            for k in keys:
-                change[1:] |= cols[k][1:] != cols[k][:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
-            for a, b in zip(cuts, cuts[1:]):
-                key = tuple(cols[k][a] for k in keys)
-                if key != open_key:
-                    close()
-                    open_key = key
-                held.append({n: v[a:b] for n, v in cols.items()})
-            if rows >= OUT_ROWS:
-                yield flush()
-        close()
+                if rows >= ROWS:
+                    yield pd.DataFrame({n: np.concatenate([o[n] for o in out]) for n in out[0]})
+                    out, rows = [], 0
         if out:
-            yield flush()
+            yield pd.DataFrame({n: np.concatenate([o[n] for o in out]) for n in out[0]})
 
     return placed.mapInPandas(run, schema)

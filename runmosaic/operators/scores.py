@@ -1,19 +1,19 @@
 """Classifier reports over (label, prob) tables.
 
-Curves work on one row per distinct score. Running totals over scores use two levels (block of
-scores, then score in block) so that no single task sorts all distinct scores.
+Curves work on one row per distinct score. Ranks and running totals over scores use two levels (block of
+scores, then score in block) over a table written once, so that no single task sorts all distinct scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runmosaic.functions import expr as X
-
-CURVE_BLOCKS = 128
+from runmosaic.session import written
 
 
 def predicted(df: DataFrame, threshold: float = 0.5, prob: str = "prob") -> DataFrame:
@@ -41,47 +41,76 @@ def per_score(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFr
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def in_blocks(scores: DataFrame, order: str, blocks: int = CURVE_BLOCKS) -> DataFrame:
-    """Adds ``_b``, the number of the block of about equal size that ``order`` falls in.
+def in_blocks(scores: DataFrame, order: str) -> DataFrame:
+    """``scores`` as a table written once, cut into range blocks of ``order`` of about equal size, numbered ``_b``.
 
-    Cuts lie at approximate quantiles, so crowded score ranges are split too; results of the callers
-    do not depend on where they fall. More distinct scores call for more ``blocks``.
+    All passes over ranks and running totals read this table and use its one cut. A block holds all rows of a
+    value, as many as ``spark.sql.shuffle.partitions`` gives; results do not depend on where the cuts fall.
     """
-    marks = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    cuts = scores.agg(F.percentile_approx(order, marks, 100 * blocks).alias("cuts")).scalar()
-    return scores.withColumn("_cuts", cuts).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(scores.repartitionByRange(parts, order).withColumn("_b", F.spark_partition_id()), "blocks")
 
 
-def running_from_top(scores: DataFrame, sums: Sequence[str], order: str = "threshold", by: Sequence[str] = (),
-                     blocks: int = CURVE_BLOCKS) -> DataFrame:
-    """Totals over all scores >= this one, per ``by``, without a global window.
+def running_from_top(blocked: DataFrame, sums: Sequence[str], order: str = "threshold") -> DataFrame:
+    """Totals over all scores >= this one, ``cum_<name>``, without a global window.
 
-    ``scores`` has distinct values of ``order`` per ``by``. Totals of the blocks above come from a window
-    over at most ``blocks`` rows, the rest from a window inside the block.
+    ``blocked`` comes from :func:`in_blocks` and has distinct values of ``order``. Totals of the blocks above come from a
+    window over one row a block, the rest from a window inside the block.
+    """
+    totals = blocked.groupBy("_b").agg(*[F.sum(s).alias(s + "_all") for s in sums])
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    lead = totals.select("_b", *[F.coalesce(F.sum(s + "_all").over(above), F.lit(0)).alias(s + "_above") for s in sums])
+    inner = Window.partitionBy("_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    # one row a block
+    joined = blocked.join(F.broadcast(lead), "_b")
+    return joined.select(*blocked.columns, *[(F.sum(s).over(inner) + F.col(s + "_above")).alias("cum_" + s) for s in sums])
+
+
+def best_from_here_down(blocked: DataFrame, values: Sequence[str], order: str) -> DataFrame:
+    """``values`` replaced by their maxima over this and all smaller ``order``, in the same two levels."""
+    below = Window.orderBy(F.desc("_b")).rowsBetween(1, Window.unboundedFollowing)
+    tops = blocked.groupBy("_b").agg(*[F.max(v).alias("_top_" + v) for v in values])
+    lead = tops.select("_b", *[F.max("_top_" + v).over(below).alias("_below_" + v) for v in values])
+    inner = Window.partitionBy("_b").orderBy(F.desc(order)).rowsBetween(0, Window.unboundedFollowing)
+    here = blocked.join(F.broadcast(lead), "_b")
+    keep = [c for c in blocked.columns if c not in values]
+    return here.select(*keep, *[F.greatest(F.max(v).over(inner), F.col("_below_" + v)).alias(v) for v in values])  # greatest skips null
+
+
+def quantiles(values: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation; nulls do not count, no values give nulls.
+
+    Two refinements of the range: counts per block name the blocks that hold the wanted ranks, and only these are
+    counted through. What reaches the driver is one row a block and one a rank.
     """
-    blocked = in_blocks(scores, order, blocks)
-    totals = blocked.groupBy(*by, "_b").agg(*[F.sum(s).alias(s + "_all") for s in sums])
-    above = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    lead = totals.select(*by, "_b", *[F.coalesce(F.sum(s + "_all").over(above), F.lit(0)).alias(s + "_above") for s in sums])
-    inner = Window.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.join(lead, [*by, "_b"])
-    return joined.select(*scores.columns, *[(F.sum(s).over(inner) + F.col(s + "_above")).alias("cum_" + s) for s in sums])
-
-
-def best_from_here_down(scores: DataFrame, value: str, order: str, by: Sequence[str] = (), blocks: int = CURVE_BLOCKS) -> DataFrame:
-    """``value`` replaced by its maximum over this and all smaller ``order``, per ``by``, in the same two levels."""
-    blocked = in_blocks(scores, order, blocks)
-    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_b")).rowsBetween(1, Window.unboundedFollowing)
-    tops = blocked.groupBy(*by, "_b").agg(F.max(value).alias("_top"))
-    lead = tops.select(*by, "_b", F.max("_top").over(below).alias("_below"))
-    inner = Window.partitionBy(*by, "_b").orderBy(F.desc(order)).rowsBetween(0, Window.unboundedFollowing)
-    here = blocked.withColumn(value, F.max(value).over(inner)).join(lead, [*by, "_b"])
-    return here.withColumn(value, F.greatest(value, "_below")).select(*scores.columns)  # greatest skips null
+    per = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    blocked = in_blocks(per, "v")
+    sizes = sorted((r._b, r.n) for r in blocked.groupBy("_b").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        return [None] * len(shares)
+    ranks = {r for q in shares for r in (floor((total - 1) * q), ceil((total - 1) * q))}
+    found, before = {}, 0
+    wanted = []
+    for block, n in sizes:
+        wanted += [(block, r, r - before) for r in ranks if before <= r < before + n]
+        before += n
+    inner = Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = blocked.filter(F.col("_b").isin(sorted({b for b, _, _ in wanted}))).withColumn("_past", F.sum("n").over(inner))
+    at = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r"), F.lit(k).alias("k")) for b, r, k in wanted])
+    hits = counted.select("_b", "v", "n", "_past", F.explode(at).alias("w")).filter("w.b = _b and w.k < _past and w.k >= _past - n")
+    found = {r.r: r.v for r in hits.select("w.r", "v").collect()}
+    out = []
+    for q in shares:
+        at = (total - 1) * q
+        low, high = found[floor(at)], found[ceil(at)]
+        out.append(low + (at - floor(at)) * (high - low))
+    return out
 
 
 def roc_auc(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """Area under the ROC curve by pair counting, ties as one half; 0 with one class only."""
-    run = running_from_top(per_score(df, label, prob), ["pos"])
+    run = running_from_top(in_blocks(per_score(df, label, prob), "threshold"), ["pos"])
     # for each negative: positives strictly above count 1, positives at the same score one half
     won = (F.col("cum_pos") - F.col("pos") + F.col("pos") * 0.5) * F.col("neg").cast("double")
     return run.agg(F.sum(won).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).select(
@@ -92,7 +121,7 @@ def roc_points(df: DataFrame, label: str = "label", prob: str = "prob") -> DataF
     """fpr and tpr at each distinct score, with the (0, 0) start at an infinite threshold.
 
     With one class only the rate of the other is 0 everywhere."""
-    per = per_score(df, label, prob)
+    per = in_blocks(per_score(df, label, prob), "threshold")
     total = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     p, n = total.select("p").scalar(), total.select("n").scalar()
     run = running_from_top(per, ["pos", "neg"])

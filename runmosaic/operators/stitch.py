@@ -2,9 +2,10 @@
 
 Sparse form: ``patches`` (row, col, height, width, confidence) and ``patch_segments``
 (tile_row, tile_col, col, r0, r1 in image coordinates, optional p), disjoint inside each patch as
-``masks.union`` and ``masks.crop`` leave them. Everything that is constant over
-a piece of the tile grid (coverage, mean or maximal confidence) lives in *cells*, a few rectangles
-per image. Pixels are listed only where patches overlap and weights differ.
+``masks.union``, ``masks.crop`` and ``tiles.over_grid`` leave them. Rows are placed once, by image and column, and all
+further steps work there. Coverage and weights of a complete regular grid follow from a pixel's place
+(``tiles.Grid``); for other patches what is constant over a piece of the image lives in *cells*, a few rectangles
+per image, or in the list of patches that overlap one. Pixels are listed only where patches overlap and weights differ.
 
 Dense form: patches carry a float32 mask as BINARY; they are spread over fixed image blocks and each
 block is blended on its own, so no task ever holds a whole image.
@@ -65,20 +66,37 @@ def over_cells(segments: DataFrame, cell_table: DataFrame, keep: Sequence[str],
     return hit.select(*keys, *keep, *carry, "col", F.greatest("r0", "_r0").alias("r0"), F.least("r1", "_r1").alias("r1"))
 
 
-def _rule(patches: DataFrame, patch_segments: DataFrame, keep: Column, keys: Sequence[str]) -> DataFrame:
+def with_cover(state: DataFrame, patches: DataFrame, grid: T.Grid | None, carry: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Intervals cut where the number ``n`` of covering patches changes: in place for a complete grid, by :func:`cells` for other patches."""
+    if grid is None:
+        return over_cells(state, cells(patches, keys, False), carry, ["n"], keys)
+    g = grid
+    cut = state.withColumn("_x", F.expr(g.cuts("r0", "r1", g.height)))
+    piece = F.expr("arrays_zip(concat(array(r0), _x), concat(_x, array(r1)))")
+    cut = cut.select(*keys, *carry, "col", F.explode(piece).alias("_p")).select(
+        *keys, *carry, "col", F.col("_p")["0"].alias("r0"), F.col("_p")["1"].alias("r1"))
+    return cut.withColumn("n", F.expr(f"({g.count('r0', g.height)}) * ({g.count('col', g.width)})"))
+
+
+def placed(segments: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """Rows placed once by image and column; all steps of a blend work there."""
+    return segments.repartition(*keys, "col")
+
+
+def _rule(patches: DataFrame, patch_segments: DataFrame, keep: Column, keys: Sequence[str], grid: T.Grid | None) -> DataFrame:
     """Intervals where the number of positive patches ``votes`` and covering patches ``n`` satisfy a rule."""
-    state = M.sweep(M.edges(patch_segments, {"votes": F.lit(1)}, keys), ["votes"], keys, few=True).filter("votes > 0")
-    cut = over_cells(state, cells(patches, keys, False), ["votes"], ["n"], keys)
-    return M.join_touching(cut.filter(keep), keys)
+    state = M.sweep(M.edges(placed(patch_segments, keys), {"votes": F.lit(1)}, keys), ["votes"], keys).filter("votes > 0")
+    return M.join_touching(with_cover(state, patches, grid, ["votes"], keys).filter(keep), keys)
 
 
-def vote(patches: DataFrame, patch_segments: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    """Positive in more than half of the covering patches."""
-    return _rule(patches, patch_segments, F.col("votes") * 2 > F.col("n"), keys)
+def vote(patches: DataFrame, patch_segments: DataFrame, keys: Sequence[str] = M.KEYS, grid: T.Grid | None = None) -> DataFrame:
+    """Positive in more than half of the covering patches. ``grid`` states that ``patches`` are all tiles of a regular grid."""
+    return _rule(patches, patch_segments, F.col("votes") * 2 > F.col("n"), keys, grid)
 
 
-def consensus(patches: DataFrame, patch_segments: DataFrame, agreement: float = 0.7, keys: Sequence[str] = M.KEYS) -> DataFrame:
-    return _rule(patches, patch_segments, F.col("votes") / F.col("n") >= agreement, keys)
+def consensus(patches: DataFrame, patch_segments: DataFrame, agreement: float = 0.7, keys: Sequence[str] = M.KEYS,
+              grid: T.Grid | None = None) -> DataFrame:
+    return _rule(patches, patch_segments, F.col("votes") / F.col("n") >= agreement, keys, grid)
 
 
 def max_blend(patch_segments: DataFrame, threshold: float = 0.5, keys: Sequence[str] = M.KEYS) -> DataFrame:
@@ -91,14 +109,14 @@ def _rounded(value: Column, digits: int | None) -> Column:
 
 
 def average_blend(patches: DataFrame, patch_segments: DataFrame, threshold: float = 0.5, keys: Sequence[str] = M.KEYS,
-                  digits: int | None = None) -> DataFrame:
+                  digits: int | None = None, grid: T.Grid | None = None) -> DataFrame:
     """Mean probability over covering patches above the threshold. Segments of one patch are disjoint.
 
     Probabilities are summed as decimals, so sums do not depend on order; ``digits`` rounds them first.
     """
     p = _rounded(F.col("p"), digits).cast("decimal(28,18)")
-    state = M.sweep(M.edges(patch_segments, {"total": p}, keys), ["total"], keys, few=True).filter("total > 0")
-    cut = over_cells(state, cells(patches, keys, False), ["total"], ["n"], keys)
+    state = M.sweep(M.edges(placed(patch_segments, keys), {"total": p}, keys), ["total"], keys).filter("total > 0")
+    cut = with_cover(state, patches, grid, ["total"], keys)
     return M.join_touching(cut.filter(F.col("total") > F.lit(threshold).cast("decimal(20,18)") * F.col("n")), keys)
 
 
@@ -113,13 +131,51 @@ def _weight(i: str, j: str, size: int, fade: int, kernel: str, conf: str) -> str
     return f"({conf} * greatest(0.0d, least(1.0d, {near} / {float(fade)}d)))"
 
 
+def neighbours(patches: DataFrame, keys: Sequence[str] = M.KEYS, grid: T.Grid | None = None) -> DataFrame:
+    """``row, col, patches`` for every patch: itself and the patches that overlap it, a handful, sorted by place."""
+    p = patches.select(*keys, "row", "col", "height", "width", "confidence")
+    if grid is not None:
+        g = grid
+        near = lambda v, size: f"filter(array_distinct(concat({g.over(v, size)}, {g.over(f'{v} + {g.patch - 1}', size)})), s -> abs(s - {v}) < {g.patch})"
+        # starts over either end of a tile, and those that begin inside it
+        inner = lambda v, size: f"filter(transform(sequence({v} div {g.patch - g.overlap}, ({v} + {g.patch - 1}) div {g.patch - g.overlap}), k -> k * {g.patch - g.overlap}L), s -> s <= {size} - {g.patch})"
+        all_of = lambda v, size: F.expr(f"array_distinct(concat({near(v, size)}, {inner(v, size)}))")
+        met = p.select(*keys, F.struct("row", "col", "confidence", "height", "width").alias("_t"), F.explode(F.arrays_zip(
+            all_of("row", g.height).alias("row"))).alias("_r"), all_of("col", g.width).alias("_cols"))
+        met = met.select(*keys, "_t", F.col("_r.row").alias("row"), F.explode("_cols").alias("col"))
+    else:
+        pairs = T.overlapping_pairs(p, keys)
+        pairs = pairs.select(*keys, "row_1", "col_1", "row_2", "col_2")
+        ends = [F.col(c).alias(n) for c, n in zip(("row_2", "col_2", "row_1", "col_1"), ("row_1", "col_1", "row_2", "col_2"))]
+        both = (pairs.unionByName(pairs.select(*keys, *ends))
+                .unionByName(p.select(*keys, *[F.col(c).alias(f"{c}_{i}") for i in (1, 2) for c in ("row", "col")])))
+        tile = p.select(*keys, F.col("row").alias("row_2"), F.col("col").alias("col_2"), F.struct("row", "col", "confidence", "height", "width").alias("_t"))
+        met = both.join(tile, [*keys, "row_2", "col_2"]).select(*keys, "_t", F.col("row_1").alias("row"), F.col("col_1").alias("col"))
+    return met.groupBy(*keys, "row", "col").agg(F.array_sort(F.collect_list("_t")).alias("patches"))
+
+
+def _banded(patches: DataFrame, segs: DataFrame, carry: Sequence[str], keys: Sequence[str], grid: T.Grid | None) -> DataFrame:
+    """Segments with the list of patches that overlap theirs, cut where the set of covering patches changes; ``n`` is their number."""
+    near = neighbours(patches, keys, grid).withColumnsRenamed({"row": "tile_row", "col": "tile_col"})
+    met = placed(segs.join(near, [*keys, "tile_row", "tile_col"]), keys)
+    met = met.withColumn("patches", F.expr("filter(patches, t -> t.col <= col and t.col + t.width > col and t.row < r1 and t.row + t.height > r0)"))
+    met = met.withColumn("_x", F.expr("array_sort(array_distinct(filter(flatten(transform(patches, t -> array(t.row, t.row + t.height))), x -> x > r0 and x < r1)))"))
+    cut = met.select(*keys, *carry, "col", "patches", F.explode(F.expr("arrays_zip(concat(array(r0), _x), concat(_x, array(r1)))")).alias("_p"))
+    cut = cut.select(*keys, *carry, "col", F.col("_p")["0"].alias("r0"), F.col("_p")["1"].alias("r1"), "patches").filter("r1 > r0")
+    cut = cut.withColumn("patches", F.expr("filter(patches, t -> t.row <= r0 and t.row + t.height > r0)"))
+    return cut.withColumn("n", F.size("patches"))
+
+
 def weighted_blend(patches: DataFrame, patch_segments: DataFrame, size: int, overlap: int, threshold: float = 0.5, kernel: str = "ramp",
-                   keys: Sequence[str] = M.KEYS, digits: int | None = None) -> DataFrame:
+                   keys: Sequence[str] = M.KEYS, digits: int | None = None, grid: T.Grid | None = None) -> DataFrame:
     """sum(w p) / sum(w) above the threshold, ``kernel`` ramp or distance; uncovered pixels are 0.
 
     Under a single patch the weight cancels, so those intervals pass whole (inside the support of
     the kernel). Only the overlap bands are blended pixel by pixel. ``digits`` rounds values before they
     meet the threshold, for runs that must agree with another engine's order of summing.
+
+    With ``grid`` and the ramp the sum of weights over a pixel is a product of one sum per axis, known from its place.
+    Otherwise each patch brings the list of those that overlap it.
     """
     fade = overlap // 2
     segs = patch_segments.select(*keys, "tile_row", "tile_col", "p", "col", "r0", "r1").filter("p > 0")
@@ -127,22 +183,33 @@ def weighted_blend(patches: DataFrame, patch_segments: DataFrame, size: int, ove
         inner = lambda a: F.col(a)
         segs = segs.filter((inner("col") >= inner("tile_col") + fade) & (inner("col") < inner("tile_col") + size - fade))
         segs = segs.withColumn("r0", F.greatest(F.col("r0"), F.col("tile_row") + fade)).withColumn(
-            "r1", F.least(F.col("r1"), F.col("tile_row") + size - fade)).filter("r1 > r0")
-    cut = over_cells(segs, cells(patches, keys), ["tile_row", "tile_col", "p"], ["n", "patches"], keys)
-    single = cut.filter((F.col("n") == 1) & (_rounded(F.col("p"), digits) > threshold)).select(*keys, "col", "r0", "r1")
-    px = cut.filter("n > 1").select(*keys, "tile_row", "tile_col", "p", "patches", "col", F.explode(F.expr("sequence(r0, r1 - 1)")).alias("row"))
-    own = F.expr(f"filter(patches, t -> t.row = tile_row and t.col = tile_col)[0].confidence")
-    px = px.withColumn("_conf", own)
+            "r1", F.least(F.col("r1"), F.col("tile_row") + size - fade))  # what is left empty goes when the pieces are cut
+    carry = ["tile_row", "tile_col", "p"]
+    if grid is not None and kernel == "ramp":
+        cut = with_cover(placed(segs, keys), patches, grid, carry, keys).withColumn("patches", F.lit(None))
+        one = lambda v: f"least(1.0d, (least({v}, {size - 1} - ({v})) + 1) / {float(fade)}d)" if fade else "1.0d"
+        axis = lambda v, length: f"aggregate({grid.over(v, length)}, 0.0d, (a, s) -> a + {one(f'({v} - s)')})"
+        den = F.expr(f"{axis('row', grid.height)} * {axis('col', grid.width)}")
+    else:
+        cut = _banded(patches, segs, carry, keys, grid)
+        den = F.expr(f"aggregate(patches, 0.0d, (a, t) -> a + {_weight('(row - t.row)', '(col - t.col)', size, fade, kernel, 't.confidence')})")
+    # single and shared intervals go on together, so both are read once
+    alone = F.col("n") == 1
+    cut = cut.filter(~alone | (_rounded(F.col("p"), digits) > threshold))
+    own = F.expr("get(filter(patches, t -> t.row = tile_row and t.col = tile_col), 0).confidence") if kernel == "distance" else F.lit(1.0)
+    px = cut.select(*keys, *carry, "n", "patches", own.alias("_conf"), "col", "r0", "r1", F.explode(F.when(alone, F.array("r0")).otherwise(
+        F.expr("sequence(r0, r1 - 1)"))).alias("row"))
     w = F.expr(_weight("(row - tile_row)", "(col - tile_col)", size, fade, kernel, "_conf"))
-    den = F.expr(f"aggregate(patches, 0.0d, (a, t) -> a + {_weight('(row - t.row)', '(col - t.col)', size, fade, kernel, 't.confidence')})")
-    blended = px.select(*keys, "col", "row", (w * F.col("p")).alias("wp"), den.alias("den")).groupBy(*keys, "col", "row").agg(
-        F.sum("wp").alias("num"), F.max("den").alias("den"))
-    on = blended.filter((F.col("den") > 0) & (_rounded(F.col("num") / F.col("den"), digits) > threshold))
-    return M.join_touching(single.unionByName(on.select(*keys, "col", F.col("row").alias("r0"), (F.col("row") + 1).alias("r1"))), keys)
+    value = lambda c: F.when(~alone, c)
+    blended = px.select(*keys, "col", "row", value(w * F.col("p")).alias("wp"), value(den).alias("den"),
+                        F.when(alone, F.col("r1")).otherwise(F.col("row") + 1).alias("r1"), alone.alias("_alone")).groupBy(*keys, "col", "row").agg(
+        F.sum("wp").alias("num"), F.max("den").alias("den"), F.max("r1").alias("r1"), F.bool_or("_alone").alias("_alone"))
+    on = blended.filter(F.col("_alone") | ((F.col("den") > 0) & (_rounded(F.col("num") / F.col("den"), digits) > threshold)))
+    return M.join_touching(on.select(*keys, "col", F.col("row").alias("r0"), "r1"), keys)
 
 
 def feather_blend(patches: DataFrame, patch_segments: DataFrame, size: int, overlap: int, threshold: float = 0.5,
-                  keys: Sequence[str] = M.KEYS, digits: int | None = None, order: str = "position") -> DataFrame:
+                  keys: Sequence[str] = M.KEYS, digits: int | None = None, order: str = "position", grid: T.Grid | None = None) -> DataFrame:
     """Fold e * (1 - w) + p * w over the covering patches, above the threshold.
 
     ``order`` is position (row, col), or confidence: rising, so that the most confident patch has the last word.
@@ -152,7 +219,7 @@ def feather_blend(patches: DataFrame, patch_segments: DataFrame, size: int, over
     """
     weights = gaussian(kernel_array(size, overlap, "distance"), 2.0).ravel().tolist()
     kernel = patches.sparkSession.createDataFrame([(weights,)], "k array<double>").scalar()
-    cut = over_cells(patch_segments.filter("p > 0"), cells(patches, keys), ["tile_row", "tile_col", "p"], ["patches"], keys)
+    cut = _banded(patches, patch_segments.filter("p > 0"), ["tile_row", "tile_col", "p"], keys, grid)
     px = cut.select(*keys, "tile_row", "tile_col", "p", "patches", "col", F.explode(F.expr("sequence(r0, r1 - 1)")).alias("row"))
     # at most as many entries as patches over one pixel
     seen = px.groupBy(*keys, "col", "row").agg(
@@ -170,7 +237,7 @@ def quality_map(patches: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     return cells(patches, keys, False)
 
 
-def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFrame, h: int, w: int, tolerance: float = 0.1,
+def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFrame, h: int | str, w: int | str, tolerance: float = 0.1,
                 gradient: float = 1.5, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Per image: patches, mask over covered pixels, 1 - mean disagreement of overlapping patches above
     the tolerance, and pixels whose mask gradient passes ``gradient``."""
@@ -178,20 +245,16 @@ def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFra
     covered = cells(patches, keys, False).groupBy(*keys).agg(F.expr("sum((c1 - c0) * (r1 - r0))").alias("covered"))
     mask = M.area(stitched, keys)
     pairs = T.overlapping_pairs(patches, keys)
-    segs = patch_segments
-    side = lambda n: segs.join(pairs.withColumnRenamed(f"row_{n}", "tile_row").withColumnRenamed(f"col_{n}", "tile_col")
-                               .withColumn("_pair", F.concat_ws(":", *[F.col(c) for c in ("tile_row", "tile_col", f"row_{3 - n}", f"col_{3 - n}")] if n == 1 else
-                                                                [F.col(c) for c in ("row_1", "col_1", "tile_row", "tile_col")])),
-                               [*keys, "tile_row", "tile_col"]).filter(
+    pk = [*keys, "row_1", "col_1", "row_2", "col_2"]
+    named = lambda n: pairs.withColumn("tile_row", F.col(f"row_{n}")).withColumn("tile_col", F.col(f"col_{n}"))
+    side = lambda n: patch_segments.select(*keys, "tile_row", "tile_col", "col", "r0", "r1").join(named(n), [*keys, "tile_row", "tile_col"]).filter(
         "col >= col_start and col < col_end and r0 < row_end and r1 > row_start").select(
-        *keys, "_pair", "col", F.greatest("r0", "row_start").alias("r0"), F.least("r1", "row_end").alias("r1"))
-    pk = (*keys, "_pair")
+        *pk, "col", F.greatest("r0", "row_start").alias("r0"), F.least("r1", "row_end").alias("r1"))
     one, zero = F.lit(1), F.lit(0)
     ev = M.edges(side(1), {"na": one, "nb": zero}, pk).unionByName(M.edges(side(2), {"na": zero, "nb": one}, pk))
-    wrong = M.sweep(ev, ["na", "nb"], pk).filter("(na > 0) <> (nb > 0)").groupBy(*pk).agg(F.sum(F.col("r1") - F.col("r0")).alias("wrong"))
-    size = pairs.select(*keys, F.concat_ws(":", "row_1", "col_1", "row_2", "col_2").alias("_pair"),
-                        F.expr("(row_end - row_start) * (col_end - col_start)").alias("px"))
-    diffs = wrong.join(size, list(pk)).select(*keys, (F.col("wrong") / F.col("px")).alias("d")).filter(F.col("d") > tolerance)
+    wrong = M.sweep(ev, ["na", "nb"], pk, few=True).filter("(na > 0) <> (nb > 0)").groupBy(*pk).agg(F.sum(F.col("r1") - F.col("r0")).alias("wrong"))
+    size = pairs.select(*pk, F.expr("(row_end - row_start) * (col_end - col_start)").alias("px"))
+    diffs = wrong.join(size, pk).select(*keys, (F.col("wrong") / F.col("px")).alias("d")).filter(F.col("d") > tolerance)
     score = diffs.groupBy(*keys).agg((1 - F.avg("d")).alias("_s"))
     seams = seam_pixels(stitched, h, w, gradient, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
     out = total.join(covered, list(keys)).join(mask, list(keys), "left").join(score, list(keys), "left").join(seams, list(keys), "left")
@@ -199,8 +262,9 @@ def consistency(patches: DataFrame, patch_segments: DataFrame, stitched: DataFra
                       F.coalesce("_s", F.lit(1.0)).alias("consistency_score"), F.coalesce("_g", F.lit(0)).alias("seam_artifacts"))
 
 
-def seam_pixels(segments: DataFrame, h: int, w: int, threshold: float, keys: Sequence[str] = M.KEYS) -> DataFrame:
+def seam_pixels(segments: DataFrame, h: int | str, w: int | str, threshold: float, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Pixels whose gradient (central differences, one-sided at the border) is longer than ``threshold``.
+    Sizes are numbers, or names of columns among the keys.
 
     Each mask pixel gives its share to the pixels that look at it; shares meet in one summing shuffle.
     """
@@ -208,11 +272,11 @@ def seam_pixels(segments: DataFrame, h: int, w: int, threshold: float, keys: Seq
     cond = lambda test, r, c, gy, gx: f"if({test}, array(named_struct('row', {r}, 'col', {c}, 'gy', {gy}, 'gx', {gx})), array())"
     give = ", ".join([
         cond("row > 0", "row - 1", "col", "if(row = 1, 1.0d, 0.5d)", "0.0d"),
-        cond(f"row < {h - 1}", "row + 1", "col", f"if(row = {h - 2}, -1.0d, -0.5d)", "0.0d"),
+        cond(f"row < {h} - 1", "row + 1", "col", f"if(row = {h} - 2, -1.0d, -0.5d)", "0.0d"),
         cond("col > 0", "row", "col - 1", "0.0d", "if(col = 1, 1.0d, 0.5d)"),
-        cond(f"col < {w - 1}", "row", "col + 1", "0.0d", f"if(col = {w - 2}, -1.0d, -0.5d)"),
-        cond(f"row = 0 or row = {h - 1} or col = 0 or col = {w - 1}", "row", "col",
-             f"if(row = 0, -1.0d, if(row = {h - 1}, 1.0d, 0.0d))", f"if(col = 0, -1.0d, if(col = {w - 1}, 1.0d, 0.0d))")])
+        cond(f"col < {w} - 1", "row", "col + 1", "0.0d", f"if(col = {w} - 2, -1.0d, -0.5d)"),
+        cond(f"row = 0 or row = {h} - 1 or col = 0 or col = {w} - 1", "row", "col",
+             f"if(row = 0, -1.0d, if(row = {h} - 1, 1.0d, 0.0d))", f"if(col = 0, -1.0d, if(col = {w} - 1, 1.0d, 0.0d))")])
     g = px.select(*keys, F.inline(F.expr(f"concat({give})"))).groupBy(*keys, "row", "col").agg(F.sum("gy").alias("gy"), F.sum("gx").alias("gx"))
     return g.filter(F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")) > threshold)
 
@@ -303,8 +367,8 @@ def smooth_gaussian(segments: DataFrame, h: int, w: int, sigma: float = 1.5, ite
     """Gaussian smoothing and > 0.5, repeated, block by block with a halo wide enough for all rounds."""
     halo = int(4 * sigma + 0.5) * iterations
     segs = M.union(segments, (key,))
-    near = (segs.withColumn("_bc", F.explode(F.expr(f"sequence(greatest(col - {halo}, 0) div {block}, least(col + {halo}, {w - 1}) div {block})")))
-            .withColumn("_br", F.explode(F.expr(f"sequence(greatest(r0 - {halo}, 0) div {block}, least(r1 - 1 + {halo}, {h - 1}) div {block})"))))
+    near = (segs.withColumn("_bc", F.explode(F.expr(f"sequence(greatest(col - {halo}, 0) div {block}, least(col + {halo}, {w} - 1) div {block})")))
+            .withColumn("_br", F.explode(F.expr(f"sequence(greatest(r0 - {halo}, 0) div {block}, least(r1 - 1 + {halo}, {h} - 1) div {block})"))))
 
     def run(g: Columns) -> Columns:
         top, left = int(g["_br"][0]) * block, int(g["_bc"][0]) * block

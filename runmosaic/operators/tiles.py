@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,66 @@ def grid(images: DataFrame, patch: int = 224, overlap: int = 32, edge: str = "co
             .unionByName(cross(far, far, 3, f"({right}) and ({below})")))
 
 
+@dataclass(frozen=True)
+class Grid:
+    """A complete regular grid in closed form, as :func:`grid` lays it with edge ``none`` or ``cover``.
+
+    Sizes are numbers, or names of columns among the keys. Methods give SQL text for one axis, ``v`` a position.
+    """
+
+    patch: int
+    overlap: int
+    height: int | str
+    width: int | str
+    edge: str = "none"
+
+    def __post_init__(self):
+        if self.edge not in ("none", "cover") or not 0 <= self.overlap < self.patch:
+            raise ValueError("a closed form exists for the edges none and cover")
+
+    def _regular(self, v: str, size: int | str) -> tuple[str, str]:
+        """Numbers of the first and last tile over a position, without the one flush with the far border."""
+        p, s = self.patch, self.patch - self.overlap
+        return f"greatest(0L, ({v} - {p - s}) div {s})", f"least(({v}) div {s}, ({size} - {p}) div {s})"
+
+    def _flush(self, v: str, size: int | str) -> str:
+        return f"({self.edge == 'cover'} and ({size} - {self.patch}) % {self.patch - self.overlap} <> 0 and {v} >= {size} - {self.patch})".lower()
+
+    def count(self, v: str, size: int | str) -> str:
+        """Number of tiles over a position."""
+        lo, hi = self._regular(v, size)
+        return f"if({size} >= {self.patch}, greatest(0L, {hi} - {lo} + 1) + if({self._flush(v, size)}, 1L, 0L), 0L)"
+
+    def over(self, v: str, size: int | str) -> str:
+        """Starts of the tiles over a position."""
+        lo, hi = self._regular(v, size)
+        none = "cast(array() as array<bigint>)"
+        regular = f"if({lo} <= {hi}, transform(sequence({lo}, {hi}), k -> k * {self.patch - self.overlap}L), {none})"
+        flush = f"if({self._flush(v, size)}, array(cast({size} as bigint) - {self.patch}), {none})"
+        return f"if({size} >= {self.patch}, concat({regular}, {flush}), {none})"
+
+    def cuts(self, a: str, b: str, size: int | str) -> str:
+        """Positions strictly inside [a, b) where the tiles over a position may change, ascending."""
+        p, s = self.patch, self.patch - self.overlap
+        starts = f"transform(sequence(({a}) div {s}, ({b} - 1) div {s}), k -> k * {s}L)"
+        ends = f"transform(sequence(greatest({a} - {p}, 0L) div {s}, greatest({b} - 1 - {p}, 0L) div {s}), k -> k * {s}L + {p})"
+        return f"array_sort(array_distinct(filter(concat({starts}, {ends}, array(cast({size} as bigint) - {p})), x -> x > {a} and x < {b})))"
+
+
+def over_grid(segments: DataFrame, grid: Grid, keys: Sequence[str] = M.KEYS, carry: Sequence[str] = ()) -> DataFrame:
+    """Parts of segments in the tiles of a grid, in image coordinates, without a join: ``tile_row, tile_col, col, r0, r1``."""
+    g = grid
+    p, s = g.patch, g.patch - g.overlap
+    lo, hi = g._regular("r0", g.height)[0], g._regular("r1 - 1", g.height)[1]
+    none = "cast(array() as array<bigint>)"
+    rows = (f"if({g.height} >= {p}, concat(if({lo} <= {hi}, transform(sequence({lo}, {hi}), k -> k * {s}L), {none}), "
+            f"if({g._flush('r1 - 1', g.height)}, array(cast({g.height} as bigint) - {p}), {none})), {none})")
+    out = segments.select(*keys, *carry, "col", "r0", "r1", F.explode(F.expr(g.over("col", g.width))).alias("tile_col"))
+    out = out.select(*keys, *carry, "col", "r0", "r1", "tile_col", F.explode(F.expr(rows)).alias("tile_row"))
+    return (out.withColumn("r0", F.greatest("r0", "tile_row")).withColumn("r1", F.least(F.col("r1"), F.col("tile_row") + p))
+            .filter("r1 > r0").select(*keys, *carry, "tile_row", "tile_col", "col", "r0", "r1"))
+
+
 def number_tiles(tiles: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """0-based ``patch_id`` per image in pass, row, col order; apply after dropping tiles.
 

@@ -25,6 +25,22 @@ def box_pairs(spark, sf_dir):
     return B.overlapping(b, b, "box_id", "box_id").filter("id_a < id_b").select("image_id", "id_a", "id_b", "overlap", "iou")
 
 
+# boxes from 1 to 50,000 pixels long; most lie apart
+WIDE = ("wide AS (SELECT image_id // 64 AS image_id, box_id, (box_id * 7919) % 200000 AS x1, (box_id * 104729 + image_id) % 200000 AS y1, "
+        "(box_id * 7919) % 200000 + n AS x2, (box_id * 104729 + image_id) % 200000 + 1 + n // (1 + box_id % 3) AS y2 FROM "
+        "(SELECT *, CASE WHEN box_id % 40 = 0 THEN 50000 WHEN box_id % 8 = 0 THEN 1 + (box_id * 31) % 4000 ELSE 1 + (box_id * 31) % 90 END AS n FROM boxes))")
+
+
+@query("box_pairs_sizes", sql("boxes", f"WITH {WIDE} SELECT a.image_id, a.box_id AS id_a, b.box_id AS id_b, {OVER} AS overlap, {IOU} AS iou "
+                              f"FROM wide a JOIN wide b ON a.image_id = b.image_id AND a.box_id < b.box_id WHERE {OVER} > 0"))
+def box_pairs_sizes(spark, sf_dir):
+    """Boxes of very different sizes, many to an image."""
+    b = V.boxes(spark, sf_dir).selectExpr("image_id", "box_id", "case when box_id % 40 = 0 then 50000L when box_id % 8 = 0 then 1 + (box_id * 31) % 4000 else 1 + (box_id * 31) % 90 end as n")
+    b = b.selectExpr("image_id div 64 as image_id", "box_id", "(box_id * 7919) % 200000 as x1", "(box_id * 104729 + image_id) % 200000 as y1", "n")
+    b = b.selectExpr("image_id", "box_id", "x1", "y1", "x1 + n as x2", "y1 + 1 + n div (1 + box_id % 3) as y2")
+    return B.overlapping(b, b, "box_id", "box_id").filter("id_a < id_b").select("image_id", "id_a", "id_b", "overlap", "iou")
+
+
 @query("box_nms", sql("boxes", f""", r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS k FROM boxes),
   g AS (SELECT image_id, k, [] AS gone, CAST([] AS BIGINT[]) AS kept FROM r WHERE false),
   conflict AS (SELECT b.image_id, b.k, list(a.k) AS better FROM r a JOIN r b ON a.image_id = b.image_id AND a.k < b.k WHERE {IOU} > 0.45 GROUP BY ALL),
@@ -58,7 +74,7 @@ MATCH = """, cand AS (SELECT a.image_id, a.box_id AS pred, a.score, b.gt_id AS g
 
 @query("detection_matches", sql("boxes gt", MATCH + " SELECT image_id, step, pred, gt FROM hits", True))
 def detection_matches(spark, sf_dir):
-    return B.matches_by_threshold(B.box_candidates(V.boxes(spark, sf_dir), V.truth_boxes(spark, sf_dir)))
+    return B.matches_by_threshold(B.box_candidates(V.boxes(spark, sf_dir), V.truth_boxes(spark, sf_dir))).select("image_id", "step", "pred", "gt")
 
 
 @query("f_beta", sql("images boxes gt", MATCH + """, n AS (SELECT i.image_id, step, coalesce(np, 0) AS np, coalesce(ng, 0) AS ng, coalesce(tp, 0) AS tp
@@ -107,7 +123,7 @@ def average_precision_fine(spark, sf_dir):
 def mask_iou_pairs(spark, sf_dir):
     p = V.pred_segments(spark, sf_dir, "ship_id").withColumnRenamed("ship_id", "box_id")
     g = V.truth_segments(spark, sf_dir, "ship_id").withColumnRenamed("ship_id", "gt_id")
-    return B.mask_iou_pairs(p, g)
+    return B.mask_iou_pairs(p, g).select("image_id", "pred", "gt", "overlap", "iou")
 
 
 MASK_IOU = """WITH ta AS (SELECT image_id, ship_id, sum(r1 - r0) AS n FROM truth GROUP BY ALL),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runmosaic.operators import components as K
+from runmosaic.operators import geo as E
 from runmosaic.operators import masks as M
 from runmosaic.operators import metrics as S
 from runmosaic.operators import morphology as O
+from runmosaic.operators import rings as R
 from runmosaic.plans import views as V
 from runmosaic.plans.mask_queries import islands
 from runmosaic.plans.registry import registry
@@ -186,3 +188,63 @@ def postprocess_extent(spark, sf_dir):
        "FROM isl2 GROUP BY image_id", True))
 def final_mask_rle(spark, sf_dir):
     return M.encode(O.clean(truth(spark, sf_dir), H, W), H)
+
+
+# straight border edges with the mask on the right hand; w: 0 right, 1 down, 2 left, 3 up
+EDGES = """hz AS (SELECT image_id, col, row AS y, 0 AS w FROM {px} p WHERE NOT EXISTS (SELECT 1 FROM {px} q WHERE q.image_id = p.image_id AND q.col = p.col AND q.row = p.row - 1)
+   UNION ALL SELECT image_id, col, row + 1, 2 FROM {px} p WHERE NOT EXISTS (SELECT 1 FROM {px} q WHERE q.image_id = p.image_id AND q.col = p.col AND q.row = p.row + 1)),
+  vt AS (SELECT image_id, col AS x, row, 3 AS w FROM {px} p WHERE NOT EXISTS (SELECT 1 FROM {px} q WHERE q.image_id = p.image_id AND q.col = p.col - 1 AND q.row = p.row)
+   UNION ALL SELECT image_id, col + 1, row, 1 FROM {px} p WHERE NOT EXISTS (SELECT 1 FROM {px} q WHERE q.image_id = p.image_id AND q.col = p.col + 1 AND q.row = p.row)),
+  hr AS (SELECT image_id, y, w, min(col) AS a, max(col) + 1 AS b FROM (SELECT *, col - row_number() OVER (PARTITION BY image_id, y, w ORDER BY col) AS g FROM hz) GROUP BY image_id, y, w, g),
+  vr AS (SELECT image_id, x, w, min(row) AS a, max(row) + 1 AS b FROM (SELECT *, row - row_number() OVER (PARTITION BY image_id, x, w ORDER BY row) AS g FROM vt) GROUP BY image_id, x, w, g),
+  eg AS (SELECT image_id, w, CASE w WHEN 0 THEN a ELSE b END AS x0, y AS y0, CASE w WHEN 0 THEN b ELSE a END AS x1, y AS y1 FROM hr
+   UNION ALL SELECT image_id, w, x, CASE w WHEN 1 THEN a ELSE b END, x, CASE w WHEN 1 THEN b ELSE a END FROM vr),
+  ei AS (SELECT *, ((y0::BIGINT << 29) | x0) * 4 + w AS id FROM eg),
+  su AS (SELECT e.image_id, e.id, e.x0, e.y0, e.x0 * e.y1 - e.x1 * e.y0 AS cr, n.id AS nxt FROM ei e JOIN ei n ON n.image_id = e.image_id AND n.x0 = e.x1 AND n.y0 = e.y1
+   QUALIFY count(*) OVER (PARTITION BY e.image_id, e.id) = 1 OR n.w = (e.w + {turn}) % 4),
+  wk AS (SELECT image_id, id AS s, id AS cur, 0 AS k FROM su
+   UNION ALL SELECT wk.image_id, wk.s, su.nxt, wk.k + 1 FROM wk JOIN su ON su.image_id = wk.image_id AND su.id = wk.cur WHERE su.nxt > wk.s),
+  -- a walk that never meets a smaller edge and comes back to its start is a ring
+  en AS (SELECT wk.image_id, wk.s FROM wk JOIN su ON su.image_id = wk.image_id AND su.id = wk.cur WHERE su.nxt = wk.s),
+  rg AS (SELECT wk.image_id, wk.s AS ring, sum(su.cr) AS a, count(*) AS points, string_agg(su.x0 || ' ' || su.y0, ',' ORDER BY wk.k) AS corners
+   FROM wk JOIN en ON en.image_id = wk.image_id AND en.s = wk.s JOIN su ON su.image_id = wk.image_id AND su.id = wk.cur GROUP BY ALL)"""
+RINGS_OUT = " SELECT image_id, ring, a < 0 AS hole, points::INT AS points, abs(a) / 2.0::DOUBLE AS area, corners FROM rg"
+# the mask without every seventh of its pixels in both directions: holes, and corners that touch
+HOLED = "hpx AS (SELECT * FROM tpx WHERE NOT (col % 4 = 1 AND row % 7 = 3) AND NOT (col % 4 = 2 AND row % 7 = 4))"
+
+
+def corner_text(rings):
+    text = F.array_join(F.transform(F.slice("corners", 1, F.col("points")), lambda p: F.concat_ws(" ", p["x"].cast("bigint"), p["y"].cast("bigint"))), ",")
+    return rings.select("image_id", "ring", "hole", "points", "area", text.alias("corners"))
+
+
+def holed(spark, sf_dir):
+    """Ships with missing pixels."""
+    px = M.to_pixels(M.union(truth(spark, sf_dir))).filter("not (col % 4 = 1 and row % 7 = 3) and not (col % 4 = 2 and row % 7 = 4)")
+    return px.select("image_id", "col", F.col("row").alias("r0"), (F.col("row") + 1).alias("r1"))
+
+
+@query("mask_rings", sql("tpx", "WITH " + EDGES.format(px="tpx", turn=1) + RINGS_OUT, True))
+def mask_rings(spark, sf_dir):
+    return corner_text(R.mask_rings(truth(spark, sf_dir)))
+
+
+@query("mask_rings_holes", sql("tpx", f"WITH {HOLED}, " + EDGES.format(px="hpx", turn=3) + RINGS_OUT, True))
+def mask_rings_holes(spark, sf_dir):
+    """Borders that run through touching corners, in blocks that nearly all rings cross."""
+    return corner_text(R.mask_rings(holed(spark, sf_dir), 8, block=6))
+
+
+@query("mask_from_rings", sql("tpx", f"WITH {HOLED}, {islands('hpx')} SELECT image_id, col, r0, r1 FROM isl"))
+def mask_from_rings(spark, sf_dir):
+    """Rings drawn again give the mask they come from."""
+    return M.union(E.rasterise(R.mask_rings(holed(spark, sf_dir)), H, W, "image_id", "corners", ()))
+
+
+@query("mask_polygons", sql("tpx", f"WITH {HOLED}, " + labels_sql("hpx", False, "")
+       + """ SELECT image_id, root, (sum(r1 - r0))::DOUBLE AS area FROM lab GROUP BY ALL""", True))
+def mask_polygons(spark, sf_dir):
+    """One polygon with holes a component; its area is that of the component's pixels."""
+    lab = K.components(holed(spark, sf_dir), W)
+    keys = ("image_id", "root")
+    return R.polygons(R.mask_rings(lab, 8, keys)).select("image_id", "root", "area")

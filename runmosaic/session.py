@@ -11,9 +11,11 @@ LOCAL_FOLDER = "file:///tmp/checkpoints"
 
 
 def build_session(master: str = "local[8]", app: str = "runmosaic", partitions: int = 16,
-                  memory: str = "12g", checkpoints: str = LOCAL_FOLDER) -> SparkSession:
-    """``checkpoints`` must be a folder that driver and executors share; the default is for a local master."""
-    spark = (
+                  memory: str = "12g", checkpoints: str | None = None) -> SparkSession:
+    """``checkpoints`` must be a folder that driver and executors share; only a local master has a default."""
+    if checkpoints is None and master.startswith("local["):
+        checkpoints = LOCAL_FOLDER
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -22,13 +24,14 @@ def build_session(master: str = "local[8]", app: str = "runmosaic", partitions:
         # run rows unfold into many times their bytes after a shuffle, so small partitions still pay
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", checkpoints)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -59,3 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = LOCAL_FOLDER
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and no lineage behind it to recompute."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

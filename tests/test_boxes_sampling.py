@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from runmosaic.operators import boxes as B
 from runmosaic.operators import geo as E
+from runmosaic.operators import graph as G
 from runmosaic.operators import sampling as P
 from runmosaic.operators import scores as C
 
@@ -65,6 +68,82 @@ def test_matching_is_greedy(spark):
     assert got == want
 
 
+def rounds_of(monkeypatch, module, tag):
+    """Folders of rounds that calls in ``module`` make under ``tag``."""
+    made, plain = [], module.shared_path
+    monkeypatch.setattr(module, "shared_path", lambda spark, t: made.append((t, plain(spark, t))) or made[-1][1])
+    return lambda: [len(list(Path(p.removeprefix("file://")).glob("round=*"))) for t, p in made if t == tag]
+
+
+@pytest.mark.parametrize("step,blocks", [(1, 1), (4, 4)])
+def test_a_long_chain_takes_as_many_rounds_as_blocks(spark, monkeypatch, step, blocks):
+    """1,000 boxes, each in conflict with the next only; every second one stays."""
+    rounds = rounds_of(monkeypatch, G, "greedy")
+    rows = [(0, i, step * i, 0, step * i + 2 * step, 10, 1 - i / 2000) for i in range(1000)]
+    df = spark.createDataFrame(rows, BOX).repartition(6)
+    kept = {r.box_id for r in B.nms(df, 0.3).collect()}
+    assert kept == set(range(0, 1000, 2)) and rounds() == [blocks]
+    seeds = {r.cluster for r in E.merge_clusters(df, "seed", 0.5).collect()}
+    assert seeds == set(range(0, 1000, 2)) and rounds()[-1] <= blocks
+
+
+def test_a_long_chain_of_matches(spark, monkeypatch):
+    """Every prediction would like the truth that the better one before it has taken."""
+    rounds = rounds_of(monkeypatch, B, "match")
+    pred = [(0, i, 4 * i, 0, 4 * i + 8, 10, 1 - i / 2000) for i in range(1000)]
+    gt = [(0, i, 4 * i - 3 if i else 0, 0, 4 * i + 5 if i else 8, 10, 0.0) for i in range(1001)]
+    dp = spark.createDataFrame(pred, BOX).repartition(6)
+    dg = spark.createDataFrame(gt, BOX).select("image_id", F.col("box_id").alias("gt_id"), "x1", "y1", "x2", "y2")
+    got = {(r.pred, r.gt) for r in B.match(B.box_candidates(dp, dg, least_iou=0.1), ["image_id"]).collect()}
+    want, used = set(), set()
+    for p in pred:
+        free = [(-iou(p, g), g[1]) for g in gt[max(0, p[1] - 5):p[1] + 6] if g[1] not in used and iou(p, g) >= 0.1]
+        if free:
+            used.add(min(free)[1])
+            want.add((p[1], min(free)[1]))
+    assert got == want and rounds()[0] <= 5
+
+
+@pytest.mark.parametrize("block", [7, 16, 1024])
+def test_blocks_do_not_change_results(spark, monkeypatch, block):
+    monkeypatch.setattr(B, "BLOCK", block)
+    monkeypatch.setattr(G, "BLOCK_EDGES", 40)
+    monkeypatch.setattr(B, "BLOCK_PAIRS", 40)
+    rows, gt = random_boxes(120, 11), random_boxes(100, 12)
+    assert {r.box_id for r in B.nms(spark.createDataFrame(rows, BOX), 0.1).collect()} == greedy(rows, 0.1)
+    dg = spark.createDataFrame(gt, BOX).select("image_id", F.col("box_id").alias("gt_id"), "x1", "y1", "x2", "y2")
+    steps = (0.1, 0.3, 0.5)
+    got = {(r.step, r.pred, r.gt) for r in B.matches_by_threshold(B.box_candidates(spark.createDataFrame(rows, BOX), dg, least_iou=0.1), steps=steps).collect()}
+    want = set()
+    for t in steps:
+        used = set()
+        for p in sorted(rows, key=lambda r: (-r[6], r[1])):
+            free = [(-iou(p, g), g[1]) for g in gt if g[0] == p[0] and g[1] not in used and iou(p, g) >= t]
+            if free:
+                used.add(min(free)[1])
+                want.add((t, p[1], min(free)[1]))
+    assert got == want
+
+
+def test_a_large_box_takes_few_cells(spark):
+    """At most four cells at its own level and at each level it looks up."""
+    rows = [(0, i, 10 * i, 5 * i, 10 * i + n, 5 * i + n, 0.5) for i, n in enumerate([1, 60, 64, 65, 1000, 50_000, 50_000])]
+    df = spark.createDataFrame(rows, BOX)
+    got = sorted((r.id_a, r.id_b) for r in B.overlapping(df, df, "box_id", "box_id").filter("id_a < id_b").collect())
+    assert got == sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and iou(a, b) > 0)
+    levels = F.array(*[F.lit(v) for v in range(11)])
+    for role in (0, 1):
+        cells = B._spread(df, "_a", "box_id", ["image_id"], 64, [], levels, role).groupBy("id_a", "_role", "_lv").count()
+        assert cells.agg(F.max("count")).first()[0] <= 4
+
+
+def test_predictions_without_score_and_repeated_ids(spark):
+    pred = [(0, 1, 0, 0, 10, 10, None), (0, 2, 0, 0, 10, 10, float("nan")), (0, 3, 0, 0, 10, 10, 0.1), (0, 3, 0, 0, 10, 10, 0.7)]
+    gt = spark.createDataFrame([(0, 9, 0, 0, 10, 10, 0.0)], BOX).select("image_id", F.col("box_id").alias("gt_id"), "x1", "y1", "x2", "y2")
+    got = B.match(B.box_candidates(spark.createDataFrame(pred, BOX), gt), ["image_id"]).collect()
+    assert [(r.pred, r.gt) for r in got] == [(3, 9)]
+
+
 @pytest.mark.parametrize("mode", ["seed", "components"])
 def test_merging(spark, mode):
     rows = random_boxes(80, 6, copies=50)
