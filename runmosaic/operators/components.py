@@ -1,7 +1,7 @@
 """Connected components of masks and the instance tables made from them.
 
 Masks are merged first, so all later work per image is bounded by the image area. Labelling runs
-in two steps: Spark sorts segments by (image, column block) and each task labels whole blocks with
+in two steps: Spark sorts segments by (image, square block) and each task labels whole blocks with
 array operations; labels that meet at a block border are then joined as a graph, in rounds of
 min-label exchange with a reliable checkpoint each round. A component is named by ``root``, the
 row-major index of its first pixel, whatever the partitioning.
@@ -9,18 +9,17 @@ row-major index of its first pixel, whatever the partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runmosaic.functions import expr as X
 from runmosaic.operators import masks as M
 from runmosaic.operators.graph import connected
-from runmosaic.session import cut_lineage
+from runmosaic.operators.grouped import Columns, batched_map
+from runmosaic.session import written
 
 BLOCK = 2048
 
@@ -43,93 +42,85 @@ def _min_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return lab
 
 
-def _label_frame(pdf: pd.DataFrame, group: np.ndarray, width: int, reach: int) -> np.ndarray:
-    col, r0, r1 = (pdf[c].to_numpy(np.int64) for c in ("col", "r0", "r1"))
-    span = int(r1.max()) + 2
-    at = (group * (int(col.max()) + 2) + col) * span
-    nxt = at + span
-    lo = np.searchsorted(at + r1, nxt + r0 + (1 - reach), "left")
-    hi = np.searchsorted(at + r0, nxt + r1 - (1 - reach), "right")
-    n = np.maximum(hi - lo, 0)
-    u = np.repeat(np.arange(len(col)), n)
-    v = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    lab = _min_labels(len(col), u, v)
-    first = np.full(len(col), np.iinfo(np.int64).max)
-    np.minimum.at(first, lab, r0 * width + col)
-    return first[lab]
-
-
-def _block_labeller(keys: Sequence[str], width: int, reach: int):
-    group_by = [*keys, "_blk"]
-
-    def groups(pdf: pd.DataFrame) -> np.ndarray:
-        change = np.zeros(len(pdf), bool)
-        for k in group_by:
-            c = pdf[k].to_numpy()
-            change[1:] |= c[1:] != c[:-1]
-        return np.cumsum(change)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-
-        def label(frames: list[pd.DataFrame]) -> pd.DataFrame:
-            pdf = pd.concat(frames, ignore_index=True)
-            return pdf.assign(root=_label_frame(pdf, groups(pdf), width, reach))
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            g = groups(pdf)
-            start = int(np.searchsorted(g, g[-1]))  # first row of the block still open
-            tail = tuple(pdf[group_by].iloc[-1])
-            head_same = last is not None and tuple(pdf[group_by].iloc[0]) == last
-            if start == 0 and (last is None or head_same):
-                held.append(pdf)
-            else:
-                done = held + ([pdf.iloc[:start]] if start else [])
-                if done:
-                    yield label(done)
-                held = [pdf.iloc[start:]]
-            last = tail
-        if held:
-            yield label(held)
+def _block_labeller(keys: Sequence[str], width: int | str, reach: int):
+    """Labels of whole blocks side by side: ``root`` is the least pixel number of a component inside its block."""
+
+    def run(cols: Columns, group: np.ndarray) -> Columns:
+        col, r0, r1 = (cols[c].astype(np.int64) for c in ("col", "r0", "r1"))
+        wide = cols[width].astype(np.int64) if isinstance(width, str) else width
+        span = int(r1.max()) + 2
+        at = (group * (int(col.max()) + 2) + col) * span
+        nxt = at + span
+        lo = np.searchsorted(at + r1, nxt + r0 + (1 - reach), "left")
+        hi = np.searchsorted(at + r0, nxt + r1 - (1 - reach), "right")
+        n = np.maximum(hi - lo, 0)
+        u = np.repeat(np.arange(len(col)), n)
+        v = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        lab = _min_labels(len(col), u, v)
+        first = np.full(len(col), np.iinfo(np.int64).max)
+        np.minimum.at(first, lab, r0 * wide + col)
+        return {**{k: cols[k] for k in keys}, "col": col, "r0": r0, "r1": r1, "top": cols["top"], "bottom": cols["bottom"], "root": first[lab]}
 
     return run
 
 
-def _merge_roots(local: DataFrame, keys: Sequence[str], block: int, reach: int) -> DataFrame:
-    """Join labels across block borders."""
+def _border_links(local: DataFrame, keys: Sequence[str], block: int, reach: int) -> DataFrame:
+    """Pairs of labels ``u, v`` that meet at a border of square blocks."""
     a = local.filter(F.col("col") % block == block - 1).select(
-        *keys, (F.col("col") + 1).alias("col"), F.col("r0").alias("a0"), F.col("r1").alias("a1"), F.col("root").alias("u"))
+        *keys, (F.col("col") + 1).alias("col"), F.expr(f"r0 div {block}").alias("_rb"), F.col("r0").alias("a0"), F.col("r1").alias("a1"), F.col("root").alias("u"))
     b = local.filter((F.col("col") % block == 0) & (F.col("col") > 0)).select(
-        *keys, "col", F.col("r0").alias("b0"), F.col("r1").alias("b1"), F.col("root").alias("v"))
+        *keys, "col", F.expr(f"r0 div {block}").alias("_rb"), F.col("r0").alias("b0"), F.col("r1").alias("b1"), F.col("root").alias("v"))
     touch = (F.col("a0") + (1 - reach) <= F.col("b1")) & (F.col("b0") + (1 - reach) <= F.col("a1"))
-    pairs = a.join(b, [*keys, "col"]).filter(touch & (F.col("u") != F.col("v"))).select(*keys, "u", "v")
-    lab = connected(pairs, keys)
-    if lab is None:
-        return local
-    out = local.join(lab.withColumnRenamed("u", "root"), [*keys, "root"], "left")
-    return out.withColumn("root", F.coalesce("lab", "root")).drop("lab")
+    beside = a.join(b, [*keys, "col", "_rb"]).filter(touch).select(*keys, "u", "v")
+    # a piece that ends at a row border and the pieces that begin there, straight below or diagonally
+    over = local.filter(F.col("r1") % block == 0).select(*keys, F.col("r1").alias("_at"), F.col("root").alias("u"),
+                                                         F.explode(F.array(*[F.col("col") + d for d in range(-reach, reach + 1)])).alias("col"))
+    under = local.filter((F.col("r0") % block == 0) & (F.col("r0") > 0)).select(*keys, F.col("r0").alias("_at"), "col", F.col("root").alias("v"))
+    below = over.join(under, [*keys, "_at", "col"]).select(*keys, "u", "v")
+    return beside.unionByName(below).filter(F.col("u") != F.col("v")).distinct()
 
 
-def components(segments: DataFrame, width: int, connectivity: int = 8, keys: Sequence[str] = M.KEYS,
+def components(segments: DataFrame, width: int | str, connectivity: int = 8, keys: Sequence[str] = M.KEYS,
                block: int = BLOCK) -> DataFrame:
-    """Merged segments with the ``root`` of their component; the same plan whatever the width."""
+    """Merged segments with the ``root`` of their component; the same plan whatever the width.
+
+    ``width`` is a number, or the name of a column among the keys. A task holds a few square blocks of ``block`` pixels,
+    however large the scene: taller segments are cut at block borders for labelling and come back whole.
+    """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
     reach = 1 if connectivity == 8 else 0
-    merged = M.union(segments, keys).withColumn("_blk", F.expr(f"col div {block}"))
-    placed = merged.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", "col", "r0")
-    schema = T.StructType(placed.schema.fields + [T.StructField("root", T.LongType())])
-    local = placed.mapInPandas(_block_labeller(keys, width, reach), schema).drop("_blk")
-    return _merge_roots(cut_lineage(local), keys, block, reach)
+    merged = M.union(segments, keys).select(
+        *keys, "col", F.col("r0").alias("top"), F.col("r1").alias("bottom"), F.expr(f"col div {block}").alias("_bc"),
+        F.explode(F.expr(f"sequence(r0 div {block}, (r1 - 1) div {block})")).alias("_br"))
+    merged = merged.withColumn("r0", F.greatest("top", F.col("_br") * block)).withColumn("r1", F.least("bottom", (F.col("_br") + 1) * block))
+    kinds = dict(merged.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", col bigint, r0 bigint, r1 bigint, top bigint, bottom bigint, root bigint"
+    local = written(batched_map(merged, [*keys, "_bc", "_br"], ["col", "r0"], _block_labeller(keys, width, reach), schema), "labels")
+    lab = connected(_border_links(local, keys, block, reach), keys)
+    if lab is not None:
+        local = local.join(lab.withColumnRenamed("u", "root"), [*keys, "root"], "left").withColumn("root", F.coalesce("lab", "root"))
+    return local.filter("r0 = top").select(*keys, "col", F.col("top").alias("r0"), F.col("bottom").alias("r1"), "root")
+
+
+def with_area(labelled: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """Areas per component: ``root, area``, summed up in the tasks before they meet."""
+    return labelled.groupBy(*keys, "root").agg(F.sum(F.col("r1") - F.col("r0")).alias("area"))
+
+
+def limit_area(labelled: DataFrame, least: int | None = None, most: int | None = None, keys: Sequence[str] = M.KEYS) -> DataFrame:
+    """Segments of components whose area lies in the limits. Only the roots to drop are joined."""
+    area, out = F.col("area"), F.lit(False)
+    if least is not None:
+        out = out | (area < least)
+    if most is not None:
+        out = out | (area > most)
+    return labelled.join(with_area(labelled, keys).filter(out).select(*keys, "root"), [*keys, "root"], "left_anti")
 
 
 def remove_small(labelled: DataFrame, least: int = 10, keys: Sequence[str] = M.KEYS) -> DataFrame:
     """Segments of components with at least ``least`` pixels."""
-    whole = F.sum(F.col("r1") - F.col("r0")).over(Window.partitionBy(*keys, "root"))  # the input is read once
-    return labelled.withColumn("_a", whole).filter(F.col("_a") >= least).drop("_a")
+    return limit_area(labelled, least, None, keys)
 
 
 def instances(labelled: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:

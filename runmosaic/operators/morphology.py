@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runmosaic.operators import components as K
@@ -105,13 +105,7 @@ def postprocess(segments: DataFrame, steps: Sequence[str], h: int | str, w: int
     for s in steps:
         segments = STEPS[s](segments, size, h, w, keys)
     lab = K.components(segments, w, keys=keys)
-    whole = F.sum(F.col("r1") - F.col("r0")).over(Window.partitionBy(*keys, "root"))  # the labelled input is read once
-    area = lab.withColumn("_a", whole)
-    if least is not None:
-        area = area.filter(F.col("_a") >= least)
-    if most is not None:
-        area = area.filter(F.col("_a") <= most)
-    return area.drop("_a")
+    return K.limit_area(lab, least, most, keys) if least is not None or most is not None else lab
 
 
 def extents(labelled: DataFrame, keys: Sequence[str] = M.KEYS) -> DataFrame:

@@ -32,6 +32,21 @@ def truth(spark, sf_dir):
     return V.truth_segments(spark, sf_dir)
 
 
+# images of different size, their ships cut off at the border
+SIZED = "img AS (SELECT o_orderkey AS image_id, 200 + (o_orderkey * 37) % 700 AS height, 200 + (o_orderkey * 53) % 700 AS width FROM orders), spx AS (SELECT tpx.*, height, width FROM tpx JOIN img USING (image_id) WHERE row < height AND col < width)"
+SIZED_KEYS = ("image_id", "height", "width")
+
+
+def sized_truth(spark, sf_dir):
+    size = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey as image_id", "200 + (o_orderkey * 37) % 700 as height", "200 + (o_orderkey * 53) % 700 as width")
+    cut = truth(spark, sf_dir).join(size, "image_id").filter("col < width and r0 < height")
+    return cut.select(*SIZED_KEYS, "col", "r0", F.least("r1", "height").alias("r1"))
+
+
+SIZED_ISL = ("isl AS (SELECT image_id, height, width, col, min(row) AS r0, max(row) + 1 AS r1 FROM (SELECT *, row - row_number() OVER (PARTITION BY image_id, col ORDER BY row) AS g FROM {src}) "
+             "GROUP BY image_id, height, width, col, g)")
+
+
 @query("components", sql("tpx", labels_sql("tpx", False) + " SELECT * FROM lab", True))
 def components(spark, sf_dir):
     return K.components(truth(spark, sf_dir), W)
@@ -43,6 +58,17 @@ def components_blocks(spark, sf_dir):
     return K.components(truth(spark, sf_dir), W, block=5)
 
 
+@query("components_sized", sql("tpx", f"WITH {SIZED}, {SIZED_ISL.format(src='spx')}, nd AS (SELECT *, row_number() OVER (ORDER BY image_id, col, r0) AS v FROM isl)" + """,
+  ed AS (SELECT a.v AS u, b.v AS v FROM nd a JOIN nd b ON a.image_id = b.image_id AND b.col = a.col + 1 AND a.r0 <= b.r1 AND b.r0 <= a.r1),
+  sym AS (SELECT u, v FROM ed UNION ALL SELECT v, u FROM ed),
+  reach AS (SELECT v AS u, v FROM nd UNION SELECT r.u, sym.v FROM reach r JOIN sym ON sym.u = r.v)
+  SELECT a.image_id, a.height, a.width, a.col, a.r0, a.r1, x.root FROM nd a JOIN (SELECT reach.u, min(b.r0 * b.width + b.col) AS root FROM reach JOIN nd b ON b.v = reach.v
+    GROUP BY reach.u) x ON x.u = a.v""", True))
+def components_sized(spark, sf_dir):
+    """Images of different size, in blocks that ships cross on both axes."""
+    return K.components(sized_truth(spark, sf_dir), "width", keys=SIZED_KEYS, block=6)
+
+
 @query("components_4", sql("tpx", labels_sql("tpx", True) + " SELECT * FROM lab", True))
 def components_4(spark, sf_dir):
     return K.components(truth(spark, sf_dir), W, 4)
@@ -108,21 +134,6 @@ def open_(spark, sf_dir):
     return O.open_(M.union(truth(spark, sf_dir)), 3, H, W)
 
 
-# images of different size, their ships cut off at the border
-SIZED = "img AS (SELECT o_orderkey AS image_id, 200 + (o_orderkey * 37) % 700 AS height, 200 + (o_orderkey * 53) % 700 AS width FROM orders), spx AS (SELECT tpx.*, height, width FROM tpx JOIN img USING (image_id) WHERE row < height AND col < width)"
-SIZED_KEYS = ("image_id", "height", "width")
-
-
-def sized_truth(spark, sf_dir):
-    size = V.table(spark, sf_dir, "orders").selectExpr("o_orderkey as image_id", "200 + (o_orderkey * 37) % 700 as height", "200 + (o_orderkey * 53) % 700 as width")
-    cut = truth(spark, sf_dir).join(size, "image_id").filter("col < width and r0 < height")
-    return cut.select(*SIZED_KEYS, "col", "r0", F.least("r1", "height").alias("r1"))
-
-
-SIZED_ISL = ("isl AS (SELECT image_id, height, width, col, min(row) AS r0, max(row) + 1 AS r1 FROM (SELECT *, row - row_number() OVER (PARTITION BY image_id, col ORDER BY row) AS g FROM {src}) "
-             "GROUP BY image_id, height, width, col, g)")
-
-
 @query("mask_round_trip_sized", sql("tpx", f"WITH {SIZED}, {SIZED_ISL.format(src='spx')} SELECT image_id, height, width, col, r0, r1 FROM isl"))
 def mask_round_trip_sized(spark, sf_dir):
     """Written as RLE text and read back, each image by its own height."""

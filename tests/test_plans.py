@@ -35,3 +35,17 @@ def test_scan_reads_only_used_columns(spark):
 
 def test_rank_limit_reaches_the_map_side(spark):
     assert "WindowGroupLimit" in plan(queries()["max_detections"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["stitch_vote", "stitch_weighted", "stitch_average", "stitch_consensus"])
+def test_stitching_places_rows_once(spark, name):
+    """Two for the views, two for the join with the patches, one by image and column, and the table of patches."""
+    df = queries()[name](spark, SF)
+    nodes = df._jdf.queryExecution().executedPlan().toString()
+    assert nodes.count("Exchange hashpartitioning") <= 6
+
+
+def test_average_precision_reads_tables_of_its_own(spark):
+    """All passes over the scores read tables written once; no input is read again behind them."""
+    text = plan(queries()["average_precision"](spark, SF))
+    assert "lineitem" not in text and text.count("(unknown) Exchange") <= 20

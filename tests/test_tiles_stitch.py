@@ -138,6 +138,49 @@ def test_sparse_forms_equal_dense(spark, patches):
         assert off <= 2, (mode, kernel, off)  # float32 masks can fall on the other side of an exact tie
 
 
+@pytest.mark.parametrize("size", [39, 40, 41, 68, 96, 97, 150, 151])
+@pytest.mark.parametrize("patch,overlap", [(40, 12), (40, 30), (40, 0)])
+@pytest.mark.parametrize("edge", ["none", "cover"])
+def test_grid_in_closed_form(spark, size, patch, overlap, edge):
+    """Cover, starts over a position, cuts and parts of segments, against the listed tiles."""
+    g = T.Grid(patch, overlap, "height", 77, edge)
+    img = spark.createDataFrame([(1, size, 77)], SIZES)
+    tiles = [(t.row, t.col) for t in T.grid(img, patch, overlap, edge).collect()]
+    starts = sorted({r for r, _ in tiles}) if tiles else []
+    v = spark.range(size).selectExpr("id as v", f"{size}L as height")
+    for r in v.selectExpr("v", f"{g.count('v', 'height')} as n", f"{g.over('v', 'height')} as s").collect():
+        want = [s for s in starts if s <= r.v < s + patch]
+        if tiles:  # an axis shorter than a tile has none
+            assert r.n == len(want) and sorted(r.s) == want
+    cuts = v.selectExpr(g.cuts("0L", "height", "height") + " as c").first().c
+    assert all(a in cuts for s in starts for a in (s, s + patch) if 0 < a < size)
+    segs = spark.createDataFrame([(1, size, 5, 0, size), (1, size, 60, 3, min(size, 50)), (1, size, 76, size - 1, size)],
+                                 "image_id bigint, height bigint, col bigint, r0 bigint, r1 bigint")
+    got = sorted(tuple(r)[2:] for r in T.over_grid(segs, g, ("image_id", "height")).collect())
+    want = sorted((r, c, s.col, max(s.r0, r), min(s.r1, r + patch)) for s in segs.collect() for r, c in tiles
+                  if c <= s.col < c + patch and s.r0 < r + patch and s.r1 > r)
+    assert got == want
+
+
+@pytest.mark.parametrize("edge", ["none", "cover"])
+def test_closed_form_equals_listed_patches(spark, edge):
+    """Every blend with a grid gives what it gives without."""
+    img = spark.createDataFrame([(1, 97, 83), (2, 97, 83)], SIZES)
+    table = T.grid(img, 40, 12, edge).withColumn("confidence", F.expr("(row * 7 + col * 3 + image_id) % 10 / cast(10.0 as double)"))
+    g = np.random.default_rng(2)
+    segs = [(t.image_id, t.row, t.col, t.col + c, t.row + int(a), t.row + int(a) + int(n), t.confidence) for t in table.collect() for c in range(0, 40, 3)
+            for a, n in [(g.integers(0, 20), g.integers(1, 20))]]
+    sparse = spark.createDataFrame(segs, "image_id bigint, tile_row bigint, tile_col bigint, col bigint, r0 bigint, r1 bigint, p double")
+    grid = T.Grid(40, 12, 97, 83, edge)
+    for blend in (lambda **k: S.vote(table, sparse, **k), lambda **k: S.consensus(table, sparse, **k), lambda **k: S.average_blend(table, sparse, 0.3, **k),
+                  lambda **k: S.weighted_blend(table, sparse, 40, 12, 0.3, digits=9, **k), lambda **k: S.weighted_blend(table, sparse, 40, 12, 0.3, "distance", digits=9, **k),
+                  lambda **k: S.feather_blend(table, sparse, 40, 12, 0.3, digits=9, **k)):
+        want = sorted(map(tuple, blend().collect()))
+        assert want and sorted(map(tuple, blend(grid=grid).collect())) == want
+    near = lambda **k: sorted((r.image_id, r.row, r.col, tuple(map(tuple, r.patches))) for r in S.neighbours(table, **k).collect())
+    assert near(grid=grid) == near()
+
+
 def test_kernels_have_closed_form():
     k = S.kernel_array(224, 32, "distance")
     assert k[15, 100] == 0 and k[16, 100] == 1 / 16 and k[100, 100] == 1 and k[207, 100] == 1 / 16 and k[208, 100] == 0
