@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +49,38 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/runmosaic-{tag}-{uuid.uuid4().hex}"
 
 
+_tables: list[str] = []
+_noted = False
+
+
+@contextmanager
+def noted() -> Iterator[None]:
+    """Tables written inside are noted for :func:`drop_tables`."""
+    global _noted
+    _noted = True
+    try:
+        yield
+    finally:
+        _noted = False
+
+
+def made(*paths: str) -> None:
+    """Note folders for :func:`drop_tables`."""
+    if _noted:
+        _tables.extend(paths)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the noted tables, once all results that read them are stored elsewhere."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and no lineage behind it to recompute."""
     path = shared_folder(df.sparkSession, tag)
+    made(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

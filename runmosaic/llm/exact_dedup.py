@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runmosaic.llm.common import SPACE, shared_folder, small, whole_row, written
+from runmosaic.llm.common import SPACE, made, shared_folder, small, whole_row, written
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -40,6 +40,7 @@ def keyed_state(feed: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
     """
     spark = feed.sparkSession
     source, out, log = (shared_folder(spark, f"dedup-{x}") for x in ("feed", "state", "log"))
+    made(source, out, log)
     feed.write.parquet(source)
     spark.range(0).selectExpr(*(f"cast(null as {kind}) as {name}" for name, kind in STATE.items())).write.parquet(f"{out}/batch=-1")
     old = {k: spark.conf.get(k, None) for k in ROCKS}
