@@ -150,12 +150,45 @@ def close_sized(spark, sf_dir):
     return O.close(sized_truth(spark, sf_dir), 3, "height", "width", SIZED_KEYS)
 
 
-@query("smooth")
+def merged_sql(src: str, out: str) -> str:
+    """Intervals of a column joined where they meet."""
+    w = "PARTITION BY image_id, col ORDER BY r0, r1 ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return (f"{out} AS (SELECT image_id, col, min(r0) AS r0, max(r1) AS r1 FROM (SELECT *, sum(fresh) OVER ({w} CURRENT ROW) AS i FROM "
+            f"(SELECT *, CASE WHEN r0 <= max(r1) OVER ({w} 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT image_id, col, r0, r1 FROM {src}))) GROUP BY image_id, col, i)")
+
+
+def dil_runs(src: str, out: str) -> str:
+    return (f"{out}g AS (SELECT image_id, col + dc AS col, greatest(r0 - hh, 0) AS r0, least(r1 + hh, 768) AS r1 FROM {src}, kn WHERE col + dc BETWEEN 0 AND 767), "
+            + merged_sql(f"{out}g", out))
+
+
+def ero_runs(src: str, out: str, reach: int) -> str:
+    """Rows that every column of the kernel inside the image still covers."""
+    return (f"{out}c AS (SELECT * FROM (SELECT image_id, col - dc AS col, CASE WHEN r0 = 0 THEN 0 ELSE r0 + hh END AS a, CASE WHEN r1 = 768 THEN 768 ELSE r1 - hh END AS b "
+            f"FROM {src}, kn WHERE col - dc BETWEEN 0 AND 767) WHERE b > a), "
+            f"{out}e AS (SELECT image_id, col, p, sum(d) AS d FROM (SELECT image_id, col, a AS p, 1 AS d FROM {out}c UNION ALL SELECT image_id, col, b, -1 FROM {out}c) GROUP BY ALL), "
+            f"{out}s AS (SELECT image_id, col, p AS r0, lead(p) OVER w AS r1, sum(d) OVER w AS n FROM {out}e WINDOW w AS (PARTITION BY image_id, col ORDER BY p)), "
+            f"{out}k AS (SELECT * FROM {out}s WHERE r1 IS NOT NULL AND n = least(col + {reach}, 767) - greatest(col - {reach}, 0) + 1), " + merged_sql(f"{out}k", out))
+
+
+def kernel_sql(size: int) -> str:
+    return "kn AS (SELECT * FROM (VALUES " + ", ".join(f"({dc}, {hh})" for dc, hh in O.ellipse(size)) + ") t(dc, hh))"
+
+
+SMOOTH = ", ".join([islands("tpx"), kernel_sql(5), dil_runs("isl", "m1"), ero_runs("m1", "m2", 2), ero_runs("m2", "m3", 2), dil_runs("m3", "m4"),
+                    dil_runs("m4", "m5"), ero_runs("m5", "m6", 2), ero_runs("m6", "m7", 2), dil_runs("m7", "m8")])
+
+
+@query("smooth", sql("tpx", f"WITH {SMOOTH} SELECT image_id, col, r0, r1 FROM m8"))
 def smooth(spark, sf_dir):
     return O.smooth(truth(spark, sf_dir), H, W)
 
 
-@query("bridge_gaps")
+BRIDGE = ", ".join([islands("tpx"), kernel_sql(11), dil_runs("isl", "m1"), ero_runs("m1", "m2", 5), "al AS (SELECT image_id, col, r0, r1 FROM isl UNION ALL SELECT * FROM m2)",
+                    merged_sql("al", "m3")])
+
+
+@query("bridge_gaps", sql("tpx", f"WITH {BRIDGE} SELECT image_id, col, r0, r1 FROM m3"))
 def bridge_gaps(spark, sf_dir):
     return O.bridge(truth(spark, sf_dir), H, W)
 

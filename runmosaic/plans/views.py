@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Narrow rows dealt out evenly by their key before they unfold into many times their bytes."""
-    return df.repartition(*keys)
+    """Narrow rows dealt out evenly by their key before they unfold into many times their bytes.
+
+    The number is stated: else adaptive execution joins the partitions again, since narrow rows look small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
