@@ -178,13 +178,25 @@ def parse_rings(collections: DataFrame, text: str, keys: Sequence[str]) -> DataF
     Rings of one feature together, even-odd, are its area: :func:`rasterise` takes them under one id.
     """
     f = collections.select(*keys, F.from_json(F.col(text), ANY_GEOMETRY).alias("d")).select(*keys, F.posexplode("d.features").alias("idx", "f"))
+    return _rings(f, [*keys, "idx"])
+
+
+FEATURE = "geometry struct<type string, coordinates string>, properties map<string,string>"
+
+
+def ring_rows(features: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """:func:`parse_rings` for rows that hold the text of one feature each."""
+    return _rings(features.select(*keys, F.from_json(F.col(text), FEATURE).alias("f")), keys)
+
+
+def _rings(f: DataFrame, keys: Sequence[str]) -> DataFrame:
     c = F.col("f.geometry.coordinates")
     parts = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(c, f"array<{POLYGON}>")).when(
         F.col("f.geometry.type") == "Polygon", F.array(F.from_json(c, POLYGON)))
-    rings = f.select(*keys, "idx", F.col("f.properties").alias("properties"), F.posexplode(parts).alias("part", "_p")).select(
-        *keys, "idx", "properties", "part", F.posexplode("_p").alias("ring_no", "_r"))
+    rings = f.select(*keys, F.col("f.properties").alias("properties"), F.posexplode(parts).alias("part", "_p")).select(
+        *keys, "properties", "part", F.posexplode("_p").alias("ring_no", "_r"))
     point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
-    return rings.select(*keys, "idx", "part", "ring_no", F.transform("_r", point).alias("ring"), "properties")
+    return rings.select(*keys, "part", "ring_no", F.transform("_r", point).alias("ring"), "properties")
 
 
 def validate(collections: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
