@@ -250,7 +250,7 @@ EDGES = """hz AS (SELECT image_id, col, row AS y, 0 AS w FROM {px} p WHERE NOT E
    UNION ALL SELECT wk.image_id, wk.s, su.nxt, wk.k + 1 FROM wk JOIN su ON su.image_id = wk.image_id AND su.id = wk.cur WHERE su.nxt > wk.s),
   -- a walk that never meets a smaller edge and comes back to its start is a ring
   en AS (SELECT wk.image_id, wk.s FROM wk JOIN su ON su.image_id = wk.image_id AND su.id = wk.cur WHERE su.nxt = wk.s),
-  rg AS (SELECT wk.image_id, wk.s AS ring, sum(su.cr) AS a, count(*) AS points, string_agg(su.x0 || ' ' || su.y0, ',' ORDER BY wk.k) AS corners
+  rg AS (SELECT wk.image_id, wk.s AS ring, sum(su.cr) AS a, count(*) AS points, sum(su.x0)::BIGINT AS sx, sum(su.y0)::BIGINT AS sy, string_agg(su.x0 || ' ' || su.y0, ',' ORDER BY wk.k) AS corners
    FROM wk JOIN en ON en.image_id = wk.image_id AND en.s = wk.s JOIN su ON su.image_id = wk.image_id AND su.id = wk.cur GROUP BY ALL)"""
 RINGS_OUT = " SELECT image_id, ring, a < 0 AS hole, points::INT AS points, abs(a) / 2.0::DOUBLE AS area, corners FROM rg"
 # the mask without every seventh of its pixels in both directions: holes, and corners that touch
@@ -292,3 +292,12 @@ def mask_polygons(spark, sf_dir):
     lab = K.components(holed(spark, sf_dir), W)
     keys = ("image_id", "root")
     return R.polygons(R.mask_rings(lab, 8, keys)).select("image_id", "root", "area")
+
+
+@query("mask_label_lines", sql("tpx", "WITH " + EDGES.format(px="tpx", turn=1) + " SELECT image_id, ring, points::INT AS points, sx, sy FROM rg WHERE a > 0", True))
+def mask_label_lines(spark, sf_dir):
+    """Label text of the outer rings of a mask, read again as numbers."""
+    lines = E.label_lines(R.mask_rings(truth(spark, sf_dir)).filter("not hole"), H, W, "corners")
+    values = F.transform(F.slice(F.split("line", " "), 2, 2 * F.col("points")), lambda t: t.cast("double"))
+    total = lambda odd, size: F.expr(f"cast(round(aggregate(filter(v, (x, i) -> i % 2 = {odd}), 0.0d, (a, x) -> a + x * {size})) as bigint)")
+    return lines.withColumn("v", values).select("image_id", "ring", "points", total(0, W).alias("sx"), total(1, H).alias("sy"))
