@@ -66,6 +66,56 @@ def test_against_all_pairs(spark, similarity):
     assert sorted(r.doc_id for r in near_copies.kept_documents(df, similarity=similarity).collect()) == brute_kept(texts, similarity=similarity)
 
 
+def dense(seed, texts, length, changed):
+    """Texts that each have words of one text changed, so that many pairs are near the bound on either side."""
+    g = random.Random(seed)
+    w = [f"w{i}" for i in range(length)]
+    out = {}
+    for k in range(texts):
+        v = list(w)
+        for at in g.sample(range(length), changed):
+            v[at] = f"c{k}x{at}"
+        out[k] = " ".join(v)
+    return out
+
+
+@pytest.mark.parametrize("changed", [2, 4, 6])
+def test_dense_group(spark, changed):
+    texts = dense(changed, 150, 150, changed)
+    df = spark.createDataFrame(list(texts.items()), DOCS).repartition(5)
+    assert sorted(r.doc_id for r in near_copies.kept_documents(df).collect()) == brute_kept(texts)
+
+
+def test_sketches_never_rule_out_an_alike_pair(spark):
+    g = random.Random(3)
+    sets = []
+    for n in (0, 1, 3, 5, 60, 64, 65, 120, 130, 500, 520, 2000, 2100, 9000):
+        base = [g.getrandbits(64) for _ in range(n)]
+        for share in (0, 0.05, 0.1, 0.12, 0.3):
+            sets.append(near_copies.np.unique(near_copies.np.array([g.getrandbits(64) if g.random() < share else h for h in base], near_copies.np.uint64)))
+    rows = [(i, len(s), near_copies.odd_sketch(s).tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id int, n bigint, s array<bigint>")
+    pairs = df.selectExpr("id a", "n n_a", "s s_a").crossJoin(df.selectExpr("id b", "n n_b", "s s_b")).filter("a < b")
+    got = {(r.a, r.b): r.ok for r in pairs.select("a", "b", near_copies.may_be_alike("n_a", "s_a", "n_b", "s_b", 0.8).alias("ok")).collect()}
+    want = {(i, j): near_copies.alike(x, y, 0.8) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j}
+    assert all(got[p] for p, ok in want.items() if ok)
+    assert sum(not v for v in got.values()) > 0.9 * sum(not v for v in want.values())
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, 5, "x"), (2, long + " end", 6, "y"), (3, "short text", 7, "z"), (4, None, 8, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, loc bigint, root string")
+    assert sorted(map(tuple, near_copies.kept_documents(df).collect())) == [rows[0], rows[2], rows[3]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_tables_against_all_pairs(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(r.doc_id for r in near_copies.kept_documents(docs).select("doc_id").collect()) == brute_kept(texts)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "one two three"), (5, "one two three"), (None, "alone"), (7, ""), (None, None)], DOCS)
     assert sorted((r.doc_id or -1, r.text) for r in near_copies.kept_documents(df).collect()) == [(-1, "alone"), (5, "one two three"), (7, "")]
