@@ -37,7 +37,9 @@ def _spread(df: DataFrame, side: str, ident: str, keys: Sequence[str], cell: int
     own = _level(side, cell)
     # boxes of one level meet under role 0 alone
     above = F.filter("_levels", (lambda l: l > own) if own_role == 0 else (lambda l: l >= own))
-    at = F.concat(F.array(F.struct(F.lit(own_role).alias("_role"), own.alias("_lv"))),
+    # listed only where the other table has boxes that look up this level
+    asked = F.exists("_levels", (lambda l: l <= own) if own_role == 0 else (lambda l: l < own))
+    at = F.concat(F.when(asked, F.array(F.struct(F.lit(own_role).alias("_role"), own.alias("_lv")))).otherwise(F.array().cast("array<struct<_role:int,_lv:int>>")),
                   F.transform(above, lambda l: F.struct(F.lit(1 - own_role).alias("_role"), l.alias("_lv"))))
     df = df.withColumn("_levels", levels).withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at", "_levels")
     cells = lambda a, b: F.expr(f"sequence(cast(floor({a} / ({cell}L << _lv)) as bigint), cast(floor(({b} - 1e-9) / ({cell}L << _lv)) as bigint))")
@@ -46,17 +48,18 @@ def _spread(df: DataFrame, side: str, ident: str, keys: Sequence[str], cell: int
 
 
 def overlapping(a: DataFrame, b: DataFrame, id_a: str, id_b: str, keys: Sequence[str] = M.KEYS, cell: int = 64,
-                extra_a: Sequence[str] = (), extra_b: Sequence[str] = ()) -> DataFrame:
+                extra_a: Sequence[str] = (), extra_b: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
     """Pairs of boxes with positive overlap: ``id_a, id_b``, both boxes and their IoU.
 
     Cells come in levels, each twice as long as the one below. A box is listed at the level of its own size and looks
     up larger boxes at the levels that the other table has, so it takes at most four cells a level whatever its size.
+    ``sizes`` is a table that holds boxes of all their sizes, where that is cheaper to read than ``a`` and ``b``.
     """
     # at most one entry per power of two between the cell and the largest box
     levels = lambda df: F.coalesce(df.select(_level("", cell).alias("l")).filter("l is not null").agg(F.collect_set("l").alias("l")).scalar(),
                                    F.array().cast("array<int>"))
-    of_a = levels(a)
-    of_b = of_a if b is a else levels(b)
+    of_a = levels(a if sizes is None else sizes)
+    of_b = of_a if b is a or sizes is not None else levels(b)
     pairs = _spread(a, "_a", id_a, keys, cell, extra_a, of_b, 1).join(_spread(b, "_b", id_b, keys, cell, extra_b, of_a, 0), [*keys, "_role", "_lv", "_cx", "_cy"])
     side = F.expr(f"{cell}L << _lv")
     home = (F.floor(F.greatest("x1_a", "x1_b") / side) == F.col("_cx")) & (F.floor(F.greatest("y1_a", "y1_b") / side) == F.col("_cy"))
@@ -89,7 +92,7 @@ def nms(boxes: DataFrame, threshold: float, ident: str = "box_id", keys: Sequenc
     best = boxes.groupBy(*keys, "x1", "y1", "x2", "y2").agg(
         F.min(F.struct((-F.col("score")).alias("_o"), F.col(ident).alias("_id"))).alias("_b"))
     best = best.select(*keys, F.col("_b._id").alias(ident), "x1", "y1", "x2", "y2", (-F.col("_b._o")).alias("score"))
-    pairs = overlapping(best, best, ident, ident, keys, extra_a=["score"], extra_b=["score"])
+    pairs = overlapping(best, best, ident, ident, keys, extra_a=["score"], extra_b=["score"], sizes=boxes)
     return _suppress(best, pairs, threshold, ident, keys)
 
 

@@ -93,7 +93,7 @@ def merge_clusters(boxes: DataFrame, mode: str = "seed", ratio: float = 0.5, ide
     that overlap it enough. ``components``: transitive closure of the overlap relation.
     """
     one = _distinct_boxes(boxes, ident, keys)
-    pairs = B.overlapping(one, one, ident, ident, keys).filter(F.col("id_a") < F.col("id_b"))
+    pairs = B.overlapping(one, one, ident, ident, keys, sizes=boxes).filter(F.col("id_a") < F.col("id_b"))
     near = B.conflicts(pairs.filter(F.col("overlap") / F.least(X.box_area("_a"), X.box_area("_b")) >= ratio), keys)
     cluster = _clusters(one, near, mode, ident, keys).select(*keys, "x1", "y1", "x2", "y2", "cluster")
     return boxes.join(cluster, [*keys, "x1", "y1", "x2", "y2"])

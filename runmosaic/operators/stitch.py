@@ -71,10 +71,10 @@ def with_cover(state: DataFrame, patches: DataFrame, grid: T.Grid | None, carry:
     if grid is None:
         return over_cells(state, cells(patches, keys, False), carry, ["n"], keys)
     g = grid
-    cut = state.withColumn("_x", F.expr(g.cuts("r0", "r1", g.height)))
-    piece = F.expr("arrays_zip(concat(array(r0), _x), concat(_x, array(r1)))")
-    cut = cut.select(*keys, *carry, "col", F.explode(piece).alias("_p")).select(
-        *keys, *carry, "col", F.col("_p")["0"].alias("r0"), F.col("_p")["1"].alias("r1"))
+    # most intervals lie between two borders and need no list of cuts
+    ends = F.expr(f"if({g.whole('r0', 'r1', g.height)}, array(r0, r1), concat(array(r0), {g.cuts('r0', 'r1', g.height)}, array(r1)))")
+    cut = state.select(*keys, *carry, "col", ends.alias("_e")).select(*keys, *carry, "col", "_e", F.explode(F.expr("sequence(1, size(_e) - 1)")).alias("_i"))
+    cut = cut.select(*keys, *carry, "col", F.expr("_e[_i - 1]").alias("r0"), F.expr("_e[_i]").alias("r1"))
     return cut.withColumn("n", F.expr(f"({g.count('r0', g.height)}) * ({g.count('col', g.width)})"))
 
 
@@ -188,8 +188,7 @@ def weighted_blend(patches: DataFrame, patch_segments: DataFrame, size: int, ove
     if grid is not None and kernel == "ramp":
         cut = with_cover(placed(segs, keys), patches, grid, carry, keys).withColumn("patches", F.lit(None))
         one = lambda v: f"least(1.0d, (least({v}, {size - 1} - ({v})) + 1) / {float(fade)}d)" if fade else "1.0d"
-        axis = lambda v, length: f"aggregate({grid.over(v, length)}, 0.0d, (a, s) -> a + {one(f'({v} - s)')})"
-        den = F.expr(f"{axis('row', grid.height)} * {axis('col', grid.width)}")
+        den = F.expr(f"{grid.total('row', grid.height, one)} * {grid.total('col', grid.width, one)}")
     else:
         cut = _banded(patches, segs, carry, keys, grid)
         den = F.expr(f"aggregate(patches, 0.0d, (a, t) -> a + {_weight('(row - t.row)', '(col - t.col)', size, fade, kernel, 't.confidence')})")

@@ -90,6 +90,22 @@ class Grid:
         flush = f"if({self._flush(v, size)}, array(cast({size} as bigint) - {self.patch}), {none})"
         return f"if({size} >= {self.patch}, concat({regular}, {flush}), {none})"
 
+    def total(self, v: str, size: int | str, term) -> str:
+        """Sum of ``term(v - start)`` over the tiles over a position, term by term, without arrays."""
+        lo, hi = self._regular(v, size)
+        p, s = self.patch, self.patch - self.overlap
+        parts = [f"if({lo} + {j} <= {hi}, {term(f'({v} - ({lo} + {j}) * {s})')}, 0.0d)" for j in range(-(-p // s))]
+        if self.edge == "cover":
+            parts.append(f"if({self._flush(v, size)}, {term(f'({v} - ({size} - {p}))')}, 0.0d)")
+        return f"({' + '.join(parts)})"
+
+    def whole(self, a: str, b: str, size: int | str) -> str:
+        """Whether no border of a tile lies strictly inside [a, b), by arithmetic alone."""
+        p, s = self.patch, self.patch - self.overlap
+        ends = f"({b} - 1 - {p} + {4 * p * s}) div {s} = ({a} - {p} + {4 * p * s}) div {s}"
+        flush = "" if self.edge == "none" else f" and not ({size} - {p} > {a} and {size} - {p} < {b})"
+        return f"(({b} - 1) div {s} = ({a}) div {s} and {ends}{flush})"
+
     def cuts(self, a: str, b: str, size: int | str) -> str:
         """Positions strictly inside [a, b) where the tiles over a position may change, ascending."""
         p, s = self.patch, self.patch - self.overlap
@@ -104,10 +120,16 @@ def over_grid(segments: DataFrame, grid: Grid, keys: Sequence[str] = M.KEYS, car
     p, s = g.patch, g.patch - g.overlap
     lo, hi = g._regular("r0", g.height)[0], g._regular("r1 - 1", g.height)[1]
     none = "cast(array() as array<bigint>)"
-    rows = (f"if({g.height} >= {p}, concat(if({lo} <= {hi}, transform(sequence({lo}, {hi}), k -> k * {s}L), {none}), "
-            f"if({g._flush('r1 - 1', g.height)}, array(cast({g.height} as bigint) - {p}), {none})), {none})")
-    out = segments.select(*keys, *carry, "col", "r0", "r1", F.explode(F.expr(g.over("col", g.width))).alias("tile_col"))
-    out = out.select(*keys, *carry, "col", "r0", "r1", "tile_col", F.explode(F.expr(rows)).alias("tile_row"))
+    if g.edge == "none":  # numbers of tiles first: no arrays of positions
+        axis = lambda lo, hi, size: F.expr(f"explode(if({size} >= {p} and {lo} <= {hi}, sequence({lo}, {hi}), {none}))")
+        out = segments.select(*keys, *carry, "col", "r0", "r1", axis(*g._regular("col", g.width), g.width).alias("_tc"))
+        out = out.select(*keys, *carry, "col", "r0", "r1", (F.col("_tc") * s).alias("tile_col"), axis(lo, hi, g.height).alias("_tr"))
+        out = out.withColumn("tile_row", F.col("_tr") * s)
+    else:
+        rows = (f"if({g.height} >= {p}, concat(if({lo} <= {hi}, transform(sequence({lo}, {hi}), k -> k * {s}L), {none}), "
+                f"if({g._flush('r1 - 1', g.height)}, array(cast({g.height} as bigint) - {p}), {none})), {none})")
+        out = segments.select(*keys, *carry, "col", "r0", "r1", F.explode(F.expr(g.over("col", g.width))).alias("tile_col"))
+        out = out.select(*keys, *carry, "col", "r0", "r1", "tile_col", F.explode(F.expr(rows)).alias("tile_row"))
     return (out.withColumn("r0", F.greatest("r0", "tile_row")).withColumn("r1", F.least(F.col("r1"), F.col("tile_row") + p))
             .filter("r1 > r0").select(*keys, *carry, "tile_row", "tile_col", "col", "r0", "r1"))
 
